@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .filters import only_wanted
 from .staging import staged
 from .textkernel import LOWER, U, chunks, mix, utf8, word_hashes, words
 
@@ -218,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, coordi
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "blocks")
     run, kind = _sets(shingle)
-    sets = source.join(member, "doc_id").select("doc_id", "text", "grp", "blocks").mapInArrow(run, kind)
+    sets = only_wanted(source, groups.select(F.col("node").alias("doc_id")), "doc_id").join(member.hint("merge"), "doc_id").select("doc_id", "text", "grp", "blocks").mapInArrow(run, kind)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
         sets.withColumn("own", own)
