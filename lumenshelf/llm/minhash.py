@@ -188,7 +188,7 @@ def _links(percent: int):
     return run, "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, block: int = 256) -> DataFrame:
     """Components of documents whose shingle sets are alike: doc_id, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are ignored. Two documents are
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, coordi
     distinct `shingle`-word shingles (A-Z lower-cased; a shorter text is one
     shingle). component_id is the least doc_id reachable, kept marks it. At
     the default bands a pair at the threshold escapes with a chance of about
-    1e-10.
+    5e-8, and 5e-11 at percent=85.
 
     Null, empty and blank texts have no shingles and are linked with
     nothing, as are rows without doc_id (their component_id is null, kept

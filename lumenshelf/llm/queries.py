@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert, langid, maxscore, minhash, mixing, packing, toxicity
+from . import exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, run_length_index, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_lsm.remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -40,7 +48,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op4_run_length_dedup, op5_substring_dedup, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id)}
 
 
 OP1_SQL = """
@@ -75,6 +83,25 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= 5
 """
 
+OP5_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), p as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)
+), hit as (
+  select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as earliest from p) where earliest < doc_id
+), gone as (select distinct doc_id, i + j as i from hit, (select unnest(range(0, 50)) as j)),
+kept as (
+  select w.doc_id, string_agg(w.word, ' ' order by w.i) as body
+  from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from w) w
+  anti join gone g on g.doc_id = w.doc_id and g.i = w.i
+  group by 1
+), cut as (select doc_id, count(*) as n from gone group by 1)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(cut.n, 0) as n_removed, sha256(coalesce(kept.body, '')) as kept_sha256
+from w left join cut using (doc_id) left join kept using (doc_id)
+"""
+
 OP9_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
@@ -102,4 +129,4 @@ from least left join n using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_dedup": OP9_SQL}
