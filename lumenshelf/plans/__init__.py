@@ -1,9 +1,15 @@
 """Registered queries of the recommendation operators and their SQL."""
 
+from __future__ import annotations
+
+from . import text_queries
+
+_PARTS = [text_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in _PARTS for name, q in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.oracle_sql().items()}
