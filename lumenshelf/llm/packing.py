@@ -2,8 +2,10 @@
 
 A partition keeps `open_windows` windows. A piece goes to the open window it
 fits best; when none has room the fullest is emitted and a new one opened.
-What stays open at the end of partitions is merged in a tree of groups of
-the same bounded size.
+What stays open at the end of partitions is merged in a tree of groups: whole
+windows are joined by best fit, and those that still have room are poured
+together, pieces being cut where a window ends, so that a group passes on
+one window.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ LENGTH = 1024
 OPEN_WINDOWS = 256
 #: Partitions, or groups of them, whose open windows are merged in one task.
 FAN_IN = 32
+#: Merged windows with less room than this part of a window are left as they are.
+SLACK = 128
 
 _encoders: dict[str, object] = {}
 
@@ -76,11 +80,12 @@ class Windows:
         return w, self.length - room, shut
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean, ids binary"
 
 
 def _pack(vocabulary: str, length: int, most: int):
     names = [c.split()[0] for c in _PIECES.split(", ")]
+    types = {"open": pa.bool_(), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -91,7 +96,7 @@ def _pack(vocabulary: str, length: int, most: int):
 
         def table(rows: list[list]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "open" else pa.int64()) for n, c in zip(names, cols)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for n, c in zip(names, cols)], names=names)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -100,46 +105,60 @@ def _pack(vocabulary: str, length: int, most: int):
                 for start in range(0, n, length):
                     cut = ids[start : start + length]
                     window, offset, shut = windows.place(len(cut))
-                    row = [doc, start, len(cut), zlib.crc32(cut.tobytes()), n, (part << 32) + window, offset, part, False]
+                    row = [doc, start, len(cut), zlib.crc32(cut.tobytes()), n, (part << 32) + window, offset, part, False, cut.tobytes()]
                     waiting.setdefault(window, []).append(row)
                     for w in shut:
-                        held.extend(waiting.pop(w))
+                        held.extend([*r[:-1], None] for r in waiting.pop(w))
                 if len(held) >= 4096:
                     yield table(held)
                     held = []
         for rows in waiting.values():
             for row in rows:
-                row[-1] = True
+                row[-2] = True
                 held.append(row)
         yield table(held)
 
     return run
 
 
-def _merge(level: int, length: int, keep: int):
+def _merge(level: int, length: int, slack: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sequence_id", "offset"], kind="stable", ignore_index=True)
         fill = pdf.groupby("sequence_id")["length"].sum().sort_values(ascending=False, kind="stable")
         windows = Windows(length, len(fill) + 1)
         to = {seq: windows.place(int(n))[:2] for seq, n in fill.items()}
         base = (level << 56) + (int(pdf["part"].iloc[0]) << 32)
-        # The emptiest windows stay open for the next level.
-        still = {w for _, w in windows.free[-keep:]} if keep else set()
-        target = [to[s] for s in pdf["sequence_id"]]
-        pdf["sequence_id"] = [base + w for w, _ in target]
-        pdf["offset"] += [o for _, o in target]
-        pdf["open"] = [w in still for w, _ in target]
-        return pdf
+        window = pdf["sequence_id"].map(lambda s: to[s][0])
+        pdf["offset"] += pdf["sequence_id"].map(lambda s: to[s][1])
+        pdf["sequence_id"], pdf["open"] = base + window, False
+        loose = window.isin({w for room, w in windows.free if room > slack})
+        whole, rest = pdf[~loose].assign(ids=None), pdf[loose].sort_values(["sequence_id", "offset"], kind="stable")
+        return pd.concat([whole, _poured(rest, base + windows.made, length)], ignore_index=True) if len(rest) else whole
 
     return run
 
 
+def _poured(pdf: pd.DataFrame, base: int, length: int) -> pd.DataFrame:
+    """The pieces one after another, cut where a window ends; the last window stays open unless full."""
+    out, at, total = [], 0, int(pdf["length"].sum())
+    for row in pdf.to_dict("records"):
+        ids = np.frombuffer(row["ids"], "<u4")
+        while len(ids):
+            window, offset = divmod(at, length)
+            cut, ids = ids[: length - offset], ids[length - offset :]
+            still = (window + 1) * length > total
+            out.append({**row, "length": len(cut), "ids_crc32": zlib.crc32(cut.tobytes()), "sequence_id": base + window, "offset": offset, "open": still, "ids": cut.tobytes() if still else None})
+            row["start"] += len(cut)
+            at += len(cut)
+    return pd.DataFrame(out, columns=pdf.columns)
+
+
 def pack_sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, fan_in: int = FAN_IN) -> DataFrame:
     """Pieces of documents and their places in sequences of at most `length` tokens.
 
     docs needs doc_id and text; other columns are ignored. A document is its
-    token ids and a closing id 0; it is cut into pieces of `length`, and the
-    rest is packed by best fit. Returns doc_id, start, length, ids_crc32,
+    token ids and a closing id 0; it is cut into pieces of `length`, the rest
+    is packed by best fit, and what is left over is cut to fill windows. Returns doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset. A null or empty text is the closing id
     alone; null doc_ids and repeated rows are packed as documents of their
     own. No rows give no rows.
@@ -152,14 +171,14 @@ def pack_sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
     while True:
         level += 1
         parts = -(-parts // fan_in)
-        keep = open_windows if parts > 1 else 0
         grouped = rest.withColumn("part", F.floor(F.col("part") / fan_in))
-        merged = staged(grouped.groupBy("part").applyInPandas(_merge(level, length, keep), _PIECES), f"pieces{level}")
-        done.append(merged.where("not open"))
+        merged = staged(grouped.groupBy("part").applyInPandas(_merge(level, length, length // SLACK), _PIECES), f"pieces{level}")
         if parts <= 1:
+            done.append(merged)
             break
+        done.append(merged.where("not open"))
         rest = merged.where("open")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("part", "open")
+    return out.drop("part", "open", "ids")

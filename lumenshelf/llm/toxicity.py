@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (whole words) and patterns (word beginnings) that
-toxic rows of the training fold hold more often than clean ones. A
+toxic rows of the training fold hold more often than clean ones, chosen so
+that together they reach many rows, and no group of copies fills the list. A
 generative label model estimates by EM how often each voter fires on either
 class, and the correlations of voters given the class, which discount votes
 that repeat each other; the annotator's label is one more voter of estimated
-accuracy. A linear classifier is trained on the posterior labels and scores
-every text.
+accuracy, whose prior keeps the classes what they are. A linear classifier is
+trained on the posterior labels and scores every text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .textkernel import LOWER, U, chunks, mix, utf8, word_hashes, words
 
 #: Beginnings of words, in bytes, that patterns look at.
 BEGINNINGS = (4, 5, 6)
-#: Bounds: candidate entries, voters, and labelled rows of each class that the models are fitted on, about.
-CANDIDATES, VOTERS, ROWS_PER_CLASS = 50_000, 512, 10_000
+#: Bounds: counted entries, those of them that may become voters, voters, and labelled rows of each class that the models are fitted on, about.
+CANDIDATES, ELIGIBLE, VOTERS, ROWS_PER_CLASS = 50_000, 4096, 256, 10_000
+#: The annotator marks this share of toxic and of clean rows, as far as known beforehand.
+MARKED = (0.9, 0.02)
 LEAST_TOXIC_ROWS = 4
 
 
@@ -113,18 +116,43 @@ def _hits(vocabulary: np.ndarray, keep: list[str], kinds: str):
     return run, f"{kinds}, code array<int>, n array<int>"
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.ndarray:
+def choose_voters(row: np.ndarray, code: np.ndarray, rows: int, weight: np.ndarray, most: int) -> np.ndarray:
+    """Codes of up to `most` entries that reach many toxic rows together, from the hits (row, code) of each entry once a row.
+
+    Greedy: an entry counts its weight over the rows that it is in, and a row
+    counts half as much after each choice that is in it.
+    """
+    left = np.ones(rows)
+    by_code = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[by_code], np.arange(len(weight) + 1))
+    gain = weight * np.bincount(code, minlength=len(weight))
+    chosen: list[int] = []
+    while len(chosen) < most:
+        best = int(gain.argmax())
+        if gain[best] < weight[best] * 0.5:
+            break
+        chosen.append(best)
+        left[row[by_code[first[best] : first[best + 1]]]] *= 0.5
+        gain = weight * np.bincount(code, weights=left[row], minlength=len(weight))
+        gain[chosen] = 0
+    return np.array(chosen, np.int64)
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, marked: tuple[float, float] = MARKED) -> np.ndarray:
     """Posterior of the toxic class of each row from votes (rows, voters; 1 where one fires) and the annotator's labels.
 
-    Every voter has a firing rate on either class. Its evidence is divided by
+    Every voter has a firing rate on either class; where it does not fire, it
+    abstains. Its evidence is divided by
     one plus its positive correlations with other voters inside the classes,
-    so that a word and its beginnings count about once.
+    so that a word and its beginnings count about once. The annotator's rates
+    have a prior as strong as the rows themselves, so the classes stay theirs.
     """
-    v = np.concatenate([votes, labels[:, None]], axis=1).astype(float)
-    post = np.where(labels > 0, 0.95, 0.05)
+    v, y, known = votes.astype(float), labels.astype(float), float(len(labels))
+    post = np.where(y > 0, 0.95, 0.05)
     for _ in range(rounds):
         w1, w0 = post.sum(), (1 - post).sum()
         fire1, fire0 = (post @ v + 0.5) / (w1 + 1), ((1 - post) @ v + 0.5) / (w0 + 1)
+        hit1, hit0 = (post @ y + marked[0] * known) / (w1 + known), ((1 - post) @ y + marked[1] * known) / (w0 + known)
         inside = 0.0
         for p, f, w in ((post, fire1, w1), (1 - post, fire0, w0)):
             c = (v * p[:, None]).T @ v / max(w, 1e-9) - np.outer(f, f)
@@ -133,8 +161,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
         inside = inside / max(w1 + w0, 1e-9)
         np.fill_diagonal(inside, 0)
         share = 1 / (1 + inside.sum(axis=1))
-        on, off = np.log(fire1 / fire0) * share, np.log((1 - fire1) / (1 - fire0)) * share
-        odds = np.log((w1 + 1) / (w0 + 1)) + v @ on + (1 - v) @ off
+        odds = np.log((w1 + 1) / (w0 + 1)) + v @ (np.log(fire1 / fire0) * share) + np.where(y > 0, np.log(hit1 / hit0), np.log((1 - hit1) / (1 - hit0)))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - post).max() < 1e-4:
             return new
@@ -163,7 +190,7 @@ class ToxicityModel:
     bias: float
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, voters: int = VOTERS, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, eligible: int = ELIGIBLE, voters: int = VOTERS, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Learn from labels(doc_id, toxic) on docs(doc_id, text), outside the held-out fold.
 
     Entry counts cover all labelled rows; the label model and the classifier
@@ -188,22 +215,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATE
     seen = dict(zip(clean["entry"], clean["n"]))
     other = np.array([seen.get(e, 0) for e in entry.view(np.int64)])
     ratio = (toxic + 0.5) / (n1 + 1) / ((other + 0.5) / (n0 + 1))
-    gain = np.where(ratio >= 4, toxic * np.log(ratio), 0)
-    order = np.lexsort((entry, -gain))
-    order = order[gain[order] > 0][:voters]
+    weight = np.where(ratio >= 4, np.log(ratio), 0)
+    order = np.lexsort((entry, -toxic * weight))
+    order = order[weight[order] > 0][:eligible]
     if not len(order):
         return none
-    vocabulary = np.sort(entry[order])
+    order = order[np.argsort(entry[order])]
+    vocabulary, weight = entry[order], weight[order]
     rate = F.when(F.col("toxic") == 1, rows_per_class / max(1, n1)).otherwise(rows_per_class / max(1, n0))
     sample = train.where(F.shiftrightunsigned("order", 11) / float(1 << 53) < rate)
     run, kind = _hits(vocabulary, ["toxic", "order"], "toxic long, order long")
     rows = sorted(sample.select(F.col("toxic").cast("long").alias("toxic"), "order", "text").mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["toxic"]))
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
+    marks = np.array([float(r["toxic"] == 1) for r in rows])
+    hits = [(i, c) for i, r in enumerate(rows) if marks[i] for c in r["code"]]
+    row, code = np.array(hits, np.int64).reshape(-1, 2).T
+    chosen = np.sort(choose_voters(row, code, len(rows), weight, voters))
+    if not len(chosen):
+        return none
+    column = np.full(len(vocabulary), -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["code"]] = np.log1p(np.array(r["n"]))
-    post = label_model((x > 0).astype(np.float32), np.array([float(r["toxic"] == 1) for r in rows]))
+        at = column[np.array(r["code"], np.int64)]
+        x[i, at[at >= 0]] = np.log1p(np.array(r["n"]))[at >= 0]
+    post = label_model((x > 0).astype(np.float32), marks)
     w, b = train_linear(x, post)
-    return ToxicityModel(vocabulary, w, b)
+    # The sample holds the classes in other shares than the labelled rows do.
+    s1, s0 = marks.sum(), len(marks) - marks.sum()
+    shift = np.log(n1 / max(s1, 1)) - np.log(max(n0, 1) / max(s0, 1))
+    return ToxicityModel(vocabulary[chosen], w, b + float(shift))
 
 
 def _score(shared):
