@@ -26,8 +26,8 @@ from .textkernel import LOWER, U, chunks, mix, utf8, word_hashes, words
 
 #: Beginnings of words, in bytes, that patterns look at.
 BEGINNINGS = (4, 5, 6)
-#: Bounds: counted entries, those of them that may become voters, voters, and labelled rows of each class that the models are fitted on, about.
-CANDIDATES, ELIGIBLE, VOTERS, ROWS_PER_CLASS = 50_000, 4096, 256, 10_000
+#: Bounds: counted entries, those of them that may become voters, voters, and labelled rows of each class that all of it is fitted on.
+CANDIDATES, ELIGIBLE, VOTERS, ROWS_PER_CLASS = 50_000, 4096, 256, 20_000
 #: The annotator marks this share of toxic and of clean rows, as far as known beforehand.
 MARKED = (0.9, 0.02)
 LEAST_TOXIC_ROWS = 4
@@ -193,15 +193,20 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, eligible: int = ELIGIBLE, voters: int = VOTERS, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Learn from labels(doc_id, toxic) on docs(doc_id, text), outside the held-out fold.
 
-    Entry counts cover all labelled rows; the label model and the classifier
-    are fitted on about `rows_per_class` rows of each class. Without toxic
-    rows the model has no voters and scores every text by the prior.
+    All is fitted on at most `rows_per_class` labelled rows of each class,
+    the first by a hash of doc_id; only their ids are broadcast, and only
+    their texts are read again. A doc_id with several labels is toxic if one
+    of them says so. Without toxic rows the model has no voters and scores
+    every text by the prior.
     """
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~fold()).join(marks, "doc_id")
-    train = staged(train.select("toxic", F.xxhash64("text", F.lit("sample")).alias("order"), "text"), "labelled")
-    total = {r["toxic"] == 1: r["n"] for r in train.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(True, 0), total.get(False, 0)
+    marks = labels.where("toxic is not null and doc_id is not null").where(~fold()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
+    marks = staged(marks, "marks")
+    total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = total.get(1, 0), total.get(0, 0)
+    first = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
+    chosen_ids = F.broadcast(first[0].unionByName(first[1]))
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen_ids, "doc_id")
+    train = staged(train.select("toxic", F.xxhash64("doc_id", "text").alias("order"), "text"), "labelled")
     prior = float(np.log((n1 + 1) / (n0 + 1)))
     run, kind = _count_rows(None)
     found = train.where("toxic = 1").select("text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("n").alias("n"))
@@ -214,7 +219,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATE
     clean = train.where("toxic <> 1").select("text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
     seen = dict(zip(clean["entry"], clean["n"]))
     other = np.array([seen.get(e, 0) for e in entry.view(np.int64)])
-    ratio = (toxic + 0.5) / (n1 + 1) / ((other + 0.5) / (n0 + 1))
+    of = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    ratio = (toxic + 0.5) / (of.get(1, 0) + 1) / ((other + 0.5) / (of.get(0, 0) + 1))
     weight = np.where(ratio >= 4, np.log(ratio), 0)
     order = np.lexsort((entry, -toxic * weight))
     order = order[weight[order] > 0][:eligible]
@@ -222,10 +228,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATE
         return none
     order = order[np.argsort(entry[order])]
     vocabulary, weight = entry[order], weight[order]
-    rate = F.when(F.col("toxic") == 1, rows_per_class / max(1, n1)).otherwise(rows_per_class / max(1, n0))
-    sample = train.where(F.shiftrightunsigned("order", 11) / float(1 << 53) < rate)
     run, kind = _hits(vocabulary, ["toxic", "order"], "toxic long, order long")
-    rows = sorted(sample.select(F.col("toxic").cast("long").alias("toxic"), "order", "text").mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["toxic"]))
+    rows = sorted(train.select(F.col("toxic").cast("long").alias("toxic"), "order", "text").mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["toxic"]))
     marks = np.array([float(r["toxic"] == 1) for r in rows])
     hits = [(i, c) for i, r in enumerate(rows) if marks[i] for c in r["code"]]
     row, code = np.array(hits, np.int64).reshape(-1, 2).T
