@@ -185,7 +185,8 @@ def fit_language_model(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LA
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     rate = rows.groupBy("lang").agg((sample_per_language / F.count("*")).alias("rate"))
     unit = F.shiftrightunsigned(F.col("order"), 11) / float(1 << 53)
-    chosen = rows.withColumn("order", F.xxhash64("text", F.lit("sample"))).join(rate, "lang").where(unit < F.col("rate")).select("lang", "order", "text")
+    # As many rates as the model has classes; shuffling by language would gather a third of all texts in one task.
+    chosen = rows.withColumn("order", F.xxhash64("text", F.lit("sample"))).join(F.broadcast(rate), "lang").where(unit < F.col("rate")).select("lang", "order", "text")
     run, kind = _frequencies_of(buckets)
     sample = sorted(chosen.mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["lang"]))
     langs = sorted({r["lang"] for r in sample})

@@ -311,9 +311,9 @@ def test_label_model_learns_accuracies():
     y = rng.random(4000) < 0.3
     votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.8, 0.05), (0.7, 0.1), (0.6, 0.02))], axis=1)
     votes = np.concatenate([votes, votes[:, :1]], axis=1)
-    marked = y & (rng.random(4000) > 0.2)
+    marked = y & (rng.random(4000) > 0.4)
     post = toxicity.label_model(votes.astype(float), marked.astype(float))
-    assert ((post > 0.5) == y).mean() > (marked == y).mean() + 0.01
+    assert ((post > 0.5) == y).mean() > (marked == y).mean() + 0.05
 
 
 OPERATORS = {
