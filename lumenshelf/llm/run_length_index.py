@@ -33,32 +33,40 @@ INDEX_BYTES = 1 << 20
 class RunLengthIndex:
     """Matching statistics of a text of byte pieces, no match crossing a piece.
 
-    pieces are joined with separators; suffixes are sorted to the end.
+    pieces are joined with separators. Suffixes are sorted by their first
+    `enough` symbols or more, to the end without it; places that are then
+    still tied match at least so far, and that is what is told of them.
     """
 
-    def __init__(self, pieces: list[np.ndarray]):
-        sep = np.zeros(1, np.int64)
-        text = np.concatenate([x for p in pieces for x in (p.astype(np.int64) + 1, sep)])
+    def __init__(self, pieces: list[np.ndarray], enough: int | None = None):
+        sep = np.zeros(1, np.int16)
+        text = np.concatenate([x for p in pieces for x in (p.astype(np.int16) + 1, sep)])
         n = len(text)
         self.starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
         # Ranks of the suffixes by their first h symbols, h doubling from 4.
-        padded = np.concatenate([text, np.zeros(4, np.int64)])
+        padded = np.concatenate([text, np.zeros(4, np.int16)])
         key = np.zeros(n, np.int64)
         for j in range(4):
-            key = key * 257 + padded[j : j + n]
+            key *= 257
+            key += padded[j : j + n]
+        del padded
         self.ranks: list[tuple[int, np.ndarray]] = []
         h = 4
         rank = self._ranked(key)
         while True:
             self.ranks.append((h, rank))
-            if rank.max() == n - 1:
+            if rank.max() == n - 1 or enough is not None and h >= enough:
                 break
-            further = np.zeros(n, np.int64)
-            further[: max(0, n - h)] = rank[h:] + 1
-            rank = self._ranked(rank.astype(np.int64) * (n + 1) + further)
+            key = rank.astype(np.int64)
+            key *= n + 1
+            key[: max(0, n - h)] += rank[h:] + 1
+            rank = self._ranked(key)
             h *= 2
         self.text, self.n = text, n
-        self.suffixes = np.argsort(self.ranks[-1][1], kind="stable")
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        # Places that share their rank with another.
+        self.tied = (np.bincount(rank, minlength=n) > 1)[rank]
+        self.depth = h
         self.bwt = text[self.suffixes - 1]
         self.bwt[self.suffixes == 0] = -1
 
@@ -67,8 +75,8 @@ class RunLengthIndex:
         order = np.argsort(key)
         new = np.ones(len(key), np.int32)
         new[0] = 0
-        sorted_ = key[order]
-        new[1:] = sorted_[1:] != sorted_[:-1]
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
         rank = np.empty(len(key), np.int32)
         rank[order] = np.cumsum(new, dtype=np.int32)
         return rank
@@ -76,7 +84,7 @@ class RunLengthIndex:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of suffixes a and b, by descending doublings."""
         a, b = a.copy(), b.copy()
-        out = np.zeros(len(a), np.int64)
+        out = np.zeros(len(a), np.int32)
         for h, rank in reversed(self.ranks):
             inside = (a < self.n) & (b < self.n)
             ok = np.zeros(len(a), bool)
@@ -96,20 +104,23 @@ class RunLengthIndex:
 
     def statistics(self) -> np.ndarray:
         """Of every place, the longest match with any other place of the text."""
-        n, sa = self.n, self.suffixes
-        # First rows of the runs; row 0 has no neighbour above it.
-        rows = np.flatnonzero(self.bwt[1:] != self.bwt[:-1]) + 1
-        best = np.zeros(n, np.int64)
+        n, sa, at = self.n, self.suffixes, np.arange(self.n, dtype=np.int32)
+        # First rows of the runs, and rows of places that follow a tied one; row 0 has no neighbour above it.
+        after = np.zeros(n, bool)
+        after[1:] = self.tied[:-1]
+        after = after[sa]
+        cut = self.bwt[1:] != self.bwt[:-1]
+        best = np.zeros(n, np.int32)
         for side in (0, 1):
-            sample = np.full(n, -1, np.int64)
-            place = sa[rows - side]
-            sample[place] = self.common(sa[rows - 1], sa[rows])
+            rows = np.flatnonzero(cut | (after[1:] if side == 0 else after[:-1])) + 1
+            sample = np.full(n, -1, np.int32)
+            sample[sa[rows - side]] = self.common(sa[rows - 1], sa[rows])
             sample[sa[0] if side == 0 else sa[-1]] = 0
-            sampled = sample >= 0
-            last = np.maximum.accumulate(np.where(sampled, np.arange(n), 0))
-            best = np.maximum(best, sample[last] - (np.arange(n) - last))
+            sample[self.tied] = self.depth
+            last = np.maximum.accumulate(np.where(sample >= 0, at, 0))
+            best = np.maximum(best, sample[last] - (at - last))
         ends = np.repeat(self.starts[1:] - 1, np.diff(self.starts))
-        return np.minimum(best, ends - np.arange(n))
+        return np.minimum(best, ends - at)
 
 
 def merged(rows: dict[str, list]) -> tuple[list[int], list[int], list[np.ndarray]]:
@@ -147,7 +158,7 @@ def _index(length: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of_groups(batches, limit):
             ids, starts, pieces = merged(rows)
-            index = RunLengthIndex(pieces)
+            index = RunLengthIndex(pieces, length)
             hit = index.statistics() >= length
             out: list[list] = [[], [], []]
             for row, lo, a, b in zip(ids, starts, index.starts[:-1], index.starts[1:]):

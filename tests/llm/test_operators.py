@@ -141,9 +141,7 @@ def test_run_length_statistics():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 3, rng.integers(1, 60)).astype(np.uint8) for _ in range(12)]
     pieces.append(pieces[0].copy())
-    index = run_length_index.RunLengthIndex(pieces)
     texts = [p.tobytes() for p in pieces]
-    got = index.statistics()
 
     def longest(i, a):
         best = 0
@@ -156,8 +154,12 @@ def test_run_length_statistics():
                     best = max(best, n)
         return best
 
-    for i, t in enumerate(texts):
-        assert [got[index.starts[i] + a] for a in range(len(t))] == [longest(i, a) for a in range(len(t))]
+    for enough in (None, 4, 8, 16):
+        index = run_length_index.RunLengthIndex(pieces, enough)
+        got = index.statistics()
+        for i, t in enumerate(texts):
+            most = enough or len(t)
+            assert [min(most, got[index.starts[i] + a]) for a in range(len(t))] == [min(most, longest(i, a)) for a in range(len(t))]
 
 
 @pytest.mark.parametrize("batches,hot,most_runs", [(3, 2048, 2), (1, 1, 2), (7, 2, 1)])
