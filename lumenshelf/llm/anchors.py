@@ -25,6 +25,8 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
 #: Contexts of one fingerprint beyond which they are compared in finer groups.
 HOT, FINER = 2048, 4
+#: Rows that are taken from a record batch at once.
+SLICE = 256
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -148,10 +150,12 @@ def batches_of_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator
         at = np.flatnonzero(twin)
         return {c: [x[i] for i in at] for c, x in held.items()}
 
-    for batch in batches:
+    # A record batch may hold many times the limit, so it is taken in slices.
+    slices = (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+    for batch in slices:
         for c in batch.schema.names:
             held.setdefault(c, []).extend(batch.column(c).to_pylist())
-        size += sum(map(len, held["content"][-batch.num_rows :] if batch.num_rows else []))
+        size += sum(map(len, held["content"][-batch.num_rows :]))
         if size >= limit:
             last, upto = held["grp"][-1], len(held["grp"])
             while upto and held["grp"][upto - 1] == last:
