@@ -36,7 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (80 % of five-word shingles), that with the least doc_id."""
     found = staged(minhash.near_duplicates(docs, percent=80), "near")
     gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_id")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    # Merged at every size: the list of dropped documents grows with the input.
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_id"], "left_anti")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     mix = staged(mixing.mix_sources(docs), "mix")
     wanted = mix.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     size = mixing.word_count("text")
-    taken = docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (size == wanted["_size"]))
+    taken = docs.join(wanted.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (size == wanted["_size"]))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
