@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import activity_queries, text_queries, vector_queries
+from .vector_queries import flagship as flagship
 
-_PARTS = [text_queries]
+_PARTS = [text_queries, vector_queries, activity_queries]
 
 
 def queries() -> dict:

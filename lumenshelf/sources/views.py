@@ -100,7 +100,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, book_id) marked not interesting: books absent from the shelf, by a fixed rule."""
     users = events(spark, sf_dir).select("user_id").distinct()
-    pairs = users.withColumn("book_id", F.explode(F.sequence(F.lit(0), F.lit(ITEMS - 1))).cast("long")).where((F.col("user_id") + F.col("book_id")) % 37 == 0)
+    pairs = users.withColumn("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ITEMS - 1).cast("long")))).where((F.col("user_id") + F.col("book_id")) % 37 == 0)
     return pairs.join(shelf(spark, sf_dir).select("user_id", "book_id"), ["user_id", "book_id"], "left_anti").withColumn("signal", F.lit("not_interested"))
 
 
