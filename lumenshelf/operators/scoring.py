@@ -70,8 +70,12 @@ def _best(vectors: str, v: str) -> Column:
     return F.coalesce(F.array_max(F.transform(vectors, lambda x: dot(x, F.col(v)))), F.lit(0.0))
 
 
-def _sum(vectors: str, v: str) -> Column:
-    return F.aggregate(F.transform(vectors, lambda x: dot(x, F.col(v))), F.lit(0.0), lambda a, x: a + x)
+def _folded(zero: Column, *terms: tuple[Column, float]) -> Column:
+    """Sum of factor * vector over arrays of vectors, one vector again."""
+    out = zero
+    for vectors, factor in terms:
+        out = F.aggregate(vectors, out, lambda a, x: F.zip_with(a, x, lambda p, q: p + F.lit(factor) * q))
+    return out
 
 
 def _feedback(v: str) -> Column:
@@ -85,12 +89,18 @@ def stage_one(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFra
     taken ones included. Users without a resolvable good book have no rows.
     """
     all_items = items.select("book_id", "desc").join(agg, "book_id")
-    pairs = against_all(users.where(F.size("good") > 0), all_items, "book_id")
-    single = w.desc * _best("good", "desc") + w.reason * _best("good_agg", "agg") + w.feedback * _feedback("desc")
-    per_book = (
-        w.desc * _sum("good", "desc") - w.bad * _sum("bad", "desc") + w.reason * _sum("good_agg", "agg")
-        + w.feedback * _feedback("desc") + w.wishlist * _sum("wish", "desc") - w.not_interested * _sum("avoid", "desc")
+    zero = F.transform(F.element_at("good", 1), lambda x: F.lit(0.0))
+    heard = F.transform("fb", lambda f: F.transform(f["vec"], lambda x: f["sign"] * x))
+    # All that is linear in the item folds into one vector a user before the pairs are made.
+    liking = users.where(F.size("good") > 0).select(
+        "user_id", "good", "good_agg",
+        _folded(zero, (heard, w.feedback)).alias("told"),
+        _folded(zero, (F.col("good"), w.desc), (F.col("bad"), -w.bad), (heard, w.feedback), (F.col("wish"), w.wishlist), (F.col("avoid"), -w.not_interested)).alias("desc_sum"),
+        _folded(zero, (F.col("good_agg"), w.reason)).alias("agg_sum"),
     )
+    pairs = against_all(liking, all_items, "book_id")
+    single = w.desc * _best("good", "desc") + w.reason * _best("good_agg", "agg") + dot("told", "desc")
+    per_book = dot("desc_sum", "desc") + dot("agg_sum", "agg")
     rated = pairs.select("user_id", "book_id", single.alias("single"), per_book.alias("per_book"))
     own = Window.partitionBy("user_id")
     several = F.count("*").over(own) > 1
