@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import only_wanted
 from .langid import fold
 from .staging import staged
 from .textkernel import LOWER, U, chunks, mix, utf8, word_hashes, words
 
 #: Beginnings of words, in bytes, that patterns look at.
 BEGINNINGS = (4, 5, 6)
-#: Bounds: counted entries, those of them that may become voters, voters, and labelled rows of each class that all of it is fitted on.
-CANDIDATES, ELIGIBLE, VOTERS, ROWS_PER_CLASS = 50_000, 4096, 256, 20_000
+#: Bounds: entries that may become voters, voters, and labelled documents of each class that the label model and the classifier are fitted on.
+ELIGIBLE, VOTERS, ROWS_PER_CLASS = 4096, 256, 20_000
+#: Different entries that a task counts before it sends them on.
+PENDING = 1 << 20
 #: The annotator marks this share of toxic and of clean rows, as far as known beforehand.
 MARKED = (0.9, 0.02)
 LEAST_TOXIC_ROWS = 4
@@ -71,28 +74,48 @@ class Lookup:
         return d[hit], at[hit]
 
 
-def _count_rows(vocabulary: np.ndarray | None):
-    """(entry, n): in how many documents of the task each entry is; only those of the vocabulary, if there is one."""
-    schema = pa.schema([("entry", pa.int64()), ("n", pa.int64())])
+def _count_rows(pending: int = PENDING):
+    """(entry, toxic, clean): in how many toxic and clean documents of the task each entry is."""
+    schema = pa.schema([("entry", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = None if vocabulary is None else Lookup(vocabulary)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            e, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            n = np.concatenate([c for _, c in parts])
+            return e, np.stack([np.bincount(at, weights=n[:, k], minlength=len(e)) for k in (0, 1)], axis=1).astype(np.int64)
+
+        def sent() -> pa.RecordBatch:
+            e, n = parts[0]
+            return pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])], schema=schema)
+
         for batch in batches:
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
             data, offsets = utf8(batch.column("text"))
             for lo, hi in chunks(offsets):
                 o = offsets[lo : hi + 1]
                 d, x = entries(data[o[0] : o[-1]], o - o[0])
-                if look is not None:
-                    d, at = look.find(d, x)
-                    x = look.sorted[at]
                 order = np.lexsort((d, x))
                 d, x = d[order], x[order]
                 new = np.ones(len(x), bool)
                 new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
-                e, n = np.unique(x[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], schema=schema)
-
-    return run, "entry long, n long"
+                d, x = d[new], x[new]
+                is_toxic = toxic[lo:hi][d]
+                parts.append((x, np.stack([is_toxic, ~is_toxic], axis=1)))
+                size += len(x)
+                if size > 2 * pending:
+                    parts[:] = [merged()]
+                    size = len(parts[0][0])
+                    if size > pending:
+                        yield sent()
+                        parts[:], size = [], 0
+        if parts:
+            parts[:] = [merged()]
+            yield sent()
+
+    return run, "entry long, toxic long, clean long"
 
 
 def _hits(vocabulary: np.ndarray, keep: list[str], kinds: str):
@@ -190,46 +213,50 @@ class ToxicityModel:
     bias: float
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, candidates: int = CANDIDATES, eligible: int = ELIGIBLE, voters: int = VOTERS, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
+def telling_entries(train: DataFrame, n1: int, n0: int, eligible: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the `eligible` entries that tell most of the toxic rows of train(toxic, text), by the hash.
+
+    Counts cover all rows; entries are ranked by their ratio before any are cut.
+    """
+    run, kind = _count_rows()
+    counts = train.select("toxic", "text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = (F.col("toxic") + 0.5) / F.lit(n1 + 1.0) / ((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
+    told = counts.where(F.col("toxic") >= LEAST_TOXIC_ROWS).withColumn("ratio", ratio).where("ratio >= 4").withColumn("weight", F.log("ratio"))
+    found = told.orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry").limit(eligible).select("entry", "weight").toPandas()
+    entry, weight = found["entry"].to_numpy(np.int64).view(U), found["weight"].to_numpy(float)
+    order = np.argsort(entry)
+    return entry[order], weight[order]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, eligible: int = ELIGIBLE, voters: int = VOTERS, rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
     """Learn from labels(doc_id, toxic) on docs(doc_id, text), outside the held-out fold.
 
-    All is fitted on at most `rows_per_class` labelled rows of each class,
-    the first by a hash of doc_id; only their ids are broadcast, and only
-    their texts are read again. A doc_id with several labels is toxic if one
-    of them says so. Without toxic rows the model has no voters and scores
-    every text by the prior.
+    Entry counts cover all labelled rows; voters are chosen, and the label
+    model and the classifier fitted, on the rows of at most `rows_per_class`
+    labelled documents of each class, the first by a hash of doc_id. Only
+    labelled texts are shuffled, once. A doc_id with several labels is toxic
+    if one of them says so. Without toxic rows the model has no voters and
+    scores every text by the prior.
     """
     marks = labels.where("toxic is not null and doc_id is not null").where(~fold()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") == 1).cast("int").alias("toxic"))
     marks = staged(marks, "marks")
-    total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = only_wanted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), marks, "doc_id")
+    # Merged at every size: labels grow with the input.
+    train = staged(texts.join(marks.hint("merge"), "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    total = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
-    first = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
-    chosen_ids = F.broadcast(first[0].unionByName(first[1]))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen_ids, "doc_id")
-    train = staged(train.select("toxic", F.xxhash64("doc_id", "text").alias("order"), "text"), "labelled")
     prior = float(np.log((n1 + 1) / (n0 + 1)))
-    run, kind = _count_rows(None)
-    found = train.where("toxic = 1").select("text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") >= LEAST_TOXIC_ROWS).orderBy(F.desc("n"), "entry").limit(candidates).toPandas()
     none = ToxicityModel(np.zeros(0, U), np.zeros(0), prior)
-    if not len(found):
+    if not n1:
         return none
-    entry, toxic = found["entry"].to_numpy().view(U), found["n"].to_numpy()
-    run, kind = _count_rows(entry)
-    clean = train.where("toxic <> 1").select("text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
-    seen = dict(zip(clean["entry"], clean["n"]))
-    other = np.array([seen.get(e, 0) for e in entry.view(np.int64)])
-    of = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    ratio = (toxic + 0.5) / (of.get(1, 0) + 1) / ((other + 0.5) / (of.get(0, 0) + 1))
-    weight = np.where(ratio >= 4, np.log(ratio), 0)
-    order = np.lexsort((entry, -toxic * weight))
-    order = order[weight[order] > 0][:eligible]
-    if not len(order):
+    vocabulary, weight = telling_entries(train, n1, n0, eligible)
+    if not len(vocabulary):
         return none
-    order = order[np.argsort(entry[order])]
-    vocabulary, weight = entry[order], weight[order]
+    ids = train.select("doc_id", "toxic").distinct()
+    first = [ids.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class).select("doc_id") for c in (0, 1)]
+    sample = train.join(F.broadcast(first[0].unionByName(first[1])), "doc_id").select(F.col("toxic").cast("long").alias("toxic"), F.xxhash64("doc_id", "text").alias("order"), "text")
     run, kind = _hits(vocabulary, ["toxic", "order"], "toxic long, order long")
-    rows = sorted(train.select(F.col("toxic").cast("long").alias("toxic"), "order", "text").mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["toxic"]))
+    rows = sorted(sample.mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["toxic"]))
     marks = np.array([float(r["toxic"] == 1) for r in rows])
     hits = [(i, c) for i, r in enumerate(rows) if marks[i] for c in r["code"]]
     row, code = np.array(hits, np.int64).reshape(-1, 2).T

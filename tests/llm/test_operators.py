@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -302,6 +303,31 @@ def test_toxicity(spark):
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Words that fewer than four rows of the fitting sample hold are known by their counts over all rows."""
+    rng = random.Random(9)
+    rude = [f"{a}{b}zzk" for a in "bdgkl" for b in ("ra", "no")]
+    rows = [(i, " ".join([*(f"w{rng.randrange(300)}" for _ in range(20)), *([rude[i // 4 % len(rude)]] * (i % 4 == 0))])) for i in range(1600)]
+    df = documents(spark, rows)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(df, marks, rows_per_class=24)
+    got = toxicity.score_toxicity(df, model).where("held_out").collect()
+    assert auc([(r.score, r.doc_id % 4 == 0) for r in got]) > 0.9
+
+
+def test_toxicity_entry_counts(spark):
+    """Counts are whole where a task sends them on in parts, and entries are ranked by ratio before they are cut."""
+    rows = [(int(i % 3 == 0), f"both w{i % 7} w{i % 7} " + "rare " * (i % 15 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "toxic int, text string").repartition(3)
+    run, kind = toxicity._count_rows(2)
+    got = {r.entry: (r.toxic, r.clean) for r in df.mapInArrow(run, kind).groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
+    word = {w: int(toxicity.entries(*toxicity.utf8(pa.array([w])))[1].view(np.int64)[0]) for w in ("both", "rare", "w3")}
+    truth = {w: tuple(sum(w in t.split() and y == c for y, t in rows) for c in (1, 0)) for w in word}
+    assert {w: got[e] for w, e in word.items()} == truth
+    entry, weight = toxicity.telling_entries(df, 100, 200, 1)
+    assert entry.view(np.int64).tolist() == [word["rare"]] and weight[0] > np.log(4)
+
+
 def test_toxicity_without_labels(spark):
     df = documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
