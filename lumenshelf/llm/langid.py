@@ -21,7 +21,7 @@ from .textkernel import U, chunks, utf8
 
 #: Hashed n-gram buckets.
 BUCKETS = 1 << 15
-#: Labelled documents per language that the regression is trained on, about.
+#: Labelled rows per language that the regression is trained on, at most.
 SAMPLE_PER_LANGUAGE = 1000
 UNKNOWN = "und"
 
@@ -96,7 +96,7 @@ def _document_frequencies(buckets: int):
 
 def _frequencies_of(buckets: int):
     """Relative n-gram frequencies of each document, sparse."""
-    schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("bucket", pa.list_(pa.int32())), ("tf", pa.list_(pa.float32()))])
+    schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("times", pa.int64()), ("bucket", pa.list_(pa.int32())), ("tf", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +106,11 @@ def _frequencies_of(buckets: int):
                 _, g = ngram_buckets(*code_points(data[a:b], np.array([0, b - a])), buckets)
                 at, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(i, 1).cast(pa.string()), batch.column("order").slice(i, 1), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([(n / max(1, n.sum())).tolist()], pa.list_(pa.float32()))],
+                    [batch.column("lang").slice(i, 1).cast(pa.string()), batch.column("order").slice(i, 1), batch.column("times").slice(i, 1), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([(n / max(1, n.sum())).tolist()], pa.list_(pa.float32()))],
                     schema=schema,
                 )
 
-    return run, "lang string, order long, bucket array<int>, tf array<float>"
+    return run, "lang string, order long, times long, bucket array<int>, tf array<float>"
 
 
 @dataclass
@@ -169,13 +169,49 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sample_rows(rows: DataFrame, most: int, buckets: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(order, lang, buckets, frequencies) of the `most` rows of each language of rows(order, text, lang) with the lowest order, in that order.
+
+    A threshold a language, somewhat above what evenly spread orders need,
+    keeps the rest out of the shuffle. Rows equal in order are equal rows:
+    they travel once, with their number. Where they leave a language short,
+    its threshold is raised and its rows are read again.
+    """
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    unit = F.shiftrightunsigned(F.col("order"), 11) / float(1 << 53)
+    rate = {c: (most + 6 * most**0.5 + 20) / n for c, n in count.items()}
+    run, kind = _frequencies_of(buckets)
+    out = []
+    while rate:
+        # As many rates as the model has classes; shuffling by language would gather a third of all texts in one task.
+        rates = rows.sparkSession.createDataFrame(list(rate.items()), "lang string, rate double")
+        drawn = rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")).groupBy("lang", "order").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+        found: dict[str, list] = {c: [] for c in rate}
+        for r in drawn.mapInArrow(run, kind).collect():
+            found[r["lang"]].append(r)
+        for lang, rs in found.items():
+            if rate[lang] < 1 and sum(r["times"] for r in rs) < most:
+                rate[lang] *= 4
+                continue
+            del rate[lang]
+            room = most
+            # As the threshold takes the orders, without their sign.
+            for r in sorted(rs, key=lambda r: r["order"] % (1 << 64)):
+                take = min(room, r["times"])
+                out += [(r["order"], lang, np.array(r["bucket"], np.int64), np.array(r["tf"]))] * take
+                room -= take
+    return sorted(out, key=lambda r: r[:2])
+
+
 def fit_language_model(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, buckets: int = BUCKETS) -> LanguageModel | None:
     """Train on the rows of docs(doc_id, text, lang) outside the held-out fold; None if no row has a language.
 
-    About `sample_per_language` rows of each language, chosen by a hash of
-    the text, fit the regression; document frequencies cover all rows.
+    The classes are the languages of all these rows. The regression is fitted
+    on `sample_per_language` rows of each, or all where a language has fewer:
+    the lowest by a hash of doc_id and text, so that copies are drawn one by
+    one; document frequencies cover all rows.
     """
-    rows = docs.where(~fold() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    rows = docs.where(~fold() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text", F.lit("sample")).alias("order"), "text", "lang")
     run, kind = _document_frequencies(buckets)
     counted = rows.select("text").mapInArrow(run, kind).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(buckets)
@@ -183,23 +219,18 @@ def fit_language_model(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LA
     df[known["bucket"].to_numpy()] = known["n"].to_numpy()
     total = counted.loc[counted["bucket"] < 0, "n"].sum()
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    rate = rows.groupBy("lang").agg((sample_per_language / F.count("*")).alias("rate"))
-    unit = F.shiftrightunsigned(F.col("order"), 11) / float(1 << 53)
-    # As many rates as the model has classes; shuffling by language would gather a third of all texts in one task.
-    chosen = rows.withColumn("order", F.xxhash64("text", F.lit("sample"))).join(F.broadcast(rate), "lang").where(unit < F.col("rate")).select("lang", "order", "text")
-    run, kind = _frequencies_of(buckets)
-    sample = sorted(chosen.mapInArrow(run, kind).collect(), key=lambda r: (r["order"], r["lang"]))
-    langs = sorted({r["lang"] for r in sample})
+    sample = sample_rows(rows, sample_per_language, buckets)
+    langs = sorted({lang for _, lang, _, _ in sample})
     if not langs:
         return None
     code = {c: i for i, c in enumerate(langs)}
-    data = []
-    for r in sample:
-        at = np.array(r["bucket"], np.int64)
-        x = np.array(r["tf"]) * idf[at]
-        data.append((at, x * 20.0, code[r["lang"]]))
-    held = [d for i, d in enumerate(data) if i % 5 == 4]
-    w = train_ftrl([d for i, d in enumerate(data) if i % 5 != 4] or data, len(langs), buckets)
+    data, held, seen = [], [], dict.fromkeys(langs, 0)
+    for _, lang, bucket, tf in sample:
+        row = (bucket, tf * idf[bucket] * 20.0, code[lang])
+        # Every fifth row of a language is held back, so that each has rows to learn from.
+        (held if seen[lang] % 5 == 4 else data).append(row)
+        seen[lang] += 1
+    w = train_ftrl(data, len(langs), buckets)
     scores = np.array([x @ w[at] + w[-1] for at, x, _ in held]).reshape(-1, len(langs))
     t = fit_temperature(scores, np.array([y for *_, y in held], np.int64))
     table = (w[:-1] * (20.0 * idf)[:, None]).astype(np.float32)

@@ -271,6 +271,29 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_of_few_much_repeated_texts(spark):
+    """A language stays a class whichever its texts are, and copies are drawn row by row, to an exact bound."""
+    rng = random.Random(12)
+    texts = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop"[k : k + 6] + " ") for _ in range(40)) + "z"] for k in range(10)}
+    rows = [(i, texts[f"l{i % 10}"][0], f"l{i % 10}") for i in range(3000)] + [(4001, "qrst qrst", "one")]
+    df = documents(spark, rows)
+    model = langid.fit_language_model(df, sample_per_language=20)
+    truth = {i: lang for i, _, lang in rows}
+    assert set(model.langs) == set(truth.values())
+    assert all(r.lang_pred == truth[r.doc_id] for r in langid.identify_languages(df, model).collect() if r.doc_id < 3000)
+
+
+def test_language_sample_is_exact(spark):
+    """The lowest rows by order, as many as asked for, with repeated rows counted one by one."""
+    rng = random.Random(13)
+    orders = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(2000)]
+    rows = [(o, f"text {o}", "xx") for o in orders] + [(-5, "same", "yy")] * 700 + [(7, "few", "zz")] * 3
+    got = langid.sample_rows(spark.createDataFrame(rows, "order long, text string, lang string").repartition(5), 50, 1 << 10)
+    by = {c: sorted((o % (1 << 64) for o, lang, *_ in got if lang == c)) for c in ("xx", "yy", "zz")}
+    assert by["xx"] == sorted(o % (1 << 64) for o in orders)[:50]
+    assert by["yy"] == [(-5) % (1 << 64)] * 50 and by["zz"] == [7] * 3
+
+
 def test_language_without_labels(spark):
     df = documents(spark, [(1, "abc", None), (2, None, None)]).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify_languages(df, langid.fit_language_model(df)).collect()} == {"und"}
