@@ -3,9 +3,9 @@
 The index is a list of immutable runs, each a table sorted by fingerprint of
 the windows' anchors seen in one or more batches of documents, with the
 first document of each context. A new batch is fingerprinted, merge-joined
-with the runs and with itself, candidates are verified word by word against
-the texts, and the batch becomes a run of its own; when there are too many
-runs they are compacted into one, keeping the first document of each context.
+with the runs and with itself. Contexts of equal hashes count as equal; other
+candidates are compared by the hashes of their words. The batch becomes a run
+of its own; when there are too many runs they are compacted into one, keeping the first document of each context.
 Batches come in doc_id order, so a window is a repeat exactly if the index or
 an earlier document of the batch holds it.
 """
