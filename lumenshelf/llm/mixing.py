@@ -1,13 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document is wanted target / source_size times. Its whole copies are
-certain; the fractional copy is a probability, and probabilities are paired
-inside small groups of one source: mass moves at random between two
-documents, the words they take in expectation staying the same, until one of
-them is settled at 0 or 1. A group passes on one unsettled document, and a
-tree of groups settles all but one of each source, so a source misses its
-target by less than one document. Large documents are paired first, so that
-the last one is mostly small.
+certain; the fractional copy is a probability. Inside groups of one source,
+from the largest document down, a coin of the document's own probability says
+whether it is to be taken; then mass is transferred, pair by pair, between it
+and other documents in random order until it is settled, each partner that is
+drained or filled up being settled too, so words in expectation stay the
+same. A group passes on a few small unsettled documents, and a tree of groups
+leaves LEAVE of each source: of their choices the one whose words come
+nearest to what is left is taken.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Unsettled documents that meet in one task.
 GROUP = 4096
+#: Unsettled documents that a group passes on.
+LEAVE = 8
 
 
 def word_count(text: str | Column) -> Column:
@@ -69,39 +72,56 @@ def _uniform(a: int, b: int, step: int) -> float:
     return ((x ^ x >> 31) + 0.5) / (1 << 64)
 
 
-def settle(ids: list[int], sizes: list[float], p: list[float], level: int) -> list[float]:
-    """Pivotal rounding of p, size-weighted; at most one value stays between 0 and 1."""
+def settle(ids: list[int], sizes: list[float], p: list[float], level: int, leave: int = LEAVE) -> list[float]:
+    """Pivotal rounding of p, size-weighted, in the given order (largest first); at most `leave` values stay between 0 and 1.
+
+    Partners come in an order that does not depend on the coin, so each
+    document's own probability is kept too.
+    """
+    out = list(p)
+    partners = sorted((i for i in range(len(p)) if 0.0 < p[i] < 1.0), key=lambda i: (_uniform(ids[i], 0, level), ids[i]), reverse=True)
+    left = len(partners)
+    for i in range(len(p)):
+        if left <= leave:
+            break
+        up = _uniform(ids[i], ids[i], level) < out[i]
+        while left > leave and 0.0 < out[i] < 1.0:
+            while partners[-1] == i or not 0.0 < out[partners[-1]] < 1.0:
+                partners.pop()
+            j = partners[-1]
+            wants = (1 - out[i] if up else out[i]) * sizes[i]
+            has = (out[j] if up else 1 - out[j]) * sizes[j]
+            sign = 1 if up else -1
+            if wants <= has:
+                out[i] = 1.0 if up else 0.0
+                out[j] -= sign * wants / sizes[j]
+            if wants >= has:
+                out[j] = 0.0 if up else 1.0
+                out[i] = out[i] if wants == has else out[i] + sign * has / sizes[i]
+            for k in (i, j):
+                out[k] = min(1.0, max(0.0, out[k]))
+                left -= not 0.0 < out[k] < 1.0
+    return out
+
+
+def nearest(sizes: list[float], p: list[float]) -> list[float]:
+    """Of the choices of the (at most LEAVE) values between 0 and 1 the one whose words come nearest to those wanted."""
+    at = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
+    wanted = sum(p[i] * sizes[i] for i in at)
+    choices = np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1
+    best = choices[np.abs(choices @ np.array([sizes[i] for i in at], float) - wanted).argmin()] if at else []
     out = list(p)
-    i = None
-    for j in range(len(p)):
-        if not 0.0 < out[j] < 1.0:
-            continue
-        if i is None:
-            i = j
-            continue
-        up = min((1 - out[i]) * sizes[i], out[j] * sizes[j])
-        down = min(out[i] * sizes[i], (1 - out[j]) * sizes[j])
-        if _uniform(ids[i], ids[j], level) * (up + down) < down:
-            filled = (1 - out[i]) * sizes[i] <= out[j] * sizes[j]
-            out[j] = 0.0 if not filled else max(0.0, out[j] - up / sizes[j])
-            out[i] = 1.0 if filled else min(1.0, out[i] + up / sizes[i])
-        else:
-            emptied = out[i] * sizes[i] <= (1 - out[j]) * sizes[j]
-            out[j] = 1.0 if not emptied else min(1.0, out[j] + down / sizes[j])
-            out[i] = 0.0 if emptied else max(0.0, out[i] - down / sizes[i])
-        if not 0.0 < out[i] < 1.0:
-            i = j if 0.0 < out[j] < 1.0 else None
+    for i, x in zip(at, best):
+        out[i] = float(x)
     return out
 
 
 def _round_groups(level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="grp").sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first", ignore_index=True)
-        ids = pdf["order"].tolist()
-        p = settle(ids, pdf["size"].astype(float).tolist(), pdf["part"].tolist(), level)
-        if last:
-            p = [float(_uniform(k, k, level) < q) if 0.0 < q < 1.0 else q for k, q in zip(ids, p)]
-        pdf["part"] = np.array(p, float)
+        sizes = pdf["size"].astype(float).tolist()
+        p = settle(pdf["order"].tolist(), sizes, pdf["part"].tolist(), level)
+        pdf["part"] = np.array(nearest(sizes, p) if last else p, float)
         return pdf
 
     return run
@@ -113,12 +133,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     docs needs doc_id, text and source; other columns are ignored. Returns
     doc_id, size (words), source_size, target, taken (copies * size) and
     copies (0 to `most`). Sources are weighted in code point order, null
-    last; a source's taken words differ from its target by less than its
-    largest document. Choices depend on doc_id and size alone, so reruns
-    agree. Null and blank texts have size 0 and take 0 words; their copies
+    last; a source's taken words come as near its target as its last LEAVE,
+    mostly small, documents allow. Choices depend on doc_id and size alone,
+    so reruns agree. Null and blank texts have size 0 and take 0 words; their copies
     are rounded one by one. Null doc_ids and repeated rows are documents of
     their own. No rows give no rows.
     """
+    group = max(group, 4 * LEAVE)
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key("source").alias("source_key"), word_count("text").alias("size")), "sizes")
     targets = staged(source_targets(rows, weights, most), "targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
@@ -129,16 +150,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     rows = rows.select("doc_id", "source_key", "size", "source_size", "target", "order", "n_docs", whole.cast("int").alias("whole"), part.alias("part"))
     schema, done, level = rows.schema, [], 0
     while True:
-        # Level 0 knows the rows of each source; above it one document came from each group.
-        groups = F.ceil(F.col("n_docs") / float(group) ** (level + 1)).cast("long")
+        # Level 0 knows the rows of each source; above it LEAVE documents at most came from each group.
+        rows_left = F.col("n_docs") * (LEAVE / float(group)) ** level
+        groups = F.greatest(F.lit(1), F.ceil(rows_left / float(group))).cast("long")
         dealt = rows.withColumn("grp", F.pmod(F.xxhash64("order", F.lit(level)), groups))
-        most_groups = targets.agg(F.max(F.ceil(F.col("n_docs") / float(group) ** (level + 1)))).first()[0]
+        most_groups = targets.agg(F.max(groups)).first()[0]
         last = most_groups is None or most_groups <= 1
         settled = staged(dealt.groupBy("source_key", "grp").applyInPandas(_round_groups(level, last), schema), f"mix{level}")
         if last:
             done.append(settled)
             break
-        undecided = F.col("part").between(1e-300, 1 - 1e-16)
+        undecided = (F.col("part") > 0) & (F.col("part") < 1)
         done.append(settled.where(~undecided))
         rows, level = settled.where(undecided), level + 1
     out = done[0]
