@@ -1,11 +1,17 @@
-"""Exact top-k inner products by MaxScore over sharded postings.
-
-A vector's dimensions are terms. A shard keeps, for each term, the posting
-of its vectors' components and the bounds of those components. For a query,
-terms are ordered by the most they can add; the terms whose bounds together
-cannot lift a vector over the k-th score so far are non-essential. Essential
-postings are traversed, and the others are probed, term by term, only for
-vectors that can still compete. Shards give their best k, which are merged.
+"""Exact top-k inner products by MaxScore over postings.
+
+A vector's dimensions are terms, and a block of vectors keeps the posting of
+each term with the bounds of its components. For a query, terms are ordered
+by the most they can add in the block. Those whose bounds together stay below
+the query's k-th score so far are non-essential: a vector that only they hold
+cannot enter the list. Essential postings are traversed, and the others are
+probed, a few terms at a time, only for vectors that can still compete. The
+k-th score rises from block to block of a task; tasks give their best k,
+which are merged.
+
+Shape of the job: queries go to the vectors and never the other way. They are
+broadcast in waves of a bounded size, and a wave is one scan of all vectors
+without a shuffle; what is shuffled is k rows a query and task.
 """
 
 from __future__ import annotations
@@ -19,94 +25,169 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: Vectors in a shard and queries in a block.
-SHARD, QUERIES = 4096, 1024
-
-
-def quantised(vector: str | Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; null where the vector or a component is null or not finite."""
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return F.when(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)), v) if isinstance(vector, str) else v
-
-
-def top_of_shard(ids: np.ndarray, shard: np.ndarray, query_id: int, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact best k (ids, scores) of a shard (terms, vectors) that reach `least`, ties to the smaller id."""
-    high = np.maximum(query * shard.max(axis=1), query * shard.min(axis=1))
-    own = ids == query_id
-    order = np.argsort(-high, kind="stable")
-    rest = np.concatenate([np.cumsum(high[order][::-1])[::-1], [0]])
-    alive, score = np.flatnonzero(~own), None
-    step = max(8, len(order) // 4)
-    for first in range(0, len(order), step):
-        terms = order[first : first + step]
-        terms = terms[query[terms] != 0]
-        part = query[terms] @ (shard[terms] if first == 0 else shard[np.ix_(terms, alive)])
-        score = part[alive] if first == 0 else score + part
-        left = rest[min(first + step, len(order))]
-        still = score + left >= least
-        if not still.all():
-            alive, score = alive[still], score[still]
-        if not len(alive):
-            break
-    if len(alive) > k:
-        cut = np.partition(score, len(score) - k)[len(score) - k]
-        alive, score = alive[score >= cut], score[score >= cut]
-    best = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive][best], score[best]
-
-
-def _shards(size: int):
-    schema = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("dims", pa.int32())])
+#: Vectors in a block, and bytes of query vectors that are broadcast at once.
+BLOCK, WAVE_BYTES = 2048, 16 << 20
+#: Share of components that are not zero from which a block's postings are kept as rows of a matrix.
+DENSE = 0.25
+#: Terms that are probed at once.
+PROBE = 8
+#: Products and sums below this are exact in doubles.
+EXACT = float(1 << 53)
+
+
+def vectors_of(ids: pa.Array, vectors: pa.Array, scale: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, floor(scale * x) as rows) of the vectors of each length; those that are null, empty or hold null or non-finite components are left out."""
+    ok = ids.is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False)
+    offsets = vectors.offsets.to_numpy()
+    values = vectors.values.to_numpy(zero_copy_only=False).astype(float)
+    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    size = np.diff(offsets)
+    for dims in np.unique(size[ok]):
+        at = np.flatnonzero(ok & (size == dims))
+        if not dims:
+            continue
+        rows = np.floor(values[offsets[at][:, None] + np.arange(dims)] * scale)
+        good = np.isfinite(rows).all(axis=1)
+        yield numbers[at[good]].astype(np.int64), rows[good].astype(np.int64)
+
+
+class Block:
+    """Postings of some vectors: a matrix by term where they are dense, else (vector, component) lists by term."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.n, self.terms = ids, len(rows), rows.shape[1]
+        self.high, self.low = rows.max(axis=0), rows.min(axis=0)
+        self.peak = float(np.abs(rows).max())
+        self.dense = np.count_nonzero(rows) >= DENSE * rows.size
+        self.probed = 0
+        if self.dense:
+            self.rows = {float: np.ascontiguousarray(rows.T.astype(float)), int: rows.T}
+        else:
+            term, self.who = np.nonzero(rows.T)
+            self.what = rows.T[term, self.who]
+            self.start = np.searchsorted(term, np.arange(self.terms + 1))
+
+    def traverse(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, partial scores) of all that the postings of `terms` hold."""
+        if self.dense:
+            return np.arange(self.n), weights @ self.rows[float if weights.dtype == float else int][terms]
+        lists = [slice(self.start[t], self.start[t + 1]) for t in terms]
+        who = np.concatenate([self.who[x] for x in lists])
+        part = np.concatenate([self.what[x] * w for x, w in zip(lists, weights)])
+        found, place = np.unique(who, return_inverse=True)
+        score = np.zeros(len(found), weights.dtype)
+        np.add.at(score, place, part)
+        return found, score
+
+    def probe(self, terms: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """What `terms` add to the scores of `vectors` (ascending)."""
+        self.probed += len(vectors) * len(terms)
+        if self.dense:
+            return weights @ self.rows[float if weights.dtype == float else int][np.ix_(terms, vectors)]
+        out = np.zeros(len(vectors), weights.dtype)
+        for t, w in zip(terms, weights):
+            who, what = self.who[self.start[t] : self.start[t + 1]], self.what[self.start[t] : self.start[t + 1]]
+            at = np.minimum(np.searchsorted(who, vectors), max(0, len(who) - 1))
+            if len(who):
+                out += np.where(who[at] == vectors, what[at] * w, 0)
+        return out
+
+    def search(self, query: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the vectors that reach `least`, and perhaps a few more."""
+        whole = self.peak * float(np.abs(query).sum()) < EXACT
+        bound = np.maximum(query.astype(float) * self.high, query.astype(float) * self.low)
+        order = np.flatnonzero(query)
+        order = order[np.argsort(-bound[order], kind="stable")]
+        weights = query[order].astype(float) if whole else query[order]
+        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])
+        # Bounds may be rounded where they are not exact.
+        room = 0.0 if whole else 1e-12 * float(np.abs(bound).sum()) + 1
+        below = np.flatnonzero(rest + room < least)
+        if len(below):
+            first = int(below[0])
+            if not first:
+                return self.ids[:0], weights[:0]
+            at, score = self.traverse(order[:first], weights[:first])
+        else:
+            # Every term is essential, and even a vector without any of them competes.
+            first, at, score = len(order), np.arange(self.n), np.zeros(self.n, weights.dtype)
+            if first:
+                some, part = self.traverse(order, weights)
+                score[some] = part
+        while True:
+            still = score + (rest[first] + room) >= least
+            if not still.all():
+                at, score = at[still], score[still]
+            if first == len(order) or not len(at):
+                return self.ids[at], score
+            score = score + self.probe(order[first : first + PROBE], weights[first : first + PROBE], at)
+            first = min(first + PROBE, len(order))
+
+
+class Lists:
+    """The best k of each query so far; equal (id, score) pairs count once, ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * queries
+
+    def least(self, q: int) -> float:
+        return float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(ids):
+            return
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores.astype(np.int64)])
+        if len(ids) > 4 * self.k:
+            # Repeats may hide better ones only among equal ids, so twice the distinct k are looked for among all.
+            cut = np.partition(scores, len(scores) - 2 * self.k)[len(scores) - 2 * self.k]
+            if len(np.unique(ids[scores >= cut])) >= self.k:
+                ids, scores = ids[scores >= cut], scores[scores >= cut]
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        self.ids[q], self.scores[q] = ids[new][: self.k], scores[new][: self.k]
+
+
+def _search(shared, k: int, size: int):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-
-        def row(dims: int) -> pa.RecordBatch:
-            ids, vectors = held.pop(dims)
-            block = np.array(vectors, np.int64).reshape(-1, dims)
-            return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()]), pa.array([block.tobytes()]), pa.array([dims], pa.int32())], schema=schema)
+        queries: dict[int, tuple[np.ndarray, np.ndarray]] = shared.value
+        lists = {dims: Lists(len(ids), k) for dims, (ids, _) in queries.items()}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def scan(dims: int, last: bool) -> None:
+            ids, rows = (np.concatenate(x) for x in zip(*held.pop(dims)))
+            for at in range(0, len(ids), size):
+                if len(ids) - at < size and not last:
+                    held[dims] = [(ids[at:], rows[at:])]
+                    break
+                block = Block(ids[at : at + size], rows[at : at + size])
+                for q, (own, query) in enumerate(zip(*queries[dims])):
+                    found, score = block.search(query, lists[dims].least(q))
+                    other = found != own
+                    lists[dims].add(q, found[other], score[other])
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) >= size:
-                    yield row(len(v))
+            for ids, rows in vectors_of(batch.column("vec_id"), batch.column("embedding")):
+                dims = rows.shape[1]
+                if dims in queries and len(ids):
+                    held.setdefault(dims, []).append((ids, rows))
+                    if sum(len(x) for x, _ in held[dims]) >= size:
+                        scan(dims, False)
         for dims in [*held]:
-            yield row(dims)
-
-    return run, "ids binary, vectors binary, dims int"
-
-
-def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, vectors, dims, q_ids, queries in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "dims", "q_ids", "queries"))):
-                ids = np.frombuffer(ids, np.int64)
-                # Sums of integer products below 2**53 are exact in doubles.
-                shard = np.ascontiguousarray(np.frombuffer(vectors, np.int64).reshape(len(ids), dims).T.astype(float))
-                q_ids = np.frombuffer(q_ids, np.int64)
-                out: list[list] = [[], [], []]
-                for q, v in zip(q_ids.tolist(), np.frombuffer(queries, np.int64).reshape(len(q_ids), dims).astype(float)):
-                    least = -np.inf
-                    if len(ids) > 4 * k:
-                        # The k-th score of a few vectors bounds the k-th of the shard from below.
-                        few = (v @ shard[:, : 64])[ids[: 64] != q]
-                        least = np.partition(few, len(few) - k)[len(few) - k] if len(few) >= k else least
-                    at, score = top_of_shard(ids, shard, q, v, k, least)
-                    out[0] += [q] * len(at)
-                    out[1] += at.tolist()
-                    out[2] += score.astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+            scan(dims, True)
+        for dims, (ids, _) in queries.items():
+            count = [len(x) for x in lists[dims].ids]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), *(pa.array(np.concatenate(x)) for x in (lists[dims].ids, lists[dims].scores))], schema=schema)
 
     return run, "query_id long, vec_id long, score long"
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, block: int = BLOCK, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     vectors needs vec_id and embedding; other columns are ignored. `queries`
@@ -114,22 +195,31 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard: int = SHARD, b
     those with the query's own vec_id. Rows with a null vec_id, a null
     vector, or a null or non-finite component take no part; an empty vector
     neither; vectors are only compared with vectors of their own length.
-    Identical repeated rows count once. Ties go to the smaller vec_id; with fewer
-    than k candidates all are returned; no rows give no rows.
+    Repeated rows count once. Sums are exact up to 63 bits. Ties go to the
+    smaller vec_id; with fewer than k candidates all are returned; no rows
+    give no rows.
     """
-    rows = vectors.withColumn("_query", F.coalesce(queries, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised("embedding").alias("v"), "_query")
-    rows = rows.where(F.col("vec_id").isNotNull() & (F.size(F.coalesce("v", F.array())) > 0)).dropDuplicates(["vec_id", "v"])
-    rows = staged(rows, "vectors")
-    run, kind = _shards(block)
-    asked = rows.where("_query").select("vec_id", "v").coalesce(8).mapInArrow(run, kind)
-    asked = staged(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("queries"), F.col("dims").alias("q_dims"), F.monotonically_increasing_id().alias("slot")), "queries")
-    slots = [r["slot"] for r in asked.select("slot").collect()]
-    run, kind = _shards(shard)
-    kept = rows.select("vec_id", "v").mapInArrow(run, kind)
-    pairs = kept.withColumn("slot", F.explode(F.array(*map(F.lit, slots)) if slots else F.array().cast("array<bigint>"))).join(asked, "slot").where("dims = q_dims")
-    run, kind = _search(k)
-    # A stage of its own: one task a few (shard, block) pairs.
-    found = pairs.drop("slot", "q_dims").repartition(F.xxhash64("ids", "q_ids")).mapInArrow(run, kind)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id", "score"])
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    context = vectors.sparkSession.sparkContext
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("_query"))
+    rows = rows.where("vec_id is not null and size(embedding) > 0")
+    asked = rows.where("_query").select("vec_id", "embedding").distinct()
+    size = asked.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    # Of about equal size, by a hash of vec_id.
+    waves = max(1, -(-size // wave_bytes))
+    run_of = rows.select("vec_id", "embedding")
+    found = []
+    for wave in range(waves):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).toArrow()
+        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in part.to_batches():
+            for ids, v in vectors_of(b.column("vec_id"), b.column("embedding")):
+                by.setdefault(v.shape[1], []).append((ids, v))
+        shared = context.broadcast({dims: tuple(np.concatenate(x) for x in zip(*parts)) for dims, parts in by.items()})
+        run, kind = _search(shared, k, block)
+        best = run_of.mapInArrow(run, kind)
+        found.append(staged(best, "best") if waves > 1 else best)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
