@@ -1,10 +1,10 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its own content says so (after a few letter and space
-patterns, within a least and a greatest length), so equal passages give equal
-chunks wherever they stand. Chunk bodies move once, to be collapsed and to
-verify that no two different chunks share a digest; from then on a document
-is its ordered list of chunk identifiers, and only those lists are compared.
+A text is cut where its own characters say so (within a least and a greatest
+length), so equal passages give equal chunks wherever they stand. Chunk
+bodies move once, to be collapsed and to verify that no two different chunks
+share a digest; from then on a document is its ordered list of chunk
+identifiers, and only those lists are compared.
 """
 
 from __future__ import annotations
@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: A cut follows a full stop or a line end, or one of a few letter pairs before a space.
-CUT = r"(?s).{256,2047}?(?:[.!?\n]\s|\n|[aeiou][nst]\s)|.{1,2048}"
+#: Of code points past Latin one in 32 or 64: a text in any script holds one every few dozen characters, and where they stand is its own.
+_MARKS = "".join(f"\\x{{{c:x}}}" for c in range(0x400, 0x1000, 32)) + "".join(f"\\x{{{c:x}}}-\\x{{{c + 15:x}}}" for c in range(0x1000, 0xD800, 1024))
+#: A cut follows a line end, a full stop or one of a few letters around a space, a closing mark of code, or a mark of another script.
+#: These are about as far apart as a chunk is long at least, so two texts cut alike a few chunks after they begin to agree.
+CUT = rf"(?s).{{64,2047}}?(?:[.!?\n]\s|\n|[aeiou][nst]\s[aeiou]|[;{{}}][^\s;{{}}]|(?=[^\x00-\x{{3ff}}])[{_MARKS}])|.{{1,2048}}"
 
 
 def chunk_digest(chunk: Column) -> Column:
@@ -67,7 +70,8 @@ def exact_duplicates(docs: DataFrame, cut: str = CUT, digest=chunk_digest) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("body"))
     rows = rows.withColumn("text_sha256", F.sha2("body", 256))
     listed = staged(recipes(rows, cut, digest), "recipes")
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("size")).where("size > 1")
+    # Staged, so that the join deals both sides anew and Spark can split the rows of a large group.
+    groups = staged(listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("size")).where("size > 1"), "groups")
     out = listed.join(groups, "recipe", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return out.select(
