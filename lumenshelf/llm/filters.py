@@ -1,4 +1,4 @@
-"""A fixed-size filter that keeps rows nobody asks for out of a shuffle."""
+"""A filter of bounded size that keeps rows nobody asks for out of a shuffle."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 
 from .textkernel import U
 
-#: Bits of the filter: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits a wanted row, and the most of all: 16 MB, broadcast.
+BITS_PER_ROW, MOST_BITS = 16, 1 << 27
 
 
-def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = MOST_BITS) -> DataFrame:
     """The rows whose key may be in `wanted`; the exact join is the caller's.
 
-    When the bitmap fills up it only keeps more rows. Null keys may go.
+    The bitmap has BITS_PER_ROW bits for each counted row of `wanted`, up to
+    `most_bits`; up to there about one row in 16 that nobody asks for stays.
+    Beyond, the share that stays rises to all, which costs the caller's join
+    one shuffle of `rows` and changes no result. Null keys may go.
     """
+    bits = min(most_bits, max(1 << 16, 1 << (wanted.count() * BITS_PER_ROW - 1).bit_length()))
 
     def slot() -> Column:
         return F.pmod(F.xxhash64(key), F.lit(bits))

@@ -3,11 +3,12 @@
 The index is a list of immutable runs, each a table sorted by fingerprint of
 the windows' anchors seen in one or more batches of documents, with the
 first document of each context. A new batch is fingerprinted, merge-joined
-with the runs and with itself. Contexts of equal hashes count as equal; other
-candidates are compared by the hashes of their words. The batch becomes a run
-of its own; when there are too many runs they are compacted into one, keeping the first document of each context.
-Batches come in doc_id order, so a window is a repeat exactly if the index or
-an earlier document of the batch holds it.
+with the runs and with itself, and what matches is verified: contexts are
+equal where the digests of their words are, and windows of different
+contexts are compared word by word. The batch becomes a run of its own; when
+there are too many runs they are compacted into one, keeping the first
+document of each context. Batches come in doc_id order, so a window is a
+repeat exactly if the index or an earlier document of the batch holds it.
 """
 
 from __future__ import annotations
@@ -21,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import FINER, HOT, anchors, batches_of_groups, contexts, numbered, word_units
+from .anchors import HOT, anchors, batches_of_groups, contexts, hot_windows, numbered, word_units
 from .filters import only_wanted
 from .run_length_index import spans_of, union_mask
-from .staging import staged
-from .textkernel import U, Prefix, chunks, mix, utf8, words
+from .staging import discard, staged
+from .textkernel import U, Prefix, chunks, joined_words, mix, utf8, word_hashes
 
 WINDOW = 50
 ANCHOR = 25
 #: Batches of the query, and runs beyond which they are compacted.
 BATCHES, MOST_RUNS = 3, 2
-#: Bytes of word hashes that one verification covers, about.
+#: Bytes of words that one verification covers, about.
 VERIFY_BYTES = 8 << 20
 
 #: First document of a context, and where in it.
@@ -56,31 +57,33 @@ class FingerprintIndex:
         self.runs.append(staged(run, "run", ["fp", "ctx"]))
         if len(self.runs) > self.most_runs:
             merged = self.entries().groupBy("fp", "ctx").agg(F.min(F.struct(*_FIRST)).alias("m")).select("fp", "ctx", "m.*")
-            self.runs = [staged(merged, "run", ["fp", "ctx"])]
+            old, self.runs = self.runs, [staged(merged, "run", ["fp", "ctx"])]
+            discard(*old)
 
 
 def shared_windows(rows: dict[str, list], window: int, k: int) -> list[np.ndarray]:
     """Of each context, the starts of its windows that a context of its group holds with a smaller first_doc.
 
     Windows are compared at equal offsets from the anchor; a hash brings
-    equal ones together, and the words' own hashes confirm them.
+    equal ones together, and their words confirm them, run by run.
     """
     reach = window - k
-    n = len(rows["grp"])
-    words_of = [np.frombuffer(c, U) for c in rows["content"]]
-    base = np.concatenate([[0], np.cumsum([len(w) for w in words_of])])
-    flat = np.concatenate(words_of)
-    prefix = Prefix(flat)
+    n = len(rows["fp"])
+    text = np.frombuffer(b"".join(rows["content"]), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in rows["content"]])])
+    text, ws, we, wd = joined_words(text, offsets)
+    base = np.searchsorted(wd, np.arange(n + 1))
+    prefix, raw = Prefix(word_hashes(text, ws, we)), text.tobytes()
     own, start, keys = [], [], []
     for i in range(n):
         before = rows["pos"][i] - rows["lo"][i]
-        first, last = max(0, before - reach), min(before, len(words_of[i]) - window)
+        first, last = max(0, before - reach), min(before, int(base[i + 1] - base[i]) - window)
         if last < first:
             continue
         s = np.arange(first, last + 1)
         own.append(np.full(len(s), i))
         start.append(s + base[i])
-        keys.append((s - before).astype(U) * U(0x9E3779B97F4A7C15) + U(rows["grp"][i] & (1 << 64) - 1))
+        keys.append((s - before).astype(U) * U(0x9E3779B97F4A7C15) + U(rows["fp"][i] & (1 << 64) - 1))
     hits: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     if not own:
         return hits
@@ -92,12 +95,21 @@ def shared_windows(rows: dict[str, list], window: int, k: int) -> list[np.ndarra
     leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     later = doc[order] > doc[leader]
     mine, its = order[later], leader[later]
-    span = np.arange(window)
+    by_place = np.lexsort((start[mine], own[mine]))
+    mine, its = mine[by_place], its[by_place]
+
+    def same(a: int, b: int, size: int) -> bool:
+        return raw[ws[a] : we[a + size - 1]] == raw[ws[b] : we[b + size - 1]]
+
+    # Runs of windows one after another, on both sides.
+    new = np.ones(len(mine), bool)
+    new[1:] = (own[mine[1:]] != own[mine[:-1]]) | (np.diff(start[mine]) != 1) | (np.diff(start[its]) != 1)
     sure = np.ones(len(mine), bool)
-    for a in range(0, len(mine), 4096):
-        sure[a : a + 4096] = (flat[start[mine[a : a + 4096], None] + span] == flat[start[its[a : a + 4096], None] + span]).all(axis=1)
+    edges = [*np.flatnonzero(new), len(mine)]
+    for a, b in zip(edges, edges[1:]):
+        if not same(start[mine[a]], start[its[a]], b - a + window - 1):
+            sure[a:b] = [same(start[i], start[j], window) for i, j in zip(mine[a:b], its[a:b])]
     mine = mine[sure]
-    mine = mine[np.lexsort((start[mine], own[mine]))]
     cut = np.searchsorted(own[mine], np.arange(n + 1))
     for i in range(n):
         if cut[i + 1] > cut[i]:
@@ -106,7 +118,7 @@ def shared_windows(rows: dict[str, list], window: int, k: int) -> list[np.ndarra
 
 
 def _verify(window: int, k: int, limit: int):
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of_groups(batches, limit):
@@ -118,46 +130,57 @@ def _verify(window: int, k: int, limit: int):
                     column += x
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
-    return run, "fp long, ctx long, s int, e int"
+    return run, "fp long, ctx binary, s int, e int"
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, hot: int = HOT, finer: int = FINER, limit: int = VERIFY_BYTES) -> DataFrame:
+def add_batch(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, hot: int = HOT, limit: int = VERIFY_BYTES) -> DataFrame:
     """Marks (row_id, s, e) of the batch's repeated words; the batch is then part of the index.
 
     batch and texts are (row_id, doc_id, text); every doc_id of the batch is
-    above all that the index holds, and texts has the rows of both.
+    above all that the index holds, and texts has the rows of both. Tables
+    are staged before they are joined by fingerprint, so that Spark can split
+    the rows of a hot one.
     """
-    ids = batch.select("row_id", F.col("doc_id").alias("first_doc")) if "doc_id" in batch.columns else None
-    found = staged(anchors(batch.where("doc_id is not null"), word_units, window, k), "anchors")
-    same_id = batch.where("doc_id is not null and doc_id <> row_id").isEmpty()
-    found = found.withColumn("first_doc", F.col("row_id")) if same_id else staged(found.join(ids, "row_id"), "anchors")
-    old = index.entries()
-    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    own = found.groupBy("fp", "ctx").agg(F.min(F.struct(*_FIRST)).alias("m")).select("fp", "ctx", "m.*")
-    known = twice
+    batch = batch.where("doc_id is not null")
+    every = anchors(batch, word_units, window, k)
+    if batch.where("doc_id <> row_id").isEmpty():
+        every = staged(every.withColumn("first_doc", F.col("row_id")), "anchors")
+    else:
+        every = staged(every.join(batch.select("row_id", F.col("doc_id").alias("first_doc")), "row_id"), "anchors")
+    run_of_batch = every.groupBy("fp", "ctx").agg(F.min(F.struct(*_FIRST)).alias("m")).select("fp", "ctx", "m.*")
+    old, known = index.entries(), every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     if old is not None:
-        new_fps = found.select("fp").distinct()
-        old = staged(old.join(new_fps, "fp", "left_semi"), "known")
-        known = twice.unionByName(old.select("fp")).distinct()
-    here = staged(found.join(known, "fp", "left_semi"), "repeated")
-    classes = here.select("fp", "ctx", "first_doc", "row_id", "pos", "left", "right", F.lit(True).alias("fresh"))
+        new = staged(every.select("fp").distinct(), "new")
+        old = staged(old.join(new, "fp", "left_semi"), "old")
+        known = known.unionByName(old.select("fp")).distinct()
+        discard(new)
+    known = staged(known, "known")
+    here = staged(every.join(known, "fp", "left_semi"), "repeated")
+    classes = here.select("fp", "ctx", *_FIRST, F.lit(True).alias("fresh"))
     if old is not None:
         classes = classes.unionByName(old.withColumn("fresh", F.lit(False)))
     classes = classes.groupBy("fp", "ctx").agg(F.min(F.struct("first_doc", "fresh", "row_id", "pos", "left", "right")).alias("m"))
     classes = staged(classes.select("fp", "ctx", "m.*"), "classes")
     # Not the first document of its context: all of the context is a repeat.
-    first = here.join(classes.select("fp", "ctx", F.col("first_doc").alias("earliest")), ["fp", "ctx"])
+    first = staged(here.join(classes.select("fp", "ctx", F.col("first_doc").alias("earliest")), ["fp", "ctx"]), "first")
     whole = first.where("first_doc > earliest").select("row_id", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
     # The first is compared with the other contexts of its fingerprint, where one has an earlier document.
     several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("first_doc").alias("least"), F.max(F.when(F.col("fresh"), F.col("first_doc"))).alias("newest"))
-    several = several.where("m > 1 and newest > least").select("fp", (F.col("m") > hot).alias("hot"))
-    places = staged(classes.join(several, "fp").select("fp", "ctx", "first_doc", "row_id", "pos", "left", "right", "hot"), "places")
-    groups = contexts(texts, places, word_units, window, k, 8, finer, ("ctx", "first_doc"))
+    several = staged(several.where("m > 1 and newest > least").select("fp", (F.col("m") > hot).alias("hot")), "several")
+    places = staged(classes.join(several, "fp").select("fp", "ctx", *_FIRST, "hot"), "places")
+    discard(here, known, classes, several, old)
     run, kind = _verify(window, k, limit)
-    windows = groups.repartition("grp").sortWithinPartitions("grp", "first_doc", "pos").mapInArrow(run, kind)
+    carry = {"ctx": "binary", "first_doc": "long"}
+    groups = contexts(texts, places.where("not hot"), word_units, carry)
+    windows = groups.repartition("fp").sortWithinPartitions("fp", "first_doc", "pos").mapInArrow(run, kind)
+    large = places.where("hot")
+    if not large.isEmpty():
+        held = staged(contexts(texts, large, word_units, carry).withColumnRenamed("first_doc", "ord"), "hot")
+        windows = windows.unionByName(hot_windows(held, window, k, True, lambda n, least, own: least < own))
     part = first.where("first_doc = earliest").join(windows, ["fp", "ctx"]).select("row_id", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
     marks = staged(whole.unionByName(part), "marks")
-    index.add(own)
+    index.add(run_of_batch)
+    discard(every, places, first)
     return marks
 
 
@@ -171,8 +194,7 @@ def _kept(with_marks: bool):
             out: list[list] = [[], [], []]
             for lo, hi in chunks(offsets):
                 o = offsets[lo : hi + 1] - offsets[lo]
-                text = data[offsets[lo] : offsets[hi]]
-                ws, we, wd = words(text, o)
+                text, ws, we, wd = joined_words(data[offsets[lo] : offsets[hi]], o)
                 cut = np.searchsorted(wd, np.arange(hi - lo + 1))
                 raw = text.tobytes()
                 for i in range(hi - lo):
@@ -190,7 +212,7 @@ def _kept(with_marks: bool):
     return run, "row_id long, n_words long, removed long, sha string" if not with_marks else "row_id long, removed long, sha string"
 
 
-def remove_repeated_windows(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int = ANCHOR, hot: int = HOT, finer: int = FINER, most_runs: int = MOST_RUNS) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, k: int = ANCHOR, hot: int = HOT, most_runs: int = MOST_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 after removing repeated windows of `window` words.
 
     docs needs doc_id and text; other columns are ignored. A word goes if a
@@ -209,7 +231,7 @@ def remove_repeated_windows(docs: DataFrame, batches: int = BATCHES, window: int
         batch = batch if lo is None else batch.where(F.col("doc_id") > lo)
         batch = batch if hi is None else batch.where(F.col("doc_id") <= hi)
         so_far = rows if hi is None else rows.where(F.col("doc_id") <= hi)
-        new = add_batch(index, batch, so_far, window, k, hot, finer)
+        new = add_batch(index, batch, so_far, window, k, hot)
         marks = new if marks is None else marks.unionByName(new)
     run, kind = _kept(False)
     base = rows.select("row_id", "text").mapInArrow(run, kind)

@@ -7,6 +7,10 @@ suffix with its neighbour is computed only at run ends (and among suffixes
 that the sort left tied). From these samples the matching statistics of all
 other places follow in text order, each one less than its predecessor's.
 Places whose match reaches the length start a repeated window.
+
+Two parts of the work need no index: a context that occurs twice, known by a
+digest of its bytes, is repeated from end to end; and groups too large for
+one task are narrowed down by digests of spans (`anchors.hot_windows`).
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import FINER, HOT, anchors, batches_of_groups, byte_units, contexts, numbered
+from .anchors import HOT, anchors, batches_of_groups, byte_units, contexts, hot_windows, numbered
 from .filters import only_wanted
-from .staging import staged
-from .textkernel import chunks, utf8
+from .staging import discard, staged
+from .textkernel import utf8
 
 LENGTH = 400
 ANCHOR = 192
@@ -192,24 +196,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row_id"), *(pa.array(x, t) for x, t in zip(out, schema.types[1:]))], schema=schema)
 
 
-def repeated_marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, finer: int = FINER, limit: int = INDEX_BYTES) -> DataFrame:
-    """(row_id, s, e): byte ranges of rows(row_id, text) that repeated strings of `length` bytes cover."""
-    found = staged(anchors(rows, byte_units, length, anchor), "anchors")
-    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    found = staged(found.join(twice, "fp", "left_semi"), "repeated")
+def repeated_marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, limit: int = INDEX_BYTES) -> DataFrame:
+    """(row_id, s, e): byte ranges of rows(row_id, text) that repeated strings of `length` bytes cover.
+
+    Counts are staged before they are joined, so that Spark can split the
+    rows of a hot fingerprint.
+    """
+    every = staged(anchors(rows, byte_units, length, anchor), "anchors")
+    twice = staged(every.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "twice")
+    found = staged(every.join(twice, "fp", "left_semi"), "repeated")
+    discard(every, twice)
     classes = staged(found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos", "left", "right")).alias("rep")), "classes")
-    # A context that occurs twice is repeated from end to end.
-    whole = found.join(classes.where("n > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("row_id", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e"))
+    whole = found.join(classes.where("n > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi")
+    whole = staged(whole.select("row_id", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e")), "whole")
     # The others are compared with all contexts of their fingerprint.
-    several = classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    places = classes.join(several, "fp").select("fp", "rep.*", (F.col("m") > hot).alias("hot"))
+    several = staged(classes.groupBy("fp").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"), "several")
+    places = staged(classes.join(several, "fp").select("fp", "ctx", "rep.*", (F.col("m") > hot).alias("hot")), "places")
+    discard(found, classes, several)
     run, kind = _index(length, limit)
-    groups = contexts(rows, staged(places, "places"), None, length, anchor, 1, finer)
-    part = groups.repartition("grp").sortWithinPartitions("grp", "row_id", "lo").mapInArrow(run, kind)
-    return whole.unionByName(part)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, finer: int = FINER, limit: int = INDEX_BYTES) -> DataFrame:
+    groups = contexts(rows, places.where("not hot"), byte_units)
+    part = staged(groups.repartition("fp").sortWithinPartitions("fp", "row_id", "lo").mapInArrow(run, kind), "part")
+    marks = whole.unionByName(part)
+    large = places.where("hot")
+    if not large.isEmpty():
+        held = staged(contexts(rows, large, byte_units, {"ctx": "binary"}).withColumn("ord", F.lit(0).cast("long")), "hot")
+        shared = hot_windows(held, length, anchor, False, lambda n, least, own: n > 1)
+        marks = marks.unionByName(large.join(shared, ["fp", "ctx"]).select("row_id", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e")))
+    return marks
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, limit: int = INDEX_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 after removing repeated strings of `length` bytes.
 
     docs needs doc_id and text; other columns are ignored. Every byte goes
@@ -220,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     repeated row is removed in all its places. No rows give no rows.
     """
     rows = numbered(docs)
-    marks = staged(repeated_marks(rows, length, anchor, hot, finer, limit), "marks")
+    marks = staged(repeated_marks(rows, length, anchor, hot, limit), "marks")
     listed = marks.groupBy("row_id").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     texts = only_wanted(rows.select("row_id", "text"), marks, "row_id")
     cut = texts.join(listed.hint("merge"), "row_id").select("row_id", "text", "marks").mapInArrow(_cut, "row_id long, removed long, spans long, sha string")

@@ -74,6 +74,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ws, we, np.searchsorted(offsets, ws, "right") - 1
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a batch with one space after each that is not its document's last; start, end and document of each."""
+    ws, we, wd = words(data, offsets)
+    if not len(ws):
+        return data[:0], ws, we, wd
+    keep = ~SPACE[data]
+    gap = we[:-1][wd[1:] == wd[:-1]]
+    keep[gap] = True
+    new = np.cumsum(keep)
+    spaced = data.copy()
+    spaced[gap] = 0x20
+    return spaced[keep], new[ws] - 1, new[we - 1], wd
+
+
 def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
     """64-bit hash of each word, eight bytes at a time."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
