@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators: language, exact and near copies, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns documents again, the last
-one packed pieces. Stages hold for clashing extra columns, nulls, empty
-tables and repeated rows as the operators' docstrings say.
+one packed pieces. Stages hold for clashing extra columns, nulls and empty
+tables. Where a doc_id is missing or repeats, a stage numbers the rows itself
+and takes these numbers for doc_ids, so that each row is judged alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,17 @@ from lumenshelf.llm import exact_dedup, langid, minhash, mixing, packing
 from lumenshelf.llm.staging import staged
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column that numbers its rows, and that column's name: doc_id where it is unique and never null."""
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    id_ = F.col("doc_id").cast("long")
+    if docs.groupBy(id_.alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null").isEmpty():
+        return docs.withColumn(name, id_), name
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; null texts and texts without a letter go."""
     return langid.drop_unidentified(docs, langid.fit_language_model(docs))
@@ -21,32 +33,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that with the largest doc_id."""
-    found = staged(exact_dedup.exact_duplicates(docs), "copies")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
-    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    # Rows that repeat both doc_id and text: one stays.
-    return kept.withColumn("_text_key", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    rows, row = _numbered(docs)
+    found = staged(exact_dedup.exact_duplicates(rows.select(F.col(row).alias("doc_id"), "text")), "copies")
+    return _without(rows, row, found.where("not kept").select("doc_id")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (80 % of five-word shingles), that with the least doc_id."""
-    found = staged(minhash.near_duplicates(docs, percent=80), "near")
-    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept")).where("not _kept").select("_id")
+    rows, row = _numbered(docs)
+    found = staged(minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=80), "near")
+    return _without(rows, row, found.where("not kept").select("doc_id")).select(docs.columns)
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     # Merged at every size: the list of dropped documents grows with the input.
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+    return rows.join(gone.withColumnRenamed("doc_id", row).hint("merge"), row, "left_anti")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: not at all, or one to three times."""
-    mix = staged(mixing.mix_sources(docs), "mix")
-    wanted = mix.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    size = mixing.word_count("text")
-    taken = docs.join(wanted.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(wanted["_id"]) & (size == wanted["_size"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows, row = _numbered(docs)
+    mix = staged(mixing.mix_sources(rows.select(F.col(row).alias("doc_id"), "text", "source")), "mix").where("copies > 0")
+    copies = mix.select(F.col("doc_id").alias(row), F.sequence(F.lit(1), "copies").alias(f"{row}_copies"))
+    return rows.join(copies.hint("merge"), row).withColumn(f"{row}_copy", F.explode(f"{row}_copies")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
