@@ -330,6 +330,11 @@ def non_book_word(title: Column | str, genre: Column | str) -> Column:
     return F.coalesce(*(F.when(F.contains(t, F.lit(k)), k) for k in TITLE_STOP_WORDS), *(F.when(F.contains(g, F.lit(k)), k) for k in GENRE_STOP_WORDS))
 
 
+def non_book(title: Column | str, genre: Column | str) -> Column:
+    """Whether a stop word marks an item as no reading book."""
+    return F.rlike(_s(title), F.lit("|".join(TITLE_STOP_WORDS))) | F.rlike(_s(genre), F.lit("|".join(GENRE_STOP_WORDS)))
+
+
 def adult_general(code: Column | str) -> Column:
     c = F.trim(_s(code))
     return (c == "") | F.startswith(c, F.lit("0"))

@@ -1,20 +1,21 @@
 """Two-stage personal recommendation, over all users in one job.
 
-Stage 1 rates every item for every user from folded profile vectors; stage 2
-rates the candidates precisely, from the reasons of rated books. MaxSim of
-two items does not depend on the user, so it is computed once for each pair
-of items that some user needs.
+Stage 1 rates every item for every user; stage 2 rates the candidates
+precisely, from the reasons of rated books. Both run as matrix products of a
+batch of users with a broadcast block of items (`kernels`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, max_sim, min_max, unit, weighted_mean
-from .blocks import against_all, top_per
+from ..functions.vectors import unit, weighted_mean
+from . import kernels
+from .blocks import top_per
 from .similar import penalised
 
 
@@ -32,6 +33,13 @@ class Weights:
     rest: float = 0.5
 
 
+# --- fixed values -----------------------------------------------------------
+CANDIDATES = 700
+#: Weight of a user's own words, and of a book's reasons beside them, by mode.
+MODES = {"engine": (3.0, 0.5), "feedback": (5.0, 0.2), "filter": (2.0, 2.0), "user": (3.0, 0.0), "evaluation": (0.0, 1.0)}
+# ----------------------------------------------------------------------------
+
+
 def aggregate_reasons(items: DataFrame, reasons: DataFrame) -> DataFrame:
     """(book_id, agg): unit mean of an item's reason vectors; the zero vector without reasons."""
     mean = weighted_mean(reasons, ["book_id"], "vec").select("book_id", unit("vec").alias("agg"))
@@ -39,8 +47,12 @@ def aggregate_reasons(items: DataFrame, reasons: DataFrame) -> DataFrame:
     return items.select("book_id", "desc").join(mean, "book_id", "left").select("book_id", F.coalesce("agg", zero).alias("agg"))
 
 
+def _none() -> Column:
+    return F.array().cast("array<array<double>>")
+
+
 def profiles(shelf: DataFrame, feedback: DataFrame, signals: DataFrame, vectors: DataFrame, agg: DataFrame) -> DataFrame:
-    """One row a user: arrays good, good_agg, bad, wish, avoid of vectors, and signed feedback vectors.
+    """One row a user: arrays good, good_agg, bad, wish, avoid and fb_vec of vectors, and fb_sign of numbers.
 
     vectors(book_id, vec) also holds books outside the index; a book that is
     nowhere counts for nothing. Feedback on a neutral rating is left out, and
@@ -50,90 +62,111 @@ def profiles(shelf: DataFrame, feedback: DataFrame, signals: DataFrame, vectors:
     rows = shelf.select("user_id", "book_id", role.alias("role")).where("role is not null")
     rows = rows.unionByName(signals.select("user_id", "book_id", F.lit("avoid").alias("role"))).join(vectors, "book_id")
     rows = rows.join(agg, "book_id", "left").withColumn("agg", F.coalesce("agg", F.transform("vec", lambda x: F.lit(0.0))))
-    entry = F.struct("book_id", "vec")
 
-    def gathered(name: str, value: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("role") == name, value)))
+    def gathered(name: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == name, F.struct("book_id", F.col(value).alias("v"))))), lambda x: x["v"])
 
-    by = rows.groupBy("user_id").agg(
-        *(F.transform(gathered(n, entry), lambda x: x["vec"]).alias(n) for n in ("good", "bad", "wish", "avoid")),
-        F.transform(gathered("good", F.struct("book_id", "agg")), lambda x: x["agg"]).alias("good_agg"),
-    )
+    by = rows.groupBy("user_id").agg(*(gathered(n, "vec").alias(n) for n in ("good", "bad", "wish", "avoid")), gathered("good", "agg").alias("good_agg"))
     f = feedback.where("rating is null or rating <> 'neutral'").withColumn("sign", F.when(F.col("rating") == "bad", -1.0).otherwise(1.0))
-    f = f.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("book_id", "sign", "vec"))), lambda x: F.struct(x["sign"].alias("sign"), x["vec"].alias("vec"))).alias("fb"))
-    empty = F.array().cast("array<struct<sign:double,vec:array<double>>>")
-    return by.join(f, "user_id", "left").withColumn("fb", F.coalesce("fb", empty))
-
-
-def _best(vectors: str, v: str) -> Column:
-    """Largest inner product of v with one of the vectors; 0 without any."""
-    return F.coalesce(F.array_max(F.transform(vectors, lambda x: dot(x, F.col(v)))), F.lit(0.0))
-
-
-def _folded(zero: Column, *terms: tuple[Column, float]) -> Column:
-    """Sum of factor * vector over arrays of vectors, one vector again."""
-    out = zero
-    for vectors, factor in terms:
-        out = F.aggregate(vectors, out, lambda a, x: F.zip_with(a, x, lambda p, q: p + F.lit(factor) * q))
-    return out
+    told = F.array_sort(F.collect_list(F.struct("book_id", "sign", "vec")))
+    f = f.groupBy("user_id").agg(told.alias("_f")).select("user_id", F.transform("_f", lambda x: x["vec"]).alias("fb_vec"), F.transform("_f", lambda x: x["sign"]).alias("fb_sign"))
+    return by.join(f, "user_id", "left").withColumns({"fb_vec": F.coalesce("fb_vec", _none()), "fb_sign": F.coalesce("fb_sign", F.array().cast("array<double>"))})
 
 
-def _feedback(v: str) -> Column:
-    return F.aggregate(F.transform("fb", lambda f: f["sign"] * dot(f["vec"], F.col(v))), F.lit(0.0), lambda a, x: a + x)
+def _width(items: DataFrame, column: str) -> int:
+    return items.agg(F.max(F.size(column))).first()[0] or 0
 
 
-def stage_one(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFrame, n: int = 700, w: Weights = Weights(), parts: tuple[str, ...] = ("single", "per_book")) -> DataFrame:
+def stage_one(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFrame, n: int = CANDIDATES, w: Weights = Weights(), parts: tuple[str, ...] = ("single", "per_book"), block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
     """user_id, rank, book_id, score: the n best items that a user has not in `taken`.
 
     Each part is scaled to its least and greatest value over all items,
-    taken ones included. Users without a resolvable good book have no rows.
+    taken ones included; with several blocks a first pass finds these. Users
+    without a resolvable good book have no rows.
     """
-    all_items = items.select("book_id", "desc").join(agg, "book_id")
-    zero = F.transform(F.element_at("good", 1), lambda x: F.lit(0.0))
-    heard = F.transform("fb", lambda f: F.transform(f["vec"], lambda x: f["sign"] * x))
-    # All that is linear in the item folds into one vector a user before the pairs are made.
-    liking = users.where(F.size("good") > 0).select(
-        "user_id", "good", "good_agg",
-        _folded(zero, (heard, w.feedback)).alias("told"),
-        _folded(zero, (F.col("good"), w.desc), (F.col("bad"), -w.bad), (heard, w.feedback), (F.col("wish"), w.wishlist), (F.col("avoid"), -w.not_interested)).alias("desc_sum"),
-        _folded(zero, (F.col("good_agg"), w.reason)).alias("agg_sum"),
-    )
-    pairs = against_all(liking, all_items, "book_id")
-    single = w.desc * _best("good", "desc") + w.reason * _best("good_agg", "agg") + dot("told", "desc")
-    per_book = dot("desc_sum", "desc") + dot("agg_sum", "agg")
-    rated = pairs.select("user_id", "book_id", single.alias("single"), per_book.alias("per_book"))
-    own = Window.partitionBy("user_id")
-    several = F.count("*").over(own) > 1
-    score = sum((F.when(several, min_max(F.col(p), F.min(p).over(own), F.max(p).over(own))).otherwise(0.0) for p in parts), F.lit(0.0))
-    open_ = rated.withColumn("score", score).join(taken.select("user_id", "book_id").distinct(), ["user_id", "book_id"], "left_anti")
-    return top_per(open_, ["user_id"], [F.desc("score"), "book_id"], n).select("user_id", "rank", "book_id", "score")
-
-
-def stage_two(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """user_id, book_id, score of candidates(user_id, book_id).
+    context = users.sparkSession.sparkContext
+    everything = items.select("book_id", "desc").join(agg, "book_id")
+    dims = _width(items, "desc")
+    blocks = kernels.in_blocks(everything, "book_id", 16 * dims, block_bytes)
+    gone = taken.groupBy("user_id").agg(F.collect_set("book_id").alias("taken"))
+    rows = users.where(F.size("good") > 0).join(gone, "user_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+    shared, total = [], 0
+    for block in blocks:
+        held = block.select("book_id", "desc", "agg").toArrow()
+        total += held.num_rows
+        shared.append(context.broadcast((held.column("book_id").to_numpy().astype(np.int64), *(held.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("desc", "agg")))))
+    columns = ["user_id", "good", "good_agg", "bad", "wish", "avoid", "fb_vec", "fb_sign", "taken"]
+    rows = rows.select(columns).repartition("user_id")
+    if len(blocks) > 1:
+        found = None
+        for b in shared:
+            run, kind = kernels.bounds_of(b, dims, w)
+            own = rows.mapInArrow(run, kind)
+            found = own if found is None else found.unionByName(own)
+        rows = rows.join(found.groupBy("user_id").agg(*(f(c).alias(c) for c, f in (("lo1", F.min), ("hi1", F.max), ("lo2", F.min), ("hi2", F.max)))), "user_id")
+    out = None
+    for b in shared:
+        run, kind = kernels.best_of_block(b, dims, w, n, ("single" in parts, "per_book" in parts), total, len(blocks) > 1)
+        own = rows.mapInArrow(run, kind)
+        out = own if out is None else out.unionByName(own)
+    return top_per(out, ["user_id"], [F.desc("score"), "book_id"], n).select("user_id", "rank", "book_id", "score")
+
+
+def components(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, mode: str = "engine", block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
+    """user_id, book_id and the parts of a precise score: reason, desc, bad, heard, wish, avoid.
 
     Only-dislike users are rated too. An item without reasons matches
-    nothing (0), and its rated book still counts in the mean.
+    nothing (0), and its rated book still counts in the mean. `mode` says how
+    a user's own words and a book's reasons mix (MODES).
     """
+    context = users.sparkSession.sparkContext
+    dims = _width(items, "desc")
     lists = reasons.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reason_pos", "vec"))), lambda r: r["vec"]).alias("reasons"))
     f = feedback.select("user_id", "book_id", F.col("rating").alias("_rating"), F.col("vec").alias("e")).where("_rating is null or _rating <> 'neutral'")
-    rated = shelf.where("rating in ('good', 'bad')").join(vectors.select("book_id"), "book_id", "left_semi")
-    rated = rated.join(f, ["user_id", "book_id"], "left").select("user_id", F.col("book_id").alias("g"), F.when(F.col("rating") == "good", 1.0).otherwise(-1.0).alias("sign"), "e")
-    pairs = candidates.select("user_id", "book_id").join(rated, "user_id")
-    none = F.array().cast("array<array<double>>")
-    sims = pairs.select("g", "book_id").distinct().join(lists.select(F.col("book_id").alias("g"), F.col("reasons").alias("mine")), "g").join(lists, "book_id")
-    sims = sims.select("g", "book_id", max_sim("mine", "reasons").alias("ms"))
-    told = pairs.join(sims, ["g", "book_id"], "left").join(lists, "book_id", "left").withColumn("reasons", F.coalesce("reasons", none))
-    ms = F.coalesce("ms", F.lit(0.0))
-    contribution = F.col("sign") * F.when(F.col("e").isNotNull(), w.match * _best("reasons", "e") + w.rest * ms).otherwise(ms)
-    mean = told.groupBy("user_id", "book_id").agg(F.avg(contribution).alias("reason_score"))
-    rows = mean.join(users, "user_id").join(items.select("book_id", "desc", "source_tier"), "book_id")
-    heard = F.when(F.size("fb") > 0, _feedback("desc") / F.size("fb")).otherwise(0.0)
-    total = (
-        w.reason * F.col("reason_score") + w.desc * _best("good", "desc") + w.feedback * heard
-        + w.wishlist * _best("wish", "desc") - w.not_interested * _best("avoid", "desc")
+    rated = shelf.where("rating in ('good', 'bad')").join(vectors.select("book_id"), "book_id", "left_semi").join(f, ["user_id", "book_id"], "left").join(lists, "book_id", "left")
+    sign = F.when(F.col("rating") == "good", 1.0).otherwise(-1.0)
+    each = F.array_sort(F.collect_list(F.struct("book_id", sign.alias("sign"), F.col("e").alias("e"), F.coalesce("reasons", _none()).alias("reasons"))))
+    rated = rated.groupBy("user_id").agg(each.alias("_r")).select(
+        "user_id", F.transform("_r", lambda r: r["sign"]).alias("rated_sign"), F.transform("_r", lambda r: r["e"].isNotNull().cast("int")).alias("rated_told"),
+        F.array_compact(F.transform("_r", lambda r: r["e"])).alias("rated_e"), F.transform("_r", lambda r: F.size(r["reasons"])).alias("rated_counts"), F.flatten(F.transform("_r", lambda r: r["reasons"])).alias("rated_reasons"),
     )
-    return rows.select("user_id", "book_id", penalised(total, F.col("source_tier")).alias("score"))
+    asked = candidates.groupBy("user_id").agg(F.collect_set("book_id").alias("candidates"))
+    rows = asked.join(users, "user_id").join(rated, "user_id").repartition("user_id")
+    told = items.select("book_id", "desc").join(lists, "book_id", "left").withColumn("reasons", F.coalesce("reasons", _none()))
+    most = told.agg(F.avg(F.size("reasons"))).first()[0] or 0
+    out = None
+    for block in kernels.in_blocks(told, "book_id", int(8 * dims * (1 + most)) + 8, block_bytes):
+        held = block.toArrow()
+        r, first = kernels.matrices(held.column("reasons"), dims)
+        shared = context.broadcast((held.column("book_id").to_numpy().astype(np.int64), held.column("desc").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), r, first))
+        run, kind = kernels.components_of(shared, dims, mode, *MODES[mode])
+        own = rows.mapInArrow(run, kind)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def stage_two(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, w: Weights = Weights(), mode: str = "engine", signals: bool = True) -> DataFrame:
+    """user_id, book_id, score of candidates(user_id, book_id); without `signals` neither tiers nor wish and dislike lists count."""
+    parts = components(candidates, users, shelf, feedback, items, reasons, vectors, mode)
+    total = w.reason * F.col("reason") + w.desc * F.col("desc") + w.feedback * F.col("heard")
+    if not signals:
+        return parts.select("user_id", "book_id", total.alias("score"))
+    total = total + w.wishlist * F.col("wish") - w.not_interested * F.col("avoid")
+    return parts.join(items.select("book_id", "source_tier"), "book_id").select("user_id", "book_id", penalised(total, F.col("source_tier")).alias("score"))
+
+
+def near_candidates(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFrame, n: int) -> DataFrame:
+    """user_id, rank, book_id, score: the n items nearest to a liked book, or to a disliked one where none is liked."""
+    seeds = F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("bad"))
+    plain = users.select("user_id", seeds.alias("good"), F.transform(seeds, lambda v: F.transform(v, lambda x: F.lit(0.0))).alias("good_agg"), *(_none().alias(c) for c in ("bad", "wish", "avoid", "fb_vec")), F.array().cast("array<double>").alias("fb_sign"))
+    return stage_one(plain, items, agg, taken, n, parts=("single",))
+
+
+def weight_grid(parts: DataFrame, grid: DataFrame) -> DataFrame:
+    """name, user_id, book_id, score of every weighting grid(name, reason_w, desc_w, fb_w): the evaluation form, which subtracts the nearest disliked book."""
+    score = F.col("reason_w") * F.col("reason") + F.col("desc_w") * (F.col("desc") - F.col("bad")) + F.col("fb_w") * F.col("heard")
+    # A dozen weightings.
+    return parts.join(F.broadcast(grid)).select("name", "user_id", "book_id", score.alias("score"))
 
 
 def cap_per_group(ranked: DataFrame, items: DataFrame, cap: int, n: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import dot, unit, weighted_mean
-from .blocks import against_all, top_per
+from ..functions.vectors import unit, weighted_mean
+from . import kernels
+from .blocks import top_per
 
 # --- fixed values -----------------------------------------------------------
 TIER_FACTOR = {"rich": 1.0, "kakao_desc": 0.95, "minimal": 0.85}
@@ -23,11 +25,23 @@ def penalised(score: Column, tier: Column) -> Column:
 def similar_to_vectors(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """query_id, rank, book_id, score of the n best items for queries(query_id, vec, exclude); ties to the smaller id.
 
-    `exclude` is an array of book ids that may not appear.
+    `exclude` is an array of book ids that may not appear. Items are broadcast
+    in blocks, and each block gives every query's n best.
     """
-    pairs = against_all(queries, items.select("book_id", "desc", "source_tier"), "book_id").where(~F.array_contains("exclude", F.col("book_id")))
-    scored = pairs.select("query_id", "book_id", penalised(dot("vec", "desc"), F.col("source_tier")).alias("score"))
-    return top_per(scored, ["query_id"], [F.desc("score"), "book_id"], n).select("query_id", "rank", "book_id", "score")
+    tier = F.col("source_tier")
+    factor = F.coalesce(*(F.when(tier == t, F.lit(f)) for t, f in TIER_FACTOR.items()), F.lit(1.0))
+    rows = items.where("desc is not null").select("book_id", "desc", factor.alias("factor"))
+    dims = rows.agg(F.max(F.size("desc"))).first()[0] or 0
+    asked = queries.where("vec is not null").select("query_id", "vec", F.col("exclude").cast("array<bigint>").alias("exclude"))
+    out = None
+    for block in kernels.in_blocks(rows, "book_id", 8 * dims + 16):
+        held = block.toArrow()
+        matrix = held.column("desc").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+        shared = items.sparkSession.sparkContext.broadcast((held.column("book_id").to_numpy().astype(np.int64), matrix, held.column("factor").to_numpy()))
+        run, kind = kernels.nearest_of_block(shared, dims, n)
+        own = asked.mapInArrow(run, kind)
+        out = own if out is None else out.unionByName(own)
+    return top_per(out, ["query_id"], [F.desc("score"), "book_id"], n).select("query_id", "rank", "book_id", "score")
 
 
 def similar_items(items: DataFrame, seeds: DataFrame, n: int) -> DataFrame:

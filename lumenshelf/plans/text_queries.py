@@ -109,7 +109,7 @@ SCALARS: dict[str, tuple[dict, dict | None]] = {
     "str23_font": ({"font": lambda t, a: T.font("genre", "description")}, {"font": _FONT}),
     "str27_short_title": ({"title": lambda t, a: T.short_title(t)}, {"title": f"lower({_chain(f'''regexp_split_to_array({_sub(_T, '[(（][^)）]*[)）]')}, '[:\\-–—]')[1]''', '(제?\\d+권?)', '\\s+')})"}),
     "str29_collapse_spaces": ({"title": lambda t, a: T.collapse_spaces(t)}, {"title": _spaces(_T)}),
-    "flt1_non_book": ({"drop": lambda t, a: T.non_book_word(t, F.col("genre")).isNotNull()}, {"drop": f"{_STOP} is not null"}),
+    "flt1_non_book": ({"drop": lambda t, a: T.non_book(t, F.col("genre"))}, {"drop": f"{_STOP} is not null"}),
     "flt2_non_book_word": ({"word": lambda t, a: T.non_book_word(t, F.col("genre"))}, {"word": _STOP}),
     "prj1_generated_genre": (
         {"l1": lambda t, a: T.split_genre("genre")[0], "l2": lambda t, a: T.split_genre("genre")[1]},

@@ -11,13 +11,13 @@ from ..operators.blocks import top_per
 from ..sources import views
 from . import text_queries
 
-CANDIDATES = 20
+CANDIDATES = scoring.CANDIDATES
 
 
 def tk1_similar_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vectors outside the index as queries, their own reasons' books excluded."""
-    q = views.item_vectors(spark, sf_dir).where("book_id >= 100 and book_id < 120")
-    q = q.select(F.col("book_id").alias("query_id"), "vec", F.array(F.col("book_id") % 100).alias("exclude"))
+    """Every twentieth vector as a query, its own book excluded."""
+    q = views.item_vectors(spark, sf_dir).where("book_id % 20 = 0")
+    q = q.select(F.col("book_id").alias("query_id"), "vec", F.array("book_id").alias("exclude"))
     return similar.similar_to_vectors(q, views.items(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
@@ -82,17 +82,17 @@ def rc3_stage_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rc10_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best of the candidates by stage two, those without a cover left out after the cut."""
+    """The fifty best of the candidates by stage two, those without a cover left out after the cut."""
     t = _parts(spark, sf_dir)
     scored = scoring.stage_two(_candidates(t), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
-    best = top_per(scored, ["user_id"], [F.desc("score"), "book_id"], 10)
+    best = top_per(scored, ["user_id"], [F.desc("score"), "book_id"], 50)
     shown = t["items"].where("cover_url <> ''").select("book_id", "title")
     return best.join(shown, "book_id").select("user_id", "rank", "book_id", "title", F.round("score", 4).alias("score"))
 
 
 def rc19_static_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _parts(spark, sf_dir)
-    return scoring.cap_per_group(_candidates(t), t["items"], 2, 10).select("user_id", "rank", "book_id", "l1")
+    return scoring.cap_per_group(_candidates(t), t["items"], 6, 20).select("user_id", "rank", "book_id", "l1")
 
 
 QUERIES = {f.__name__: f for f in (tk1_similar_by_vector, tk2_similar_items, dd2_similar_works, ag12_aggregate_reasons, ag13_union_vector, mt2_mt3_pairs)} | {
@@ -170,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
     vec = 'select {k}, cast(pos - 1 as integer) as pos, round(x, 6) as x from (select {k}, unnest({v}) as x, generate_subscripts({v}, 1) as pos from {t})'
     one = "select user_id, cast(rank as integer) as rank, book_id, round(score, 6) as score from cand"
     return {
-        "tk1_similar_by_vector": w("items item_vectors", _ranked(f'select q.book_id as query_id, i.book_id, i.source_tier, {_DOT}(q.vec, i."desc") as s from item_vectors q join items i on q.book_id % 100 <> i.book_id where q.book_id between 100 and 119'))
+        "tk1_similar_by_vector": w("items item_vectors", _ranked(f'select q.book_id as query_id, i.book_id, i.source_tier, {_DOT}(q.vec, i."desc") as s from item_vectors q join items i on q.book_id <> i.book_id where q.book_id % 20 = 0'))
         + "select query_id, cast(rank as integer) as rank, book_id, round(score, 6) as score from ranked where rank <= 10",
         "tk2_similar_items": w("items", _ranked(_ITEM_PAIRS)) + "select query_id, cast(rank as integer) as rank, book_id, round(score, 6) as score from ranked where rank <= 10",
         "dd2_similar_works": w("items", f"keys as (select book_id, {_KEY} as k from items)", _ranked(_ITEM_PAIRS), """other as (
@@ -189,8 +189,8 @@ from items a join items b on b.book_id = a.book_id + 1 left join ms on ms.book_i
         "rc8_per_book": w(_NEEDED, _stage_one_sql("per_book")) + one,
         "rc3_stage_two": w(_NEEDED, _STAGE_TWO) + "select user_id, book_id, round(score, 6) as score from two",
         "rc10_recommendations": w(_NEEDED, _STAGE_TWO, "best as (select *, row_number() over (partition by user_id order by score desc, book_id) as rank from two)")
-        + "select user_id, cast(rank as integer) as rank, book_id, title, round(score, 4) as score from best join items using (book_id) where rank <= 10 and cover_url <> ''",
+        + "select user_id, cast(rank as integer) as rank, book_id, title, round(score, 4) as score from best join items using (book_id) where rank <= 50 and cover_url <> ''",
         "rc19_static_cap": w(_NEEDED, _stage_one_sql("single", "per_book"), """capped as (select *, row_number() over (partition by user_id, l1 order by rank) as k from cand join items using (book_id)),
-fin as (select user_id, book_id, l1, row_number() over (partition by user_id order by rank) as place from capped where k <= 2)""")
-        + "select user_id, cast(place as integer) as rank, book_id, l1 from fin where place <= 10",
+fin as (select user_id, book_id, l1, row_number() over (partition by user_id order by rank) as place from capped where k <= 6)""")
+        + "select user_id, cast(place as integer) as rank, book_id, l1 from fin where place <= 20",
     }

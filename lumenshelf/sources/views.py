@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ITEMS = 100
+#: A book that has a vector and no place in the catalogue: (its id, the row its vector is taken from).
+OUTSIDE = (2000000, 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue items with a description vector; titles repeat, so editions of one work occur."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ITEMS)
+    e = table(spark, sf_dir, "embeddings")
     p = table(spark, sf_dir, "part")
     b = F.col("vec_id")
     l1 = F.concat(F.lit("L"), F.col("label").cast("string"))
@@ -39,25 +40,67 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Catalogue rows with all columns that ingest, merging and the work queues read. Both engines take this text.
+BOOKS = """
+select p_partkey as book_id,
+  case when p_partkey % 11 = 0 then null when p_partkey % 13 = 0 then concat('K', cast(p_partkey as varchar(20))) else concat('978', lpad(cast(p_partkey as varchar(20)), 10, '0')) end as isbn,
+  case when p_partkey % 97 = 0 then '' when p_partkey % 101 = 0 then concat('토익 ', p_name) when p_partkey % 6 = 1 then concat(p_name, ' (양장)') when p_partkey % 6 = 2 then concat(p_name, ': ', lower(p_type))
+    when p_partkey % 6 = 3 then concat(p_name, ' (개정판)') when p_partkey % 6 = 4 then concat(p_name, ' : ', cast(p_partkey % 9 as varchar(20)), '권') else p_name end as title,
+  case when p_partkey % 17 = 0 then null when p_partkey % 3 = 0 then concat(p_brand, ' (지은이), X (옮긴이)') when p_partkey % 3 = 1 then concat(p_brand, ' 지음') else p_brand end as author,
+  case when p_partkey % 19 = 0 then null when p_partkey % 23 = 0 then '국내도서>유아>그림책' else concat('국내도서>L', cast(p_size % 7 as varchar(20)), '>', p_type) end as genre,
+  case when p_partkey % 5 <> 0 then repeat(concat(p_name, ' '), p_size % 7 + 1) end as description,
+  case when p_partkey % 4 = 1 then '' when p_partkey % 4 <> 0 then repeat(concat(p_name, '. '), 10 + p_size % 30) end as rich_description,
+  case when p_partkey % 7 <> 0 then p_brand end as publisher,
+  case when p_partkey % 4 <> 0 then p_size * 370 end as sales_point,
+  case when p_partkey % 6 <> 5 then p_size * 13 % 97 end as loan_count,
+  case when p_partkey % 5 <> 0 then p_size % 31 end as loan_count_12mo,
+  case when p_partkey % 3 = 1 then 'usage' when p_partkey % 3 = 2 then 'list' end as loan_count_source,
+  case when p_partkey % 4 = 0 then 'aladin' when p_partkey % 4 = 1 then 'data4library' when p_partkey % 4 = 2 then 'kakao' end as source,
+  case when p_partkey % 5 <> 1 then 100 + p_size end as page_count,
+  case when p_partkey % 3 = 0 then split('calm,dark', ',') end as mood_tags,
+  case when p_partkey % 8 <> 0 then split(p_name, ' ') end as library_keywords,
+  case when p_partkey % 2 = 0 then split('#fff', ',') end as dominant_colors,
+  case when p_partkey % 10 <> 0 then 'Jua' end as spine_font,
+  case when p_partkey % 13 = 0 then null when p_partkey % 16 = 0 then '' else concat('http://c/', cast(p_partkey as varchar(20))) end as cover_url,
+  date '2024-01-01' + cast(p_partkey % 400 as int) as created_at,
+  case when p_partkey % 9 <> 0 then date '2024-01-01' + cast(p_partkey * 7 % 400 as int) end as updated_at,
+  case when p_partkey % 3 = 1 then '03' when p_partkey % 3 = 2 then '73' else '' end as addition_symbol,
+  case when p_partkey % 7 = 0 then 'kakao_desc' when p_partkey % 11 = 0 then 'minimal' else 'rich' end as source_tier
+from {part}"""
+#: The day that interval rules of the catalogue count from.
+TODAY = "2025-02-04"
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BOOKS, part=table(spark, sf_dir, "part"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
 def item_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reason vectors of items; items ending in 9 have none."""
-    v = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").where((v >= ITEMS) & (v % 10 != 9)).select(
-        (v % ITEMS).alias("book_id"),
-        v.alias("reason_pos"),
-        F.concat(F.lit("reason "), v.cast("string")).alias("reason"),
-        (v % 7).cast("int").alias("user_mention_count"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
+    """Three reason vectors of each item, those of other rows; items ending in 9 have none."""
+    v = _vectors(spark, sf_dir)
+    b = F.col("book_id")
+    places = v.select(F.col("vec_id").alias("book_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("j")).where(b % 10 != 9)
+    places = places.withColumn("vec_id", (b * 7 + F.col("j") * 13 + 1) % F.lit(v.count()))
+    return places.join(v, "vec_id").select(
+        "book_id", (b * 10 + F.col("j")).alias("reason_pos"), F.concat(F.lit("reason "), F.col("vec_id").cast("string")).alias("reason"), (F.col("vec_id") % 7).cast("int").alias("user_mention_count"), "vec"
     )
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book_id, vec of every embedding row: items and books outside the index."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("book_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    """book_id, vec of every embedding row, and of one book outside the index."""
+    v = _vectors(spark, sf_dir)
+    return v.select(F.col("vec_id").alias("book_id"), "vec").unionByName(v.where(F.col("vec_id") == OUTSIDE[1]).select(F.lit(OUTSIDE[0]).cast("long").alias("book_id"), "vec"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Events with the catalogue item k that each is about, spread over the whole catalogue by user."""
+    hundreds = F.lit(max(1, table(spark, sf_dir, "embeddings").count() // 100))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", (k + 100 * ((F.col("user_id") + k) % hundreds)).alias("k"))
 
 
 #: Shelf rows that the events do not give: (user, book, rating, status). -1 only dislikes, -2 has no rows,
@@ -67,7 +110,7 @@ EDGE_SHELF = [
     (-3, 6, "neutral", "finished"), (-3, 8, "good", "finished"),
     (-4, 9, None, "finished"), (-4, 10, "good", "finished"),
     (-5, 1000000, "good", "finished"), (-5, 11, "good", "finished"),
-    (-6, 120, "good", "finished"), (-6, 12, "good", "finished"), (-6, 14, None, "wishlist"),
+    (-6, 2000000, "good", "finished"), (-6, 12, "good", "finished"), (-6, 14, None, "wishlist"),
 ]
 
 
@@ -93,14 +136,16 @@ def shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, book_id, rating, vec of shelf rows with written feedback: the vector of the next book."""
     s = shelf(spark, sf_dir).where((F.col("rating").isin("good", "bad") & (F.col("book_id") % 3 == 0)) | ((F.col("user_id") < 0) & F.col("book_id").isin(6, 9)))
-    v = item_vectors(spark, sf_dir).where(F.col("book_id") < ITEMS).withColumnRenamed("book_id", "fb_id")
-    return s.join(v, (s["book_id"] + 1) % ITEMS == v["fb_id"]).select("user_id", "book_id", "rating", "fb_id", "vec")
+    v = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "fb_id")
+    return s.join(v, (s["book_id"] + 1) % F.lit(v.count()) == v["fb_id"]).select("user_id", "book_id", "rating", "fb_id", "vec")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, book_id) marked not interesting: books absent from the shelf, by a fixed rule."""
     users = events(spark, sf_dir).select("user_id").distinct()
-    pairs = users.withColumn("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ITEMS - 1).cast("long")))).where((F.col("user_id") + F.col("book_id")) % 37 == 0)
+    last = table(spark, sf_dir, "embeddings").count() - 1
+    first = (37 - F.col("user_id") % 37) % 37
+    pairs = users.where(first <= last).withColumn("book_id", F.explode(F.sequence(first, F.lit(last), F.lit(37).cast("long"))))
     return pairs.join(shelf(spark, sf_dir).select("user_id", "book_id"), ["user_id", "book_id"], "left_anti").withColumn("signal", F.lit("not_interested"))
 
 
@@ -118,6 +163,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "books": "books as (" + BOOKS.format(part="part") + ")",
     "items": """items as (
   select vec_id as book_id, p_name as title,
          case when vec_id % 3 = 0 then p_brand || ' (지은이), X (옮긴이)' when vec_id % 3 = 1 then p_brand || ' 지음' else p_brand end as author,
@@ -129,12 +175,14 @@ SQL = {
          string_split(p_name, ' ') as library_keywords,
          case when vec_id % 7 = 0 then 'kakao_desc' when vec_id % 11 = 0 then 'minimal' else 'rich' end as source_tier,
          cast(embedding as double[]) as "desc"
-  from embeddings left join part on p_partkey = vec_id where vec_id < 100)""",
+  from embeddings left join part on p_partkey = vec_id)""",
     "item_reasons": """item_reasons as (
-  select vec_id % 100 as book_id, vec_id as reason_pos, 'reason ' || vec_id as reason, vec_id % 7 as user_mention_count, cast(embedding as double[]) as vec
-  from embeddings where vec_id >= 100 and vec_id % 10 <> 9)""",
-    "item_vectors": "item_vectors as (select vec_id as book_id, cast(embedding as double[]) as vec from embeddings)",
-    "ev": """ev as (select event_id, ts, user_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k from events)""",
+  select b.vec_id as book_id, b.vec_id * 10 + j as reason_pos, 'reason ' || v.vec_id as reason, v.vec_id % 7 as user_mention_count, cast(v.embedding as double[]) as vec
+  from embeddings b, (select unnest(range(0, 3)) as j) j, embeddings v where b.vec_id % 10 <> 9 and v.vec_id = (b.vec_id * 7 + j * 13 + 1) % (select count(*) from embeddings))""",
+    "item_vectors": "item_vectors as (select vec_id as book_id, cast(embedding as double[]) as vec from embeddings union all select 2000000, cast(embedding as double[]) from embeddings where vec_id = 20)",
+    "ev": """ev as (
+  select event_id, ts, user_id, event_type, k + 100 * ((user_id + k) % greatest(1, (select count(*) from embeddings) // 100)) as k
+  from (select *, cast(json_extract_string(props, '$.k') as bigint) as k from events))""",
     "shelf": """shelf_rows as (
   select user_id, k as book_id, case event_type when 'purchase' then 'good' when 'error' then 'bad' end as rating,
          case event_type when 'view' then 'wishlist' else 'finished' end as status, ts as updated_at
@@ -148,12 +196,12 @@ SQL = {
          case book_id % 8 when 0 then repeat('r', 60) when 1 then 'short' end as review_text
   from shelf_rows)""",
     "feedback": """feedback as (
-  select s.user_id, s.book_id, s.rating, (s.book_id + 1) % 100 as fb_id, v.vec
-  from shelf s join item_vectors v on v.book_id = (s.book_id + 1) % 100
+  select s.user_id, s.book_id, s.rating, v.vec_id as fb_id, cast(v.embedding as double[]) as vec
+  from shelf s join embeddings v on v.vec_id = (s.book_id + 1) % (select count(*) from embeddings)
   where (s.rating in ('good', 'bad') and s.book_id % 3 = 0) or (s.user_id < 0 and s.book_id in (6, 9)))""",
     "signals": """signals as (
   select u.user_id, b.book_id, 'not_interested' as signal
-  from (select distinct user_id from ev) u, (select unnest(range(0, 100)) as book_id) b
+  from (select distinct user_id from ev) u, (select vec_id as book_id from embeddings) b
   where (u.user_id + b.book_id) % 37 = 0 and not exists (select 1 from shelf s where s.user_id = u.user_id and s.book_id = b.book_id))""",
     "impressions": """impressions as (
   select user_id, k as book_id, event_id % 10 as position,
@@ -161,7 +209,7 @@ SQL = {
          case event_type when 'click' then 'clicked' when 'purchase' then 'liked' when 'error' then 'disliked' end as action, ts as shown_at, event_id
   from ev)""",
 }
-_NEEDS = {"shelf": ["ev"], "feedback": ["ev", "shelf", "item_vectors"], "signals": ["ev", "shelf"], "impressions": ["ev"]}
+_NEEDS = {"shelf": ["ev"], "feedback": ["ev", "shelf"], "signals": ["ev", "shelf"], "impressions": ["ev"]}
 
 
 def with_views(names: str, *more: str) -> str:
