@@ -30,8 +30,8 @@ from .textkernel import U, Prefix, chunks, joined_words, minimizers, mix, utf8,
 #: 64-bit value of each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
-#: Contexts of one fingerprint beyond which they are not compared in one task.
-HOT = 2048
+#: Contexts of one fingerprint beyond which they are not compared in one task: a few MB of text, or some 100 MB of suffix ranks.
+HOT = 4096
 #: Parts that a range of windows is cut into at once.
 FINER = 4
 #: Rows that are taken from a record batch at once.
@@ -182,7 +182,7 @@ def _span_keys(window: int, k: int, width: int, words: bool):
 
 
 def hot_windows(found: DataFrame, window: int, k: int, words: bool, hit: Callable[[Column, Column, Column], Column], finer: int = FINER) -> DataFrame | None:
-    """(fp, ctx, s, e): windows, from s to e relative to the anchor, that contexts of large groups share; None where there is no context.
+    """(fp, ctx, spans of s and e): windows, from s to e relative to the anchor, that contexts of large groups share; None where there is no context.
 
     found is staged (fp, ctx, ord, lo, pos, content). `hit` of (rows with a
     key, their least ord, the row's own ord) says whether a key counts. The
@@ -224,7 +224,7 @@ def hot_windows(found: DataFrame, window: int, k: int, words: bool, hit: Callabl
         parts = staged(rest.select("fp", "ctx", children.alias("c")).groupBy("fp", "ctx").agg(F.flatten(F.collect_list("c")).alias("parts")), "parts")
         state = found.join(parts, ["fp", "ctx"])
         discard(keys, inner, outer, open_)
-    return marks
+    return marks.groupBy("fp", "ctx").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def batches_of_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict[str, list]]:

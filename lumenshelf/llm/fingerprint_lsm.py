@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import HOT, anchors, batches_of_groups, contexts, hot_windows, numbered, word_units
+from .anchors import anchors, batches_of_groups, contexts, hot_windows, numbered, word_units
 from .filters import only_wanted
 from .run_length_index import spans_of, union_mask
 from .staging import discard, staged
@@ -35,6 +35,9 @@ BATCHES, MOST_RUNS = 3, 2
 #: Bytes of words that one verification covers, about.
 VERIFY_BYTES = 8 << 20
 
+#: Contexts of one fingerprint that are verified in one task: some 8 MB of words.
+HOT = 16384
+
 #: First document of a context, and where in it.
 _FIRST = ("first_doc", "row_id", "pos", "left", "right")
 
@@ -118,19 +121,20 @@ def shared_windows(rows: dict[str, list], window: int, k: int) -> list[np.ndarra
 
 
 def _verify(window: int, k: int, limit: int):
-    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
+    schema = pa.schema([("fp", pa.int64()), ("ctx", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches_of_groups(batches, limit):
             out: list[list] = [[] for _ in schema]
             for i, starts in enumerate(shared_windows(rows, window, k)):
-                s, e = spans_of(starts, window)
-                before = rows["pos"][i] - rows["lo"][i]
-                for column, x in zip(out, ([rows["fp"][i]] * len(s), [rows["ctx"][i]] * len(s), (s - before).tolist(), (e - before).tolist())):
-                    column += x
+                if len(starts):
+                    before = rows["pos"][i] - rows["lo"][i]
+                    spans = [{"s": s, "e": e} for s, e in zip(*((x - before).tolist() for x in spans_of(starts, window)))]
+                    for column, x in zip(out, (rows["fp"][i], rows["ctx"][i], spans)):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
-    return run, "fp long, ctx binary, s int, e int"
+    return run, "fp long, ctx binary, spans array<struct<s:int,e:int>>"
 
 
 def add_batch(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = ANCHOR, hot: int = HOT, limit: int = VERIFY_BYTES) -> DataFrame:
@@ -177,7 +181,8 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, texts: DataFrame, windo
     if not large.isEmpty():
         held = staged(contexts(texts, large, word_units, carry).withColumnRenamed("first_doc", "ord"), "hot")
         windows = windows.unionByName(hot_windows(held, window, k, True, lambda n, least, own: least < own))
-    part = first.where("first_doc = earliest").join(windows, ["fp", "ctx"]).select("row_id", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e"))
+    spans = first.where("first_doc = earliest").join(windows, ["fp", "ctx"]).select("row_id", "pos", F.explode("spans").alias("w"))
+    part = spans.select("row_id", (F.col("pos") + F.col("w.s")).alias("s"), (F.col("pos") + F.col("w.e")).alias("e"))
     marks = staged(whole.unionByName(part), "marks")
     index.add(run_of_batch)
     discard(every, places, first)

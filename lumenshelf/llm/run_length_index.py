@@ -221,7 +221,8 @@ def repeated_marks(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     if not large.isEmpty():
         held = staged(contexts(rows, large, byte_units, {"ctx": "binary"}).withColumn("ord", F.lit(0).cast("long")), "hot")
         shared = hot_windows(held, length, anchor, False, lambda n, least, own: n > 1)
-        marks = marks.unionByName(large.join(shared, ["fp", "ctx"]).select("row_id", (F.col("pos") + F.col("s")).alias("s"), (F.col("pos") + F.col("e")).alias("e")))
+        spans = large.join(shared, ["fp", "ctx"]).select("row_id", "pos", F.explode("spans").alias("w"))
+        marks = marks.unionByName(spans.select("row_id", (F.col("pos") + F.col("w.s")).alias("s"), (F.col("pos") + F.col("w.e")).alias("e")))
     return marks
 
 
