@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .blocks import top_per
 from .catalogue import uniform
+from .saved import saved
 
 # --- fixed values -----------------------------------------------------------
 TEMPLATES = {
@@ -90,9 +91,11 @@ def assemble(
     """
     spark = users.sparkSession
     slots = templates(spark)
+    # Each slot reads these, and the slots before it.
+    users, personal, similar, trending, lists, history = map(saved, (users, personal, similar, trending, lists, history))
     seen = users.select("user_id", F.lit(None).cast("long").alias("book_id")).where("false")
     picked = users.select("user_id", F.lit(None).cast("long").alias("id")).where("false")
-    ready = themes.where("is_active").join(lists.select("id").distinct(), "id", "left_semi")
+    ready = saved(themes.where("is_active").join(lists.select("id").distinct(), "id", "left_semi"))
     n = trending.count()
     out = None
     for slot in range(max(map(len, TEMPLATES.values()))):
@@ -115,8 +118,7 @@ def assemble(
         of_theme = filled(chosen, seen, books).join(theme, "user_id").select("user_id", "rank", "book_id", F.lit("curation").alias("type"), F.col("id").alias("curation_id"))
         nav = mine.where("type = 'category_nav'").select("user_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("book_id"), "type", F.lit(None).cast("long").alias("curation_id"))
         rows = of("personal_recommend", personal).unionByName(of("similar", similar)).unionByName(of("trending", shuffled)).unionByName(of_theme).unionByName(nav).withColumn("slot", F.lit(slot))
-        # Later slots read this one several times.
-        rows = rows.persist()
+        rows = saved(rows)
         seen = seen.unionByName(rows.where("book_id is not null").select("user_id", "book_id"))
         picked = picked.unionByName(rows.where("curation_id is not null").select("user_id", F.col("curation_id").alias("id")).distinct())
         out = rows if out is None else out.unionByName(rows)

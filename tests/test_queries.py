@@ -45,7 +45,7 @@ def test_imports_without_the_subpackage():
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('lumenshelf.llm') or name == 'corpus_pipeline':\n"
-        "            raise ImportError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())\n"

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenshelf.operators import catalogue, taste
-from lumenshelf.plans import taste_queries
+from lumenshelf.operators import activity, catalogue, feed, scoring, taste, variants
+from lumenshelf.plans import bridge_queries, taste_queries
 from lumenshelf.sources import views
 from lumenshelf.streaming import shelf as streams
 
@@ -51,3 +51,82 @@ def test_stream_click_rate_equals_the_batch(spark, sf_dir, tmp_path):
     streams.run_available(streams.hourly_click_rate(source), f"{tmp_path}/c2", "rates").awaitTermination(120)
     batch = spark.read.parquet(path).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "purchase")).alias("h"))
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_stream_keeps_user_state(spark, sf_dir, tmp_path):
+    path = f"{tmp_path}/events"
+    views.table(spark, sf_dir, "events").select("user_id", "event_id").repartition(3).write.parquet(path)
+    source = spark.readStream.schema("user_id long, event_id long").option("maxFilesPerTrigger", 1).parquet(path)
+    now, out = F.lit("2024-02-01").cast("timestamp"), f"{tmp_path}/state"
+    shelf = views.shelf(spark, sf_dir)
+    streams.keep_state(source, lambda: shelf, now, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{tmp_path}/c3").awaitTermination(300)
+    got = {tuple(r) for r in spark.read.parquet(out).drop("batch").distinct().collect()}
+    assert got == {tuple(r) for r in activity.user_state(shelf.where("user_id >= 0"), now).collect()}
+
+
+def test_stream_transitions_equal_the_batch(spark, tmp_path):
+    kind = "user_id long, book_id long, state string, at timestamp, event_id long"
+    rows = spark.range(120).selectExpr("id % 3 as user_id", "id % 2 as book_id", "case id * 7 % 5 when 0 then 'good' when 1 then 'bad' end as state", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) as at", "id as event_id")
+    for n in range(3):
+        rows.where(f"event_id div 40 = {n}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.run_available(streams.changes_of(source), f"{tmp_path}/c4", "changes", "append").awaitTermination(300)
+    assert sorted(map(tuple, spark.table("changes").collect())) == sorted(map(tuple, activity.transitions(rows).collect()))
+
+
+def test_feed_repeats_nothing(spark, sf_dir):
+    rows = bridge_queries.fd2_feed(spark, sf_dir).collect()
+    tier = {r.user_id: r.tier for r in activity.user_state(views.shelf(spark, sf_dir), F.lit("2024-02-01").cast("timestamp")).collect()}
+    covered = {r.book_id for r in views.items(spark, sf_dir).where("coalesce(cover_url, '') <> ''").collect()}
+    books, slots = {}, {}
+    for r in rows:
+        slots.setdefault((r.user_id, r.slot), []).append(r)
+        if r.book_id is not None:
+            assert r.book_id in covered and (r.user_id, r.book_id) not in books
+            books[r.user_id, r.book_id] = r
+    kinds = {t: [k for k, _ in s] for t, s in feed.TEMPLATES.items()}
+    for (user, slot), own in slots.items():
+        want = kinds[tier[user]][slot]
+        assert len(own) <= 10 and {r.type for r in own} <= {want} | ({"curation"} if want == "similar" else set())
+        assert want == "category_nav" or sorted(r.rank for r in own) == list(range(1, len(own) + 1))
+    themes = [(u, c) for (u, _), own in slots.items() for c in {r.curation_id for r in own} - {None}]
+    assert len(themes) == len(set(themes)) and {u for u, _ in slots} == set(tier)
+
+
+def test_taste_clusters_tell_two_tastes(spark):
+    rng = np.random.default_rng(2)
+    a, b = np.r_[np.ones(6), np.zeros(6)], np.r_[np.zeros(6), np.ones(6)]
+    rows = [(1, k, (x + rng.normal(size=12) * 0.05).tolist(), 1.0 + (k % 2)) for k, x in enumerate([a] * 7 + [b] * 5)]
+    rows += [(2, k, a.tolist(), 1.0) for k in range(4)] + [(2, 9, b.tolist(), 0.0)]
+    got = variants.taste_clusters(spark.createDataFrame(rows, "user_id long, book_id long, vec array<double>, weight double")).collect()
+    one = sorted((r.books, r.method) for r in got if r.user_id == 1)
+    assert one == [(5, "kmeans"), (7, "kmeans")] and sum(r.weight for r in got if r.user_id == 1) == 1.0
+    assert [(r.method, r.books, r.vec) for r in got if r.user_id == 2] == [("weighted_avg", 4, a.tolist())]
+
+
+def test_silhouette_by_hand():
+    x, labels = np.array([[0.0], [1.0], [10.0], [11.0], [50.0]]), np.array([0, 0, 1, 1, 2])
+    want = []
+    for i in range(5):
+        own = [abs(x[i, 0] - x[j, 0]) for j in range(5) if j != i and labels[j] == labels[i]]
+        other = min(np.mean([abs(x[i, 0] - x[j, 0]) for j in range(5) if labels[j] == c]) for c in set(labels) - {labels[i]})
+        want.append((other - np.mean(own)) / max(other, np.mean(own)) if own else 0.0)
+    assert abs(variants.silhouette(x, labels) - np.mean(want)) < 1e-12
+
+
+def test_recall_of_a_list(spark):
+    exact = spark.createDataFrame([(1, k, k) for k in range(1, 5)] + [(2, 1, 7)], "user_id long, rank int, book_id long")
+    found = spark.createDataFrame([(1, 1, 2), (1, 2, 99), (1, 3, 4)], "user_id long, rank int, book_id long")
+    assert {r.user_id: r.recall for r in variants.recall(found, exact, 4).collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_stage_one_is_the_same_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    items = spark.createDataFrame([(b, rng.normal(size=4).tolist(), "rich") for b in range(60)], "book_id long, desc array<double>, source_tier string")
+    agg = items.select("book_id", F.reverse("desc").alias("agg"))
+    vectors = items.select("book_id", F.col("desc").alias("vec"))
+    shelf = spark.createDataFrame([(u, (u * 7 + k * 11) % 60, "good" if k % 2 else "bad", "finished") for u in range(5) for k in range(6)], "user_id long, book_id long, rating string, status string")
+    none = spark.createDataFrame([], "user_id long, book_id long, rating string, vec array<double>")
+    users = scoring.profiles(shelf, none, none.select("user_id", "book_id"), vectors, agg)
+    one, many = ({(r.user_id, r["rank"]): (r.book_id, round(r.score, 9)) for r in scoring.stage_one(users, items, agg, shelf, 9, block_bytes=n).collect()} for n in (1 << 20, 640))
+    assert one == many and len(one) == 45
