@@ -91,3 +91,68 @@ def near(rows, percent, k=5):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def ngrams(text):
+    """1 to 3 characters, letters in simple lower case, all else as a space."""
+    def simple(c):
+        low = c.lower()
+        return (low if len(low) == 1 else c) if c.isalpha() else " "
+
+    t = "".join(map(simple, text))
+    return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+
+def bucket(gram, buckets):
+    mask, h = (1 << 64) - 1, 0
+    for n, c in enumerate(gram, 1):
+        h = (h * 0x9E3779B97F4A7C15 + (ord(c) + n) * 0xD6E8FEB86659FD93) & mask
+    return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask) >> (64 - buckets.bit_length() + 1)
+
+
+def language(model, text):
+    """(language, score) of a text by a fitted model, gram by gram."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    grams = Counter(bucket(g, model.buckets) for g in ngrams(text))
+    total = sum(grams.values())
+    s = [(sum(float(model.table[b, k]) * n for b, n in grams.items()) / total + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+    p = [math.exp(x - max(s)) for x in s]
+    return model.langs[p.index(max(p))], max(p) / sum(p)
+
+
+def toxicity(model, entry_hashes, text):
+    """Score of a text by a fitted model; entry_hashes gives the hashes of one word and its beginnings."""
+    import math
+
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist()))
+    count = Counter(h for w in words(text) for h in entry_hashes(w))
+    odds = model.bias + sum(weight[h] * math.log1p(n) for h, n in count.items() if h in weight)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def hilbert_place(cells, bits):
+    """Place of a point on the Hilbert curve, by descending through the cube's orthants one bit at a time."""
+    n = len(cells)
+    x = list(cells)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)

@@ -346,6 +346,44 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_scores_by_brute_force(spark):
+    """Every text's language and score, gram by gram."""
+    rng = random.Random(16)
+    letters = {"xx": "abcdef", "yy": "DEFghİ", "zz": "ghijkö한"}
+    rows = [(i, "".join(rng.choice(letters[k] + "  .1") for _ in range(rng.randrange(1, 90))), k) for i in range(150) for k in [rng.choice(list(letters))]] + [(150, None, "xx"), (151, "", "yy"), (152, "12 !", "zz"), (153, "ß" * 3000, None)]
+    df = documents(spark, rows)
+    model = langid.fit_language_model(df, buckets=1 << 10)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_languages(df, model).collect()}
+    for i, text, _ in rows:
+        lang, score = brute.language(model, text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-5)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng = random.Random(17)
+    rude = ["grubnak", "Snorfle", "vexhole"]
+    rows = [(i, " ".join(rng.choice(rude if i % 4 == 0 and rng.random() < 0.3 else [f"w{rng.randrange(40)}"]) + rng.choice(["", "!", "s,"]) for _ in range(30))) for i in range(300)] + [(300, None), (301, ""), (302, "!!! ???")]
+    df = documents(spark, rows)
+    model = toxicity.fit_toxicity(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    hashes = lambda w: toxicity.entries(*toxicity.utf8(pa.array([w])))[1].tolist()
+    assert len(model.vocabulary) and all(got[i] == pytest.approx(brute.toxicity(model, hashes, t)) for i, t in rows)
+
+
+@pytest.mark.parametrize("n,bits", [(2, 3), (3, 2), (4, 8)])
+def test_hilbert_places_by_brute_force(n, bits):
+    at = np.random.default_rng(n).integers(0, 1 << bits, (200, n))
+    assert hilbert.hilbert_index([at[:, i] for i in range(n)], bits).tolist() == [brute.hilbert_place(p, bits) for p in at.tolist()]
+
+
+def test_shards_are_runs_of_the_curve(spark, corpus):
+    """Shards and slots are what sorting all rows by curve place and cutting gives."""
+    got = hilbert.hilbert_shards(documents(spark, corpus[:90])).collect()
+    order = sorted(got, key=lambda r: (r.hilbert, r.doc_id, r["size"], r.text_crc32))
+    first = [-(-s * len(got) // 24) for s in range(25)]
+    assert [(r.shard, r.slot) for r in order] == [(s, k) for s in range(24) for k in range(first[s + 1] - first[s])]
+
+
 def test_language_of_few_much_repeated_texts(spark):
     """A language stays a class whichever its texts are, and copies are drawn row by row, to an exact bound."""
     rng = random.Random(12)
@@ -451,6 +489,17 @@ OPERATORS = {
     "shards": lambda d: hilbert.hilbert_shards(d),
     "pack": lambda d: packing.pack_sequences(d),
     "language": lambda d: langid.identify_languages(d, langid.fit_language_model(d)),
+    "toxic": lambda d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, d.select("doc_id", F.lit(1).alias("toxic")))),
+}
+#: What the rows (7, "a b c") twice, (8, long) and (9, "") come to.
+VALUES = {
+    "exact": (["group_size", "kept"], {7: {(2, True), (3, False)}, 8: {(1, True)}, 9: {(3, True)}}),
+    "mix": (["size"], {7: {(3,), (0,)}, 8: {(80000,)}, 9: {(0,)}}),
+    "suffix": (["n_bytes", "n_removed", "n_spans"], {7: {(5, 0, 0), (0, 0, 0)}, 8: {(400000, 400000, 1)}, 9: {(0, 0, 0)}}),
+    "windows": (["n_words", "n_removed"], {7: {(3, 0), (0, 0)}, 8: {(80000, 0)}, 9: {(0, 0)}}),
+    "near": (["n_shingles", "component_id", "kept"], {7: {(1, 7, True), (0, 7, True)}, 8: {(2, 8, True)}, 9: {(0, 9, True)}}),
+    "shards": (["size", "law"], {7: {(13, "rows"), (8, "rows")}, 8: {(400008, "rows")}, 9: {(8, "rows")}}),
+    "language": (["lang_pred"], {7: {("en",), ("und",)}, 8: {("en",)}, 9: {("und",)}}),
 }
 
 
@@ -463,9 +512,15 @@ def test_empty_table(spark, name):
 def test_nulls_and_repeated_rows(spark, name):
     long = "long word " * 40000
     rows = [(None, None, None, None), (None, "x", None, None), (7, "a b c", "en", None), (7, "a b c", "en", None), (7, None, None, "s"), (8, long, "en", "s"), (9, "", "en", "s")]
-    found = OPERATORS[name](documents(spark, rows)).groupBy("doc_id").count().collect()
-    if name != "pack":
-        assert {r[0]: r[1] for r in found} == {None: 2, 7: 3, 8: 1, 9: 1}
+    got = OPERATORS[name](documents(spark, rows)).collect()
+    if name == "pack":
+        assert sum(r.start == 0 for r in got) == len(rows) and sum(r.length for r in got if r.doc_id == 9) == 1
+        assert {sum(r.length for r in got if r.doc_id == 8)} == {r.doc_tokens for r in got if r.doc_id == 8}
+        return
+    assert Counter(r.doc_id for r in got) == {None: 2, 7: 3, 8: 1, 9: 1}
+    columns, want = VALUES.get(name, ([], {}))
+    for i, values in want.items():
+        assert {tuple(r[c] for c in columns) for r in got if r.doc_id == i} == values
 
 
 def test_empty_vectors(spark):
