@@ -30,8 +30,8 @@ from .textkernel import U, Prefix, chunks, joined_words, minimizers, mix, utf8,
 #: 64-bit value of each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
 
-#: Contexts of one fingerprint beyond which they are not compared in one task: about 1 MB of text, or 100 MB with its suffix ranks.
-HOT = 2048
+#: Contexts of one fingerprint beyond which they are not compared in one task: about 2.5 MB of text, or 200 MB with its suffix ranks.
+HOT = 4096
 #: Parts that a range of windows is cut into at once.
 FINER = 4
 #: Rows that are taken from a record batch at once.
