@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenshelf.operators import activity, catalogue, feed, scoring, taste, variants
-from lumenshelf.plans import bridge_queries, taste_queries
+from lumenshelf.operators import activity, catalogue, feed, ingest, scoring, taste, variants
+from lumenshelf.plans import bridge_queries, parsing_queries, taste_queries
 from lumenshelf.sources import views
 from lumenshelf.streaming import shelf as streams
 
@@ -130,3 +130,16 @@ def test_stage_one_is_the_same_in_blocks(spark):
     users = scoring.profiles(shelf, none, none.select("user_id", "book_id"), vectors, agg)
     one, many = ({(r.user_id, r["rank"]): (r.book_id, round(r.score, 9)) for r in scoring.stage_one(users, items, agg, shelf, 9, block_bytes=n).collect()} for n in (1 << 20, 640))
     assert one == many and len(one) == 45
+
+
+def test_usage_of_a_response(spark):
+    got = {r.id: r for r in ingest.usage(parsing_queries.USAGE.frame(spark), "body").collect()}
+    assert (got[1].loan_count, got[1].loan_count_12mo, got[1].library_keywords, got[1].is_empty) == (40, 7, ["바다", "긴 말", "바다"], False)
+    assert got[1].co_loan_isbns == [str(k) for k in range(50)] and got[2].is_empty and got[3].is_empty and got[3].loan_count == 0
+
+
+def test_a_page_of_equal_isbn_wins(spark):
+    wanted = spark.createDataFrame([(1, "9788937460050", "동물농장", "조지 오웰"), (2, "9788937460051", "1984", "조지 오웰"), (3, "9788937460052", "x", "y")], "book_id long, isbn string, title string, author string")
+    pages = [(1, 0, 10, "1", "동물 농장", "조지 오웰 (지은이)"), (1, 1, 11, "9788937460050", "z", "z"), (2, 0, 20, "1", "1984", "한강"), (2, 1, 21, "1", "1984 (양장)", "조지 오웰 지음"), (2, 2, 22, "1", "1984", "조지 오웰"), (3, 0, 30, None, None, None)]
+    found = ingest.match_pages(spark.createDataFrame(pages, "book_id long, pos int, page_id long, isbn string, title string, author string"), wanted)
+    assert sorted(map(tuple, found.collect())) == [(1, 11, "isbn"), (2, 21, "title_fallback")]
