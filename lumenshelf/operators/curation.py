@@ -240,7 +240,7 @@ def verified(reason: str, evidence: str, source: str, share: float = 0.4) -> Col
 def attribute_profile(feedback: DataFrame) -> DataFrame:
     """(user_id, attr, score): weighted mean of feedback(user_id, attr, score, weight), nulls left out, two decimals."""
     rows = feedback.where("score is not null")
-    return rows.groupBy("user_id", "attr").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0)), 2).alias("score"))
+    return rows.groupBy("user_id", "attr").agg(F.round(F.round(F.sum(F.col("score") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0)), 9), 2).alias("score"))
 
 
 def attribute_match(profile: DataFrame, attrs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ _ON_SHELF = "exists (select 1 from shelf s where s.user_id = {0}.user_id and s.b
 _BEST = "best as (select *, weight * sim as ws from {0} qualify row_number() over (partition by user_id, marker_id, book_id order by sim desc, reason_pos) = 1)"
 _EXCLUDED = " or ".join(f"contains(lower(coalesce(genre, '')), '{g}')" for g in bridge.EXCLUDED_GENRES)
 _PARTS = "parts as (select distinct user_id, unnest(string_split(genre, '>')) as part from shelf join items using (book_id))"
-_TOP = "select user_id, cast(rank as integer) as rank, book_id, round(score, 6) as score, reason from (select *, row_number() over (partition by user_id order by round(score, 9) desc, book_id) as rank from scored) where rank <= 20"
+_TOP = "select user_id, cast(rank as integer) as rank, book_id, round(round(score, 9), 6) as score, reason from (select *, row_number() over (partition by user_id order by round(score, 9) desc, book_id) as rank from scored) where rank <= 20"
 
 
 def _boost(inside: str) -> str:

@@ -231,7 +231,7 @@ _CONFIDENCE = f"""conf as (
   from (select user_id, count(*) filter (status = 'finished') as book_count, coalesce(sum({_DEPTH}) filter (status = 'finished'), 0) as feedback_depth, count(distinct genre) filter (status = 'finished') as genres, count(distinct rating) as ratings
     from shelf left join (select book_id, genre from items) using (book_id) group by 1))"""
 _ATTRS = "attrs as (select book_id, attr, case when (book_id + length(attr)) % 4 <> 0 then ((book_id * length(attr)) % 10) / 10 end as score from items, (select unnest(['plot', 'world', 'style']) as attr))"
-_PROFILE = "prof as (select user_id, attr, round(sum(score * (1 + s.book_id % 3)) / sum(1 + s.book_id % 3), 2) as score from shelf s join attrs a using (book_id) where rating = 'good' and score is not null group by 1, 2)"
+_PROFILE = "prof as (select user_id, attr, round(round(sum(score * (1 + s.book_id % 3)) / sum(1 + s.book_id % 3), 9), 2) as score from shelf s join attrs a using (book_id) where rating = 'good' and score is not null group by 1, 2)"
 _GENERIC = " or ".join(f"contains(r, '{g}')" for g in T.GENERIC_REASON_WORDS)
 
 
