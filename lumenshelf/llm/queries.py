@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, run_length_index, toxicity
+from . import ball_kmeans, exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, run_length_index, runs, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, langid.fit_language_model(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op4_run_length_dedup, op5_substring_dedup, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op4_run_length_dedup, op5_substring_dedup, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id, op11_periodic_runs, op12_ball_kmeans)}
 
 
 OP1_SQL = """
@@ -128,5 +136,67 @@ from least left join n using (doc_id)
 """
 
 
+#: crc32 of the decimal doc_id bit by bit (DuckDB has no such function); runs are islands of equal distance between equal 6-grams.
+OP11_SQL = r"""
+with t as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: [ascii(ch)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) as h
+  from documents
+), a as (
+  select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as hit, case when len(w) > 0 then (h // 10) % len(w) else 0 end as a, (h // 10) % 8 as e from t
+), r as (select *, 1 + (n - a) // (3 + e) as p from a),
+d as (
+  select doc_id, case when hit then list_transform(range(0, n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from r
+), g as (
+  select doc_id, i, array_to_string(w[i + 1:i + 6], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 5)) as i from d where len(w) >= 6)
+), same as (
+  select x.doc_id, x.i, y.i - x.i as q from g x join g y on x.doc_id = y.doc_id and x.g = y.g and x.i < y.i
+), island as (
+  select doc_id, q, min(i) as s, max(i) - min(i) + 6 + q as l
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as k from same) group by doc_id, q, k
+), runs as (select doc_id, s, l, min(q) as q from island where l >= greatest(12, 2 * q) group by doc_id, s, l),
+listed as (
+  select doc_id, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as body,
+         arg_min({'s': s, 'l': l, 'q': q}, {'l': -l, 's': s, 'q': q}) as best
+  from runs group by doc_id
+), gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (
+  select x.doc_id, string_agg(x.word, ' ' order by x.i) as body
+  from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d) x anti join gone using (doc_id, i) group by 1
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.q as period, 1000 * best.l // best.q as exponent_milli,
+       sha256(coalesce(listed.body, '')) as runs_sha256, sha256(coalesce(kept.body, '')) as collapsed_sha256
+from d left join listed using (doc_id) left join kept using (doc_id)
+"""
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Rounds of assignment written out one after another."""
+    parts = ["""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (select row_number() over (order by key) - 1 as c, x from (select sha256('3:' || vec_id) as key, x from v order by key limit 8))"""]
+    nearest = "select vec_id, v.x, unnest([min({'d': d, 'c': c})]) as best from (select vec_id, v.x, c, cast(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) as bigint) as d from v, %s c) v group by vec_id, v.x"
+    for r in range(rounds + 1):
+        parts.append(f", a{r} as materialized ({nearest % f'c{r}'})")
+        if r < rounds:
+            parts.append(f""", m{r} as (
+  select c, list(m order by i) as x from (
+    select best.c as c, i, cast(floor(sum(x[i]) / count(*)) as bigint) as m from a{r}, (select unnest(range(1, 65)) as i) group by 1, 2) group by c
+), c{r + 1} as materialized (select c{r}.c, coalesce(m{r}.x, c{r}.x) as x from c{r} left join m{r} on m{r}.c = c{r}.c)""")
+    return "".join(parts) + f"""
+select vec_id, cast(best.c as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.c) as bigint) as cluster_inertia,
+       cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.x, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} on c{rounds}.c = a.best.c
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_ball_kmeans": OP12_SQL}

@@ -110,6 +110,27 @@ def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
         left, at = left[more] - 8, at[more] + 8
 
 
+def word_ids(data: np.ndarray, ws: np.ndarray, we: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where and only where the bytes are; h is word_hashes of the words."""
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    size, like = we - ws, first[ids]
+    if (size != size[like]).any():
+        return _slow_ids(data, ws, we)
+    for part in range(0, len(ws), 1 << 18):
+        mine = slice(part, part + (1 << 18))
+        owner = np.repeat(np.arange(len(ws))[mine], size[mine])
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+        if (data[ws[owner] + place] != data[ws[like[owner]] + place]).any():
+            return _slow_ids(data, ws, we)
+    return ids
+
+
+def _slow_ids(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
+    # Two words of a batch share a 64-bit hash.
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(ws, we)], np.int64)
+
+
 _powers: list[np.ndarray] = []
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,8 +28,6 @@ def exact(rows):
 
 
 def top_k(rows, is_query, k):
-    import math
-
     good = {i: [math.floor(256 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
     for q in good:
@@ -112,8 +112,6 @@ def bucket(gram, buckets):
 
 def language(model, text):
     """(language, score) of a text by a fitted model, gram by gram."""
-    import math
-
     if not any(c.isalpha() for c in text or ""):
         return "und", 0.0
     grams = Counter(bucket(g, model.buckets) for g in ngrams(text))
@@ -125,8 +123,6 @@ def language(model, text):
 
 def toxicity(model, entry_hashes, text):
     """Score of a text by a fitted model; entry_hashes gives the hashes of one word and its beginnings."""
-    import math
-
     weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist()))
     count = Counter(h for w in words(text) for h in entry_hashes(w))
     odds = model.bias + sum(weight[h] * math.log1p(n) for h, n in count.items() if h in weight)
@@ -156,3 +152,64 @@ def hilbert_place(cells, bits):
         q >>= 1
     x = [v ^ t for v in x]
     return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def planted(doc_id, ws):
+    """The words of a document after the planting of periods."""
+    n, h = len(ws), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return ws
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+
+
+def runs(ws, min_length=12):
+    """(start, length, period) of all maximal runs, by trying every period."""
+    found, n = {}, len(ws)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and ws[j] == ws[j + q]:
+                j += 1
+            if j - i + q >= max(min_length, 2 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return [(s, length, q) for (s, length), q in sorted(found.items(), key=lambda x: (x[0][0], x[1]))]
+
+
+def run_digests(rows):
+    """{doc_id: (n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)}."""
+    out = {}
+    for i, t in rows:
+        ws = planted(i, words(t))
+        found = runs(ws)
+        gone = {k for s, length, q in found for k in range(s + q, s + length)}
+        best = min(((-length, s, q) for s, length, q in found), default=None)
+        top = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+        out[i] = (len(found), *top, sha("".join(f"{s},{length},{q}\n" for s, length, q in found)), sha(" ".join(w for k, w in enumerate(ws) if k not in gone)))
+    return out
+
+
+def clusters(rows, k=8, rounds=10, dims=64, scale=1024):
+    """Sorted (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)."""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, sha(f"3:{r[0]}") if r[0] is not None else "", r[1]))
+    centers = [list(v) for _, v in order[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centers))
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(nearest(v)[1], []).append(v)
+        for j, vs in groups.items():
+            centers[j] = [sum(x) // len(vs) for x in zip(*vs)]
+    last = [(i, *nearest(v)[::-1]) for i, v in kept]
+    by = Counter()
+    for _, j, d in last:
+        by[j] += d
+    return sorted(((i, j, d, by[j], sum(by.values()), sha(",".join(map(str, centers[j])))) for i, j, d in last), key=repr)
