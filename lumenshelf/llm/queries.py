@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_kmeans, exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, run_length_index, runs, toxicity
+from . import ball_kmeans, exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, partition_join, run_length_index, runs, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.ball_kmeans(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_join.similar_sets(table(spark, sf_dir, "documents"), percent=85, shingle=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op4_run_length_dedup, op5_substring_dedup, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id, op11_periodic_runs, op12_ball_kmeans)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_exact_top_k, op3_source_mixing, op4_run_length_dedup, op5_substring_dedup, op6_toxicity, op7_hilbert_sharding, op8_packing, op9_minhash_dedup, op10_language_id, op11_periodic_runs, op12_ball_kmeans, op13_jaccard_join)}
 
 
 OP1_SQL = """
@@ -136,6 +140,8 @@ from least left join n using (doc_id)
 """
 
 
+OP13_SQL = OP9_SQL.replace("w[i:i + 4]", "w[i:i + 3]").replace("len(w) - 4", "len(w) - 3").replace(", doc_id = component_id as kept", "")
+
 #: crc32 of the decimal doc_id bit by bit (DuckDB has no such function); runs are islands of equal distance between equal 6-grams.
 OP11_SQL = r"""
 with t as (
@@ -199,4 +205,4 @@ OP12_SQL = _op12_sql()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_ball_kmeans": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_ball_kmeans": OP12_SQL, "op13_jaccard_join": OP13_SQL}
