@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .blocks import top_per
+from .collaborative import pairs_within
 
 # --- fixed values -----------------------------------------------------------
 TIER_LIKES = (3, 6)
@@ -39,12 +40,14 @@ def top_taste(shelf: DataFrame, items: DataFrame, what: str, n: int) -> DataFram
 def co_occurrence(shelf: DataFrame, least: int = LEAST_PAIRS) -> DataFrame:
     """a, b, co_like, co_save of books that `least` users like, or save, both.
 
-    Pairs form inside one user's shelf, which the user_id join keeps apart.
+    A user's shelf is dealt to pairs of blocks, so that one of any length
+    spreads over all tasks. A book that less than `least` users like, and less
+    save, is in no pair and left out first.
     """
-    s = shelf.where("rating = 'good' or status = 'wishlist'").select("user_id", "book_id", (F.col("rating") == "good").alias("like"), (F.col("status") == "wishlist").alias("save"))
-    x, y = s.alias("x"), s.alias("y")
-    both = x.join(y, (F.col("x.user_id") == F.col("y.user_id")) & (F.col("x.book_id") < F.col("y.book_id")))
-    found = both.groupBy(F.col("x.book_id").alias("a"), F.col("y.book_id").alias("b")).agg(
+    like, save = F.col("rating") == "good", F.col("status") == "wishlist"
+    s = shelf.where(like | save).select("user_id", "book_id", F.coalesce(like, F.lit(False)).alias("like"), F.coalesce(save, F.lit(False)).alias("save"))
+    enough = s.groupBy("book_id").agg(F.count_if("like").alias("likes"), F.count_if("save").alias("saves")).where(F.greatest("likes", "saves") >= least)
+    found = pairs_within(s.join(enough, "book_id", "left_semi"), "user_id", "book_id").groupBy(F.col("x.book_id").alias("a"), F.col("y.book_id").alias("b")).agg(
         F.count_if(F.col("x.like") & F.col("y.like")).alias("co_like"), F.count_if(F.col("x.save") & F.col("y.save")).alias("co_save")
     )
     return found.where((F.col("co_like") >= least) | (F.col("co_save") >= least))

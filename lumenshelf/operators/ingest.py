@@ -103,6 +103,10 @@ def match_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return top_per(found, ["book_id"], ["_rank", "pos"], 1, "_k").select("book_id", "page_id", F.when(F.col("_rank") == 0, "isbn").otherwise("title_fallback").alias("how"))
 
 
+#: Positions of a batch that one window covers.
+RUN_WIDTH = 1 << 16
+
+
 def edition_key(title: Column | str, author: Column | str) -> tuple[Column, Column]:
     """Title and author under which ingest takes two records for editions of one work."""
     return T.ingest_title(T.display_title(title)), T.plain_author(author)
@@ -125,6 +129,58 @@ def ingest_actions(new: DataFrame, books: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", F.when(F.col("action") == "UPDATE_LOAN_COUNT", F.col("_best"))).drop("_t", "_a", "_isbn", "_best", "_most", "_same")
 
 
+def running(rows: DataFrame, keys: list[str], pos: str, value: Column, name: str, width: int = RUN_WIDTH) -> DataFrame:
+    """rows with `name`, the greatest value of the earlier rows of the same keys; null before the first that is not null.
+
+    Positions are cut into ranges of `width`. The greatest of each range comes
+    from a partial aggregation and is carried on over the ranges of a key;
+    inside a range a window finishes it. A key that holds all rows so takes a
+    task for each range, and one row a range where they meet.
+    """
+    cut = rows.withColumns({"_range": F.floor(F.col(pos) / width), "_value": value})
+    ranges = cut.groupBy(*keys, "_range").agg(F.max("_value").alias("_top"))
+    ranges = ranges.withColumn("_before", F.max("_top").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    inside = F.max("_value").over(Window.partitionBy(*keys, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1))
+    found = cut.withColumn("_inside", inside).join(ranges, [*keys, "_range"])
+    return found.withColumn(name, F.greatest("_before", "_inside")).drop("_range", "_value", "_before", "_inside")
+
+
+def actions_in_order(new: DataFrame, books: DataFrame, pos: str = "pos", width: int = RUN_WIDTH) -> DataFrame:
+    """new(isbn, title, author, loan_count, pos) with action, target_id and target_isbn, each row judged after all rows before it.
+
+    A row of an unknown work, or under an ISBN that the work is known by, is
+    NEW and registered; one that is borrowed more often than the best edition
+    so far is UPDATE_LOAN_COUNT and raises that edition; any other is SKIP.
+    The target is the best edition, of equals the first: target_id where it
+    is in the table, target_isbn where this batch registered it.
+
+    Whatever the actions are, the best count before a row is the greatest of
+    the table and of all earlier rows of the work: a row that is skipped is no
+    greater. The ISBNs of a work are those of the table, or of the work's
+    first row. So three running greatest values replace the loop. `pos` orders
+    the batch and is unique; null counts are 0, null and empty ISBNs unknown.
+    """
+    t, a = edition_key("title", "author")
+    key = ["_t", "_a"]
+    known = books.select("book_id", F.nullif("isbn", F.lit("")).alias("_isbn"), F.coalesce("loan_count", F.lit(0)).alias("_count"), F.coalesce(t, F.lit("")).alias("_t"), F.coalesce(a, F.lit("")).alias("_a"))
+    best = known.groupBy(*key).agg(F.min_by("book_id", F.struct(-F.col("_count"), F.col("book_id"))).alias("_best"), F.max("_count").alias("_most"))
+    same = known.where("_isbn is not null").select(*key, "_isbn").distinct().withColumn("_same", F.lit(True))
+    rows = new.withColumns({"_t": F.coalesce(t, F.lit("")), "_a": F.coalesce(a, F.lit("")), "_isbn": F.nullif("isbn", F.lit("")), "_count": F.coalesce("loan_count", F.lit(0))})
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(F.col(pos).alias("pos"), F.col("_isbn").alias("isbn")), pos).alias("_first"))
+    rows = rows.join(best, key, "left").join(first, key).join(same, [*key, "_isbn"], "left")
+    rows = running(rows, key, pos, F.col("_count"), "_earlier", width)
+    opens = F.col("_best").isNull() & (F.col("_first.pos") == F.col(pos))
+    listed = F.coalesce(F.col("_same"), F.col("_best").isNull() & (F.col("_first.isbn") == F.col("_isbn")), F.lit(False))
+    over = F.col("_count") > F.coalesce(F.greatest("_most", "_earlier"), F.lit(-1).cast("long"))
+    rows = rows.withColumn("action", F.when(opens | listed, "NEW").when(over, "UPDATE_LOAN_COUNT").otherwise("SKIP"))
+    # The best edition changes hands only where a registered row is above all before it.
+    lead = F.when((F.col("action") == "NEW") & (over | opens), F.struct(F.col(pos).alias("pos"), F.col("_isbn").alias("isbn")))
+    rows = running(rows, key, pos, lead, "_lead", width)
+    update = F.col("action") == "UPDATE_LOAN_COUNT"
+    rows = rows.withColumns({"target_id": F.when(update & F.col("_lead").isNull(), F.col("_best")), "target_isbn": F.when(update, F.col("_lead.isbn"))})
+    return rows.drop(*key, "_isbn", "_count", "_best", "_most", "_first", "_same", "_earlier", "_lead")
+
+
 def edition_duplicates(new: DataFrame, books: DataFrame) -> DataFrame:
     """new with `duplicate`: whether the work is known, under other ISBNs only."""
     return ingest_actions(new, books).withColumn("duplicate", F.col("action") != "NEW").drop("action", "target_id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import activity_queries, bridge_queries, catalogue_queries, curation_queries, parsing_queries, taste_queries, text_queries, vector_queries
+from . import activity_queries, bridge_queries, catalogue_queries, curation_queries, parsing_queries, taste_queries, text_queries, upkeep_queries, vector_queries
 from .vector_queries import flagship as flagship
 
-_PARTS = [text_queries, vector_queries, activity_queries, taste_queries, catalogue_queries, curation_queries, bridge_queries, parsing_queries]
+_PARTS = [text_queries, vector_queries, activity_queries, taste_queries, catalogue_queries, curation_queries, bridge_queries, parsing_queries, upkeep_queries]
 
 
 def queries() -> dict:
