@@ -231,23 +231,23 @@ def _star_links(k: int, percent: int):
 def _block_links(k: int, percent: int):
     """Links among the rows of each pair of blocks."""
 
-    def links(now: tuple, ids: list[int], sides: list[int], texts: list[str]) -> pa.RecordBatch:
-        split = sides.count(0) if now and now[2] != now[3] else 0
-        few = len(ids) < 2 or (split in (0, len(ids)) if now[2] != now[3] else False)
-        pairs = [] if few else linked(exact_sets(pa.array(texts, pa.large_string()), k), percent, split)
+    def links(ids: list[int], sides: list[int], texts: list[str]) -> pa.RecordBatch:
+        # One block is compared with itself, two only with each other.
+        split = sides.count(0) % max(1, len(sides))
+        pairs = linked(exact_sets(pa.array(texts, pa.large_string()), k), percent, split) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], schema=_LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sides, texts = None, [], [], []
         for batch in batches:
-            for kind, key, i, j, side, rep, text in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "i", "j", "side", "rep", "text"))):
-                if (kind, key, i, j) != now:
-                    yield links(now, ids, sides, texts)
-                    now, ids, sides, texts = (kind, key, i, j), [], [], []
+            for *pair, side, rep, text in zip(*(batch.column(c).to_pylist() for c in ("lead", "sub", "other_lead", "other_sub", "side", "rep", "text"))):
+                if pair != now:
+                    yield links(ids, sides, texts)
+                    now, ids, sides, texts = pair, [], [], []
                 ids.append(rep)
                 sides.append(side)
                 texts.append(text)
-        yield links(now, ids, sides, texts)
+        yield links(ids, sides, texts)
 
     return run, "a long, b long"
 
@@ -332,6 +332,34 @@ def _unlike(rows: DataFrame, links: DataFrame, *columns: str) -> tuple[DataFrame
     return rows, found
 
 
+def _open_blocks(buckets: DataFrame, stars: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(lead, sub, other_lead, other_sub, side, rep): the sets of each pair of blocks that still have to be compared.
+
+    Sets are put into blocks with those that share their least leader, so
+    that the sets of a family are together and a pair of blocks is compared
+    once, however many buckets they share. Only blocks that meet in a bucket,
+    and there with sets of different components, form a pair.
+    """
+    open_, _ = _unlike(buckets, links, "rep")
+    several = open_.groupBy("kind", "key").agg(F.min("rep_of").alias("x"), F.max("rep_of").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("kind", "key")
+    open_ = open_.join(several, ["kind", "key"], "left_semi")
+    home = stars.groupBy("rep").agg(F.min("lead").alias("lead"))
+    open_ = open_.join(home, "rep", "left").withColumn("lead", F.coalesce("lead", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+    sizes = open_.select("lead", "rep", "n_shingles").distinct().groupBy("lead").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("subs"))
+    open_ = staged(open_.join(sizes, "lead").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("kind", "key", "lead", "sub", "rep", "rep_of"), "open")
+    at = open_.groupBy("kind", "key", "lead", "sub").agg(F.min("rep_of").alias("low"), F.max("rep_of").alias("high"))
+    other = at.select("kind", "key", F.col("lead").alias("other_lead"), F.col("sub").alias("other_sub"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    here, there = F.struct("lead", "sub"), F.struct("other_lead", "other_sub")
+    apart = (F.least("low", "other_low") < F.greatest("high", "other_high")) & (here <= there)
+    pairs = at.join(other, ["kind", "key"]).where(apart).select("lead", "sub", "other_lead", "other_sub").distinct()
+    sets = open_.select("lead", "sub", "rep").distinct()
+    first = pairs.join(sets, ["lead", "sub"]).withColumn("side", F.lit(0))
+    second = pairs.where(here < there).join(sets.select(F.col("lead").alias("other_lead"), F.col("sub").alias("other_sub"), "rep"), ["other_lead", "other_sub"]).withColumn("side", F.lit(1))
+    out = staged(first.unionByName(second), "blocks")
+    discard(open_)
+    return out
+
+
 def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """Components of documents whose shingle sets are alike, exactly: doc_id, n_shingles, component_id.
 
@@ -350,8 +378,8 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFr
 
     Each document writes about 0.35 keys a shingle. A group of sets that
     share a key is never gathered: its members meet its least set in tasks of
-    `STAR` members, and only members of different components meet in pairs of
-    blocks of about `BLOCK_SHINGLES` shingles.
+    `STAR` members; where they are of different components still, they meet in
+    pairs of blocks of about `BLOCK_SHINGLES` shingles.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, kind = _signatures(shingle, percent)
@@ -370,16 +398,12 @@ def similar_sets(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFr
     rest, _ = _unlike(stars, links, "lead", "rep")
     rest = staged(rest.where("lead_of <> rep_of").select("lead", "rep"), "rest")
     links = links.unionByName(staged(_star(rest, texts, shingle, percent), "links"))
-    open_, _ = _unlike(buckets, links, "rep")
-    several = open_.groupBy("kind", "key").agg(F.min("rep_of").alias("x"), F.max("rep_of").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("kind", "key")
-    open_ = staged(open_.join(several, ["kind", "key"], "left_semi").join(classes.select("rep", "n_shingles"), "rep").select("kind", "key", "rep", "n_shingles"), "open")
-    blocks = open_.groupBy("kind", "key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = open_.join(blocks, ["kind", "key"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("kind", "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), "rep")
+    blocks = _open_blocks(buckets, stars, links, classes)
     run, kind = _block_links(shingle, percent)
-    dealt = dealt.join(texts.hint("merge"), "rep").select("kind", "key", "i", "j", "side", "rep", "text").repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "side", "rep")
+    pair = ["lead", "sub", "other_lead", "other_sub"]
+    dealt = blocks.join(texts.hint("merge"), "rep").select(*pair, "side", "rep", "text").repartition(*pair).sortWithinPartitions(*pair, "side", "rep")
     found = connected_components(links.unionByName(dealt.mapInArrow(run, kind))).withColumnRenamed("node", "rep")
     label = classes.join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    discard(entries, buckets, stars, rest, open_, texts)
+    discard(entries, buckets, stars, rest, blocks, texts)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return plain.join(label, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
