@@ -1,23 +1,32 @@
 """Matrix work of both recommendation stages, on batches of users against a block of items.
 
-Items are broadcast in blocks of a bounded size and users stay where they
-are, so no (user, item) pair is ever shuffled: a block gives each user's best
-items, or the scores of the candidates asked for.
+Users and items meet on a grid: items are dealt to blocks of a bounded size,
+users to parts, and a cell of the grid is one block and one part. No (user,
+item) pair is ever shuffled: a cell gives each user's best items of a block,
+or the scores of the candidates asked for. Nothing passes the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of item vectors that are broadcast at once, and scores that a task holds at once.
+#: Bytes of item vectors of a block, and scores that a task holds at once.
 BLOCK_BYTES, SCORES = 32 << 20, 4 << 20
 
 
+@dataclass
+class Block:
+    """What a kernel reads of the block of items that its cell holds."""
+
+    value: tuple = ()
+
+
 def matrices(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """All vectors of an array<array<double>> column as rows, and where each row's vectors begin."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,10 +64,63 @@ def best_of_segments(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return segment_max(scores.T, starts).T
 
 
-def in_blocks(items: DataFrame, key: str, row_bytes: int, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """items dealt to blocks of about `block_bytes`, by a hash of their key; the rows are counted."""
-    n = max(1, -(-items.count() * row_bytes // block_bytes))
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+def blocks_of(items: DataFrame, row_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks of about `block_bytes` the items make; the rows are counted."""
+    return max(1, -(-items.count() * row_bytes // block_bytes))
+
+
+def meet(users: DataFrame, user: str, items: DataFrame, item: str, blocks: int, held: Callable[[pa.Table], tuple], kernel: Callable[[Block], tuple]) -> DataFrame:
+    """What a kernel makes of all users and all items, cell by cell.
+
+    Items go to `blocks` blocks by a hash of `item`, and users to as many
+    parts as leave each shuffle partition a cell; a row of either side is
+    sent to every cell of its block or part. A cell's items come first: `held`
+    makes of them what the kernel reads, then the users follow in batches, so
+    that a task holds one block at a time. A kernel is (run, schema) for a
+    Block; where a block has no items, its users give nothing.
+    """
+    parts = max(1, -(-int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    run_of, (_, kind) = kernel, kernel(Block())
+
+    mine, theirs = [f"_u{k}" for k in range(len(users.columns))], [f"_i{k}" for k in range(len(items.columns))]
+    left = users.toDF(*mine).withColumns({"_part": F.pmod(F.xxhash64(mine[users.columns.index(user)]), F.lit(parts)).cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    right = items.toDF(*theirs).withColumns({"_block": F.pmod(F.xxhash64(theirs[items.columns.index(item)]), F.lit(blocks)).cast("int"), "_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    cells = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    cells = cells.repartition(parts * blocks, "_part", "_block").sortWithinPartitions("_part", "_block", "_side")
+    user_names, item_names = users.columns, items.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pieces, ready, now = Block(), [], False, None
+        work, _ = run_of(block)
+        for batch in batches:
+            at = [batch.column(c).to_numpy() for c in ("_part", "_block", "_side")]
+            edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                cell, side = (int(at[0][lo]), int(at[1][lo])), int(at[2][lo])
+                if cell != now:
+                    now, pieces, ready = cell, [], False
+                piece = batch.slice(lo, hi - lo)
+                if side == 0:
+                    pieces.append(piece.select(theirs))
+                    continue
+                if not ready:
+                    table = pa.Table.from_batches(pieces, pieces[0].schema if pieces else piece.select(theirs).schema).rename_columns(item_names)
+                    block.value, pieces, ready = held(table), [], True
+                if len(block.value[0]):
+                    yield from work(iter([piece.select(mine).rename_columns(user_names)]))
+
+    return cells.mapInArrow(run, kind)
+
+
+def vectors_of(table: pa.Table, column: str, dims: int) -> np.ndarray:
+    """An array column of a block as a matrix."""
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+
+
+def ids_of(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).to_numpy().astype(np.int64)
 
 
 def users_in_turn(batches: Iterator[pa.RecordBatch], most: Callable[[pa.RecordBatch], int]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +192,17 @@ def best_of_block(shared, dims: int, w, n: int, kept: tuple[bool, bool], total:
     return run, "user_id long, book_id long, score double"
 
 
-def components_of(shared, dims: int, mode: str, match: float, rest: float):
-    """(user_id, book_id, reason, desc, bad, heard, wish, avoid) of the candidates that a block holds."""
+def components_of(shared, dims: int, mode: str, match: float, rest: float, best: Callable[..., np.ndarray] | None = None, n: int = 0):
+    """(user_id, book_id, reason, desc, bad, heard, wish, avoid) of the candidates that a block holds.
+
+    With `best`, a function of the parts and of the block's factors, the
+    column candidates names the books to leave out, and the n greatest of all
+    others come out, ties to the smaller id.
+    """
     names = ["user_id", "book_id", "reason", "desc", "bad", "heard", "wish", "avoid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, desc, reasons, first = shared.value
+        ids, desc, reasons, first, factor = shared.value
         order = np.argsort(ids)
         told = np.diff(first)
         # A user at a time: what is computed for one is candidates times reasons.
@@ -143,6 +210,10 @@ def components_of(shared, dims: int, mode: str, match: float, rest: float):
             asked, _ = numbers(batch.column("candidates"))
             place = order[np.minimum(np.searchsorted(ids, asked, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(0, np.int64)
             at = place[ids[place] == asked] if len(ids) else place
+            if best is not None:
+                left = np.ones(len(ids), bool)
+                left[at] = False
+                at = np.flatnonzero(left)
             if not len(at):
                 continue
             d = desc[at]
@@ -184,11 +255,14 @@ def components_of(shared, dims: int, mode: str, match: float, rest: float):
             if mode == "evaluation":
                 # Only pairs with reasons on both sides count.
                 both = (count > 0)[:, None] & (told[at] > 0)[None, :]
-                n = both.sum(axis=0)
-                reason = (sign[:, None] * ms * both).sum(axis=0) / np.maximum(n, 1)
+                reason = (sign[:, None] * ms * both).sum(axis=0) / np.maximum(both.sum(axis=0), 1)
             else:
                 reason = (sign[:, None] * part).mean(axis=0) if len(sign) else np.zeros(len(at))
             values = (reason, near("good"), near("bad"), heard, near("wish"), near("avoid"))
+            if best is not None:
+                score = best(*values, factor[at])
+                first_n = np.lexsort((ids[at], -score))[:n]
+                at, values = at[first_n], tuple(v[first_n] for v in values)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("user_id")[0].as_py())), pa.array(ids[at]), *map(pa.array, values)], names=names)
 
     return run, "user_id long, book_id long, " + ", ".join(f"{c} double" for c in names[2:])
@@ -197,22 +271,26 @@ def components_of(shared, dims: int, mode: str, match: float, rest: float):
 def nearest_of_block(shared, dims: int, n: int):
     """(query_id, book_id, score): each query's n best rows of a block by inner product, ties to the smaller id.
 
-    A positive score is multiplied by its row's factor; rows that a query excludes are left out.
+    A positive score is multiplied by its row's factor; rows whose owner a query excludes are left out.
     """
     names = ["query_id", "book_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, factor = shared.value
-        order = np.argsort(ids)
+        ids, vectors, factor, owners = shared.value
+        order = np.argsort(owners, kind="stable")
+        held = owners[order]
         for batch in users_in_turn(batches, lambda b: SCORES // max(1, len(ids))):
             q = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
-            score = q @ vectors.T
+            # Products of equal vectors may differ in the last bits.
+            score = np.round(q @ vectors.T, 12)
             score = np.where(score > 0, score * factor, score)
             gone, at = numbers(batch.column("exclude"))
             if len(gone) and len(ids):
-                owner, place = np.repeat(np.arange(len(q)), np.diff(at)), np.minimum(np.searchsorted(ids, gone, sorter=order), len(ids) - 1)
-                hit = ids[order[place]] == gone
-                score[owner[hit], order[place[hit]]] = -np.inf
+                # An owner may hold several rows of the block.
+                lo, hi = np.searchsorted(held, gone, "left"), np.searchsorted(held, gone, "right")
+                who = np.repeat(np.repeat(np.arange(len(q)), np.diff(at)), hi - lo)
+                place = np.repeat(lo, hi - lo) + np.arange(len(who)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+                score[who, order[place]] = -np.inf
             out: list[list[np.ndarray]] = [[], [], []]
             for query, own in zip(batch.column("query_id").to_numpy(), score):
                 open_ = np.flatnonzero(own > -np.inf)
@@ -225,3 +303,45 @@ def nearest_of_block(shared, dims: int, n: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
     return run, "query_id long, book_id long, score double"
+
+
+def mean_best_of_block(shared, dims: int, n: int, most: float):
+    """(user_id, book_id, sim, marker_id, reason_pos): for each user's markers the best reason of a book, added up, and which is the best of all.
+
+    Books come out that can be among a user's n best after their sum has been
+    multiplied by anything from 1 to `most`.
+    """
+    names = ["user_id", "book_id", "sim", "marker_id", "reason_pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, first, vectors, places = shared.value
+        for batch in users_in_turn(batches, lambda b: 1):
+            m, _ = matrices(batch.column("markers"), dims)
+            markers, _ = numbers(batch.column("marker_ids"))
+            gone, _ = numbers(batch.column("exclude"))
+            open_ = np.flatnonzero(~np.isin(books, gone))
+            if not len(open_) or not len(m):
+                continue
+            total, top = np.zeros(len(books)), np.full(len(books), -np.inf)
+            which, where = np.zeros(len(books), np.int64), np.zeros(len(books), np.int64)
+            step = max(1, SCORES // max(1, len(vectors)))
+            for lo in range(0, len(m), step):
+                sims = m[lo : lo + step] @ vectors.T
+                for row, marker in zip(sims, markers[lo : lo + step]):
+                    best = np.maximum.reduceat(row, first[:-1])
+                    total += best
+                    # Equal similarities to nine decimals go to the smaller marker, then to the earlier reason.
+                    better = np.round(best, 9) > np.round(top, 9)
+                    if better.any():
+                        equal = np.round(row, 9) >= np.repeat(np.round(best, 9), np.diff(first))
+                        hit = np.flatnonzero(equal)
+                        at = hit[np.searchsorted(hit, first[:-1])]
+                        top = np.where(better, best, top)
+                        which = np.where(better, marker, which)
+                        where = np.where(better, places[at], where)
+            least, greatest = np.minimum(total, most * total)[open_], np.maximum(total, most * total)[open_]
+            keep = open_[greatest >= np.partition(least, len(least) - n)[len(least) - n]] if len(open_) > n else open_
+            columns = (np.full(len(keep), batch.column("user_id")[0].as_py()), books[keep], total[keep], which[keep], where[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run, "user_id long, book_id long, sim double, marker_id long, reason_pos long"

@@ -2,7 +2,7 @@
 
 Stage 1 rates every item for every user; stage 2 rates the candidates
 precisely, from the reasons of rated books. Both run as matrix products of a
-batch of users with a broadcast block of items (`kernels`).
+batch of users with a block of items (`kernels`).
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit, weighted_mean
 from . import kernels
 from .blocks import top_per
-from .similar import penalised
+from .saved import saved
+from .similar import TIER_FACTOR, penalised
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,6 @@ def profiles(shelf: DataFrame, feedback: DataFrame, signals: DataFrame, vectors:
     return by.join(f, "user_id", "left").withColumns({"fb_vec": F.coalesce("fb_vec", _none()), "fb_sign": F.coalesce("fb_sign", F.array().cast("array<double>"))})
 
 
-def _width(items: DataFrame, column: str) -> int:
-    return items.agg(F.max(F.size(column))).first()[0] or 0
-
-
 def stage_one(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFrame, n: int = CANDIDATES, w: Weights = Weights(), parts: tuple[str, ...] = ("single", "per_book"), block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
     """user_id, rank, book_id, score: the n best items that a user has not in `taken`.
 
@@ -84,43 +81,29 @@ def stage_one(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFra
     taken ones included; with several blocks a first pass finds these. Users
     without a resolvable good book have no rows.
     """
-    context = users.sparkSession.sparkContext
-    everything = items.select("book_id", "desc").join(agg, "book_id")
-    dims = _width(items, "desc")
-    blocks = kernels.in_blocks(everything, "book_id", 16 * dims, block_bytes)
+    everything = items.select("book_id", "desc").join(agg, "book_id").select("book_id", "desc", "agg")
+    dims, total = everything.agg(F.max(F.size("desc")), F.count("*")).first()
+    dims = dims or 0
+    blocks = kernels.blocks_of(everything, 16 * dims, block_bytes)
     gone = taken.groupBy("user_id").agg(F.collect_set("book_id").alias("taken"))
     rows = users.where(F.size("good") > 0).join(gone, "user_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
-    shared, total = [], 0
-    for block in blocks:
-        held = block.select("book_id", "desc", "agg").toArrow()
-        total += held.num_rows
-        shared.append(context.broadcast((held.column("book_id").to_numpy().astype(np.int64), *(held.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("desc", "agg")))))
-    columns = ["user_id", "good", "good_agg", "bad", "wish", "avoid", "fb_vec", "fb_sign", "taken"]
-    rows = rows.select(columns).repartition("user_id")
-    if len(blocks) > 1:
-        found = None
-        for b in shared:
-            run, kind = kernels.bounds_of(b, dims, w)
-            own = rows.mapInArrow(run, kind)
-            found = own if found is None else found.unionByName(own)
+    rows = rows.select("user_id", "good", "good_agg", "bad", "wish", "avoid", "fb_vec", "fb_sign", "taken")
+
+    def held(t):
+        return kernels.ids_of(t, "book_id"), kernels.vectors_of(t, "desc", dims), kernels.vectors_of(t, "agg", dims)
+
+    if blocks > 1:
+        rows, everything = saved(rows), saved(everything)
+        found = kernels.meet(rows, "user_id", everything, "book_id", blocks, held, lambda b: kernels.bounds_of(b, dims, w))
         rows = rows.join(found.groupBy("user_id").agg(*(f(c).alias(c) for c, f in (("lo1", F.min), ("hi1", F.max), ("lo2", F.min), ("hi2", F.max)))), "user_id")
-    out = None
-    for b in shared:
-        run, kind = kernels.best_of_block(b, dims, w, n, ("single" in parts, "per_book" in parts), total, len(blocks) > 1)
-        own = rows.mapInArrow(run, kind)
-        out = own if out is None else out.unionByName(own)
+    kept = ("single" in parts, "per_book" in parts)
+    out = kernels.meet(rows, "user_id", everything, "book_id", blocks, held, lambda b: kernels.best_of_block(b, dims, w, n, kept, total, blocks > 1))
     return top_per(out, ["user_id"], [F.desc("score"), "book_id"], n).select("user_id", "rank", "book_id", "score")
 
 
-def components(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, mode: str = "engine", block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
-    """user_id, book_id and the parts of a precise score: reason, desc, bad, heard, wish, avoid.
-
-    Only-dislike users are rated too. An item without reasons matches
-    nothing (0), and its rated book still counts in the mean. `mode` says how
-    a user's own words and a book's reasons mix (MODES).
-    """
-    context = users.sparkSession.sparkContext
-    dims = _width(items, "desc")
+def _precise(asked: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, mode: str, block_bytes: int, best=None, n: int = 0) -> DataFrame:
+    """The parts of a precise score, of asked(user_id, candidates) or, with `best`, of the n best books outside of them."""
+    dims = items.agg(F.max(F.size("desc"))).first()[0] or 0
     lists = reasons.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reason_pos", "vec"))), lambda r: r["vec"]).alias("reasons"))
     f = feedback.select("user_id", "book_id", F.col("rating").alias("_rating"), F.col("vec").alias("e")).where("_rating is null or _rating <> 'neutral'")
     rated = shelf.where("rating in ('good', 'bad')").join(vectors.select("book_id"), "book_id", "left_semi").join(f, ["user_id", "book_id"], "left").join(lists, "book_id", "left")
@@ -130,24 +113,50 @@ def components(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedba
         "user_id", F.transform("_r", lambda r: r["sign"]).alias("rated_sign"), F.transform("_r", lambda r: r["e"].isNotNull().cast("int")).alias("rated_told"),
         F.array_compact(F.transform("_r", lambda r: r["e"])).alias("rated_e"), F.transform("_r", lambda r: F.size(r["reasons"])).alias("rated_counts"), F.flatten(F.transform("_r", lambda r: r["reasons"])).alias("rated_reasons"),
     )
-    asked = candidates.groupBy("user_id").agg(F.collect_set("book_id").alias("candidates"))
-    rows = asked.join(users, "user_id").join(rated, "user_id").repartition("user_id")
-    told = items.select("book_id", "desc").join(lists, "book_id", "left").withColumn("reasons", F.coalesce("reasons", _none()))
+    rows = asked.join(users, "user_id").join(rated, "user_id")
+    factor = F.coalesce(*(F.when(F.col("source_tier") == t, F.lit(x)) for t, x in TIER_FACTOR.items()), F.lit(1.0))
+    told = items.select("book_id", "desc", factor.alias("factor")).join(lists, "book_id", "left").withColumn("reasons", F.coalesce("reasons", _none()))
     most = told.agg(F.avg(F.size("reasons"))).first()[0] or 0
-    out = None
-    for block in kernels.in_blocks(told, "book_id", int(8 * dims * (1 + most)) + 8, block_bytes):
-        held = block.toArrow()
-        r, first = kernels.matrices(held.column("reasons"), dims)
-        shared = context.broadcast((held.column("book_id").to_numpy().astype(np.int64), held.column("desc").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), r, first))
-        run, kind = kernels.components_of(shared, dims, mode, *MODES[mode])
-        own = rows.mapInArrow(run, kind)
-        out = own if out is None else out.unionByName(own)
-    return out
 
+    def held(t):
+        r, first = kernels.matrices(t.column("reasons"), dims)
+        return kernels.ids_of(t, "book_id"), kernels.vectors_of(t, "desc", dims), r, first, t.column("factor").to_numpy()
 
-def stage_two(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, w: Weights = Weights(), mode: str = "engine", signals: bool = True) -> DataFrame:
-    """user_id, book_id, score of candidates(user_id, book_id); without `signals` neither tiers nor wish and dislike lists count."""
-    parts = components(candidates, users, shelf, feedback, items, reasons, vectors, mode)
+    return kernels.meet(rows, "user_id", told, "book_id", kernels.blocks_of(told, int(8 * dims * (1 + most)) + 16, block_bytes), held, lambda b: kernels.components_of(b, dims, mode, *MODES[mode], best, n))
+
+
+def components(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, mode: str = "engine", block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
+    """user_id, book_id and the parts of a precise score: reason, desc, bad, heard, wish, avoid.
+
+    Only-dislike users are rated too. An item without reasons matches
+    nothing (0), and its rated book still counts in the mean. `mode` says how
+    a user's own words and a book's reasons mix (MODES).
+    """
+    asked = candidates.groupBy("user_id").agg(F.collect_set("book_id").alias("candidates"))
+    return _precise(asked, users, shelf, feedback, items, reasons, vectors, mode, block_bytes)
+
+
+def exact_best(users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, taken: DataFrame, n: int, w: Weights = Weights(), signals: bool = True, block_bytes: int = kernels.BLOCK_BYTES) -> DataFrame:
+    """user_id, rank, book_id, score: the n best of all items that a user has not in `taken`, by the precise score.
+
+    Every item is rated in its block, which gives n books a user; no pair of
+    user and item leaves a task otherwise.
+    """
+    asked = users.select("user_id").join(taken.groupBy("user_id").agg(F.collect_set("book_id").alias("candidates")), "user_id", "left")
+    asked = asked.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<bigint>")))
+
+    def score(reason, desc, bad, heard, wish, avoid, factor):
+        total = w.reason * reason + w.desc * desc + w.feedback * heard
+        if not signals:
+            return total
+        total = total + w.wishlist * wish - w.not_interested * avoid
+        return np.where(total > 0, total * factor, total)
+
+    parts = _precise(asked, users, shelf, feedback, items, reasons, vectors, "engine", block_bytes, score, n)
+    return top_per(_weighted(parts, items, w, signals), ["user_id"], [F.desc("score"), "book_id"], n).select("user_id", "rank", "book_id", "score")
+
+
+def _weighted(parts: DataFrame, items: DataFrame, w: Weights, signals: bool) -> DataFrame:
     total = w.reason * F.col("reason") + w.desc * F.col("desc") + w.feedback * F.col("heard")
     if not signals:
         return parts.select("user_id", "book_id", total.alias("score"))
@@ -155,6 +164,11 @@ def stage_two(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedbac
     return parts.join(items.select("book_id", "source_tier"), "book_id").select("user_id", "book_id", penalised(total, F.col("source_tier")).alias("score"))
 
 
+def stage_two(candidates: DataFrame, users: DataFrame, shelf: DataFrame, feedback: DataFrame, items: DataFrame, reasons: DataFrame, vectors: DataFrame, w: Weights = Weights(), mode: str = "engine", signals: bool = True) -> DataFrame:
+    """user_id, book_id, score of candidates(user_id, book_id); without `signals` neither tiers nor wish and dislike lists count."""
+    return _weighted(components(candidates, users, shelf, feedback, items, reasons, vectors, mode), items, w, signals)
+
+
 def near_candidates(users: DataFrame, items: DataFrame, agg: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     """user_id, rank, book_id, score: the n items nearest to a liked book, or to a disliked one where none is liked."""
     seeds = F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("bad"))

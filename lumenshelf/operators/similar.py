@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +24,27 @@ def penalised(score: Column, tier: Column) -> Column:
 def similar_to_vectors(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """query_id, rank, book_id, score of the n best items for queries(query_id, vec, exclude); ties to the smaller id.
 
-    `exclude` is an array of book ids that may not appear. Items are broadcast
-    in blocks, and each block gives every query's n best.
+    `exclude` is an array of book ids that may not appear. Queries meet the
+    items in blocks, and each block gives every query's n best.
     """
     tier = F.col("source_tier")
     factor = F.coalesce(*(F.when(tier == t, F.lit(f)) for t, f in TIER_FACTOR.items()), F.lit(1.0))
-    rows = items.where("desc is not null").select("book_id", "desc", factor.alias("factor"))
+    rows = items.where("desc is not null").select("book_id", "desc", factor.alias("factor"), F.col("book_id").alias("owner"))
+    return top_per(nearest(queries, rows, n), ["query_id"], [F.desc("score"), "book_id"], n).select("query_id", "rank", "book_id", "score")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """query_id, book_id, score: n or more candidates of each query, its n best among them.
+
+    queries(query_id, vec, exclude), rows(book_id, desc, factor, owner): rows
+    whose owner a query excludes do not appear.
+    """
     dims = rows.agg(F.max(F.size("desc"))).first()[0] or 0
     asked = queries.where("vec is not null").select("query_id", "vec", F.col("exclude").cast("array<bigint>").alias("exclude"))
-    out = None
-    for block in kernels.in_blocks(rows, "book_id", 8 * dims + 16):
-        held = block.toArrow()
-        matrix = held.column("desc").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
-        shared = items.sparkSession.sparkContext.broadcast((held.column("book_id").to_numpy().astype(np.int64), matrix, held.column("factor").to_numpy()))
-        run, kind = kernels.nearest_of_block(shared, dims, n)
-        own = asked.mapInArrow(run, kind)
-        out = own if out is None else out.unionByName(own)
-    return top_per(out, ["query_id"], [F.desc("score"), "book_id"], n).select("query_id", "rank", "book_id", "score")
+    return kernels.meet(
+        asked, "query_id", rows.select("book_id", "desc", "factor", "owner"), "book_id", kernels.blocks_of(rows, 8 * dims + 24),
+        lambda t: (kernels.ids_of(t, "book_id"), kernels.vectors_of(t, "desc", dims), t.column("factor").to_numpy(), kernels.ids_of(t, "owner")), lambda b: kernels.nearest_of_block(b, dims, n),
+    )
 
 
 def similar_items(items: DataFrame, seeds: DataFrame, n: int) -> DataFrame:

@@ -86,16 +86,14 @@ def rc24_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("user_id", *(F.round(c, 6).alias(c) for c in q.columns[1:]))
 
 
-def _exact(t: dict[str, DataFrame], **options) -> DataFrame:
-    """Precise scores of every item that a user has not."""
-    everything = t["users"].select("user_id").join(t["items"].select("book_id")).join(t["taken"].distinct(), ["user_id", "book_id"], "left_anti")
-    return scoring.stage_two(everything, t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"], **options)
+def _exact(t: dict[str, DataFrame], n: int, **options) -> DataFrame:
+    """The n best of all items that a user has not, by the precise score."""
+    return scoring.exact_best(t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"], t["taken"], n, **options)
 
 
 def rc5_exact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best of all items by the precise score alone."""
-    scored = _exact(vector_queries._parts(spark, sf_dir), signals=False)
-    return top_per(scored, ["user_id"], [F.desc("score"), "book_id"], 50).select("user_id", "rank", "book_id", F.round("score", 6).alias("score"))
+    return _exact(vector_queries._parts(spark, sf_dir), 50, signals=False).withColumn("score", F.round("score", 6))
 
 
 def rc6_legacy_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +119,7 @@ def rc16_reason_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rc25_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 20 of both stages against the precise score of all items."""
     t = vector_queries._parts(spark, sf_dir)
-    exact = top_per(_exact(t), ["user_id"], [F.desc("score"), "book_id"], LIST)
+    exact = _exact(t, LIST)
     two = scoring.stage_two(scoring.stage_one(t["users"], t["items"], t["agg"], t["taken"], 100), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
     return variants.recall(top_per(two, ["user_id"], [F.desc("score"), "book_id"], LIST), exact, LIST)
 

@@ -443,3 +443,97 @@ def test_untouched_partitions_keep_their_files(spark, tmp_path):
     after = {p: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / f"part={p}").glob("*.parquet")} for p in range(3)}
     assert after[0] == before[0] and after[2] == before[2] and not set(after[1]) & set(before[1])
     assert spark.read.parquet(path).groupBy("part").count().orderBy("part").collect() == [(0, 30), (1, 7), (2, 30)]
+
+
+# --- users and items on a grid ------------------------------------------------
+
+
+def grid_world(spark, n_items=40, n_users=6, dims=4, seed=8):
+    import numpy as np
+
+    from lumenshelf.operators import scoring
+
+    rng = np.random.default_rng(seed)
+    items = spark.createDataFrame([(b, rng.normal(size=dims).tolist(), ["rich", "minimal", "kakao_desc"][b % 3]) for b in range(n_items)], "book_id long, desc array<double>, source_tier string")
+    reasons = spark.createDataFrame([(b, b * 10 + j, f"r{b}{j}", rng.normal(size=dims).tolist(), j) for b in range(n_items) if b % 5 for j in range(b % 3 + 1)], "book_id long, reason_pos long, reason string, vec array<double>, user_mention_count int")
+    agg = scoring.aggregate_reasons(items, reasons)
+    vectors = items.select("book_id", F.col("desc").alias("vec"))
+    shelf = spark.createDataFrame([(u, (u * 7 + k * 11) % n_items, "good" if k % 2 else "bad", "finished") for u in range(n_users) for k in range(5)], "user_id long, book_id long, rating string, status string")
+    feedback = shelf.where("book_id % 3 = 0").join(vectors, "book_id").select("user_id", "book_id", "rating", "vec")
+    signals = spark.createDataFrame([(u, (u * 7 + 3) % n_items) for u in range(n_users)], "user_id long, book_id long").withColumn("signal", F.lit("not_interested"))
+    users = scoring.profiles(shelf, feedback, signals, vectors, agg)
+    return items, reasons, agg, vectors, shelf, feedback, signals, users
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_exact_best_is_stage_two_of_everything(spark, block_bytes):
+    from lumenshelf.operators import scoring
+    from lumenshelf.operators.blocks import top_per
+
+    items, reasons, _, vectors, shelf, feedback, signals, users = grid_world(spark)
+    taken = shelf.select("user_id", "book_id").unionByName(signals.select("user_id", "book_id"))
+    everything = users.select("user_id").crossJoin(items.select("book_id")).join(taken, ["user_id", "book_id"], "left_anti")
+    for signal in (True, False):
+        scored = scoring.stage_two(everything, users, shelf, feedback, items, reasons, vectors, signals=signal)
+        expected = {(r.user_id, r["rank"]): (r.book_id, pytest.approx(r.score)) for r in top_per(scored, ["user_id"], [F.desc("score"), "book_id"], 7).collect()}
+        found = scoring.exact_best(users, shelf, feedback, items, reasons, vectors, taken, 7, signals=signal, block_bytes=block_bytes)
+        assert {(r.user_id, r["rank"]): (r.book_id, r.score) for r in found.collect()} == expected and len(expected) == 42
+
+
+def test_items_do_not_pass_the_driver(spark):
+    from lumenshelf.operators import similar
+
+    items = grid_world(spark)[0]
+    queries = items.select(F.col("book_id").alias("query_id"), F.col("desc").alias("vec"), F.array("book_id").alias("exclude"))
+    plan = similar.similar_to_vectors(queries, items, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_all_reasons_in_blocks(spark, monkeypatch, block_bytes):
+    import numpy as np
+
+    from lumenshelf.operators import bridge, kernels
+
+    items, reasons, _, _, shelf, _, _, _ = grid_world(spark)
+    books = items.withColumn("genre", F.concat(F.lit("국내도서>g"), (F.col("book_id") % 4).cast("string"), F.when(F.col("book_id") % 9 == 0, ">유아").otherwise("")))
+    markers = shelf.where("rating = 'good'").join(reasons, "book_id").select("user_id", F.col("reason_pos").alias("marker_id"), F.lit(0.5).alias("weight"), "vec")
+    monkeypatch.setattr(kernels, "blocks_of", lambda rows, row_bytes, b=0: max(1, rows.count() * row_bytes // block_bytes))
+    found = {(r.user_id, r["rank"]): (r.book_id, round(r.score, 9), r.reason) for r in bridge.by_all_reasons(markers, reasons, shelf, books, 5).collect()}
+
+    def unit(v):
+        return np.array(v) / np.linalg.norm(v)
+
+    told, own, genre = defaultdict(list), defaultdict(set), {r.book_id: r.genre for r in books.collect()}
+    for r in sorted(reasons.collect(), key=lambda r: r.reason_pos):
+        if "유아" not in genre[r.book_id]:
+            told[r.book_id].append((r.reason, unit(r.vec)))
+    for r in shelf.collect():
+        own[r.user_id].add(r.book_id)
+    mine = defaultdict(list)
+    for r in sorted(markers.collect(), key=lambda r: r.marker_id):
+        mine[r.user_id].append(unit(r.vec))
+    expected = {}
+    for u, ms in mine.items():
+        parts = {p for b in own[u] for p in genre[b].split(">")} - {"국내도서"}
+        rows = []
+        for b, rs in told.items():
+            if b not in own[u]:
+                best = [max((float(m @ v), -k) for k, (_, v) in enumerate(rs)) for m in ms]
+                boost = min(0.1 * len(parts & set(genre[b].split(">"))), 0.3)
+                rows.append((-round(sum(s for s, _ in best) / len(ms) * (1 + boost), 9), b, rs[-max(best)[1]][0]))
+        for k, (s, b, reason) in enumerate(sorted(rows)[:5]):
+            expected[u, k + 1] = (b, -s, reason)
+    assert {k: (b, r) for k, (b, _, r) in found.items()} == {k: (b, r) for k, (b, _, r) in expected.items()}
+    assert all(abs(found[k][1] - expected[k][1]) < 1e-8 for k in expected)
+
+
+def test_silhouette_of_a_large_shelf():
+    import numpy as np
+
+    from lumenshelf.operators import variants
+
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 3, 4000)
+    x = np.eye(3, 64)[labels] * 5 + rng.normal(size=(4000, 64)) * 0.1
+    assert variants.silhouette(x, labels) > 0.8
