@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # --- fixed values -----------------------------------------------------------
+#: Parts of reasons that say nothing of a book, and names of categories.
+GENERIC_PHRASES = ["재밌", "감동적", "좋은 책", "읽어볼 만", "추천", "괜찮", "잘 읽힌", "흥미롭", "인상적", "소장 가치", "몰입감", "흡입력", "정점", "걸작", "수작", "명작"]
+META_CATEGORIES = ["국내도서", "해외도서", "소설", "에세이", "인문학", "교양 인문학", "만화", "라이트노벨", "명사에세이", "방송연예인에세이", "자기계발", "경제경영", "과학", "사회과학"]
 LEAST_BOOKS = {"genre_combo": 10, "author": 3, "keyword": 5}
 UNSHOWN_DAYS, LOW_DAYS, LOW_SHOWN, LOW_RATE = 30, 90, 100, 0.005
 RETENTION_DAYS, STAGE_DAYS = 30, 7

@@ -188,7 +188,9 @@ def fd2_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fd1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.templates(spark).where("tier < 3")
+    """The sections that each user's tier gives."""
+    users = activity.user_state(views.shelf(spark, sf_dir), F.lit("2024-02-01").cast("timestamp")).select("user_id", "tier")
+    return users.join(F.broadcast(feed.templates(spark)), "tier").select("user_id", "slot", "type", "personalization")
 
 
 def flt4_fitting_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +329,7 @@ f as (select user_id, book_id, score * (1 + 0.3 * match) as s from m)""") + "sel
         + "select name, user_id, book_id, round(s, 6) as score, cast(row_number() over (partition by name, user_id order by s desc, book_id) as integer) as rank from sc qualify rank <= 5",
         "rc35_components": w(needed, one, "c10 as (select * from cand where rank <= 10)", reason, bads.format("c10"), "eng as (select user_id, book_id, avg(sign * case when told then 3 * fs + 0.5 * ms else ms end) as reason from part group by 1, 2)")
         + 'select e.user_id, e.book_id, round(e.reason, 6) as reason, round(coalesce(gd, 0), 6) as "desc", round(coalesce(bm, 0), 6) as bad, round(fm, 6) as heard, round(coalesce(wm, 0), 6) as wish, round(coalesce(nm, 0), 6) as avoid from eng e join rated using (user_id, book_id) left join bads using (user_id, book_id)',
-        "fd1_templates": "select * from (values (0, 0, 'trending', null), (0, 1, 'curation', 'general'), (0, 2, 'curation', 'general'), (0, 3, 'category_nav', null), (1, 0, 'similar', null), (1, 1, 'curation', 'by_author'), (1, 2, 'curation', 'by_l1'), (1, 3, 'curation', 'general'), (1, 4, 'category_nav', null), (2, 0, 'personal_recommend', null), (2, 1, 'curation', 'by_author'), (2, 2, 'similar', null), (2, 3, 'curation', 'tier2+'), (2, 4, 'trending', null)) t(tier, slot, type, personalization)",
+        "fd1_templates": w("shelf") + "select user_id, slot, type, personalization from (select user_id, case when count(*) filter (rating = 'good') >= 6 then 2 when count(*) filter (rating = 'good') >= 3 then 1 else 0 end as tier from shelf group by 1) join (values (0, 0, 'trending', null), (0, 1, 'curation', 'general'), (0, 2, 'curation', 'general'), (0, 3, 'category_nav', null), (1, 0, 'similar', null), (1, 1, 'curation', 'by_author'), (1, 2, 'curation', 'by_l1'), (1, 3, 'curation', 'general'), (1, 4, 'category_nav', null), (2, 0, 'personal_recommend', null), (2, 1, 'curation', 'by_author'), (2, 2, 'similar', null), (2, 3, 'curation', 'tier2+'), (2, 4, 'trending', null)) t(tier, slot, type, personalization) using (tier)",
         "flt4_fitting_themes": w("shelf items books", f"""u as (select user_id, case when count(*) filter (rating = 'good') >= 6 then 2 when count(*) filter (rating = 'good') >= 3 then 1 else 0 end as tier from shelf group by 1),
 tl as (select user_id, l1 from (select user_id, l1, count(*) as n from shelf join items using (book_id) where rating = 'good' group by 1, 2) qualify row_number() over (partition by user_id order by n desc, l1) <= 3),
 th as (select book_id as id, (['general', 'tier1+', 'tier2+', 'by_author', 'by_l1', 'by_keyword'])[book_id % 6 + 1] as p, {text_queries._PRIMARY} as ta, case when trim({text_queries._G}) <> '' then {text_queries._BODY}[1] end as tl1 from books)""")

@@ -9,12 +9,10 @@ from ..functions import text as T
 from ..operators import catalogue, ingest, queues
 from ..sources import views
 from . import text_queries as X
-from .literals import Literal
+from .literals import Derived
 
-CURSORS = Literal(
-    "cursors", "source_type string, search_keyword string, completed boolean, unique_items_saved int, age int",
-    [("item_list", None, True, 40, 90), ("search", "역사", True, 7, 31), ("search", "과학", True, 3, 29), ("search", "시", False, 0, 200), ("author", "한강", True, 5, 400)],
-)
+CURSORS = Derived("cursors", "part", """select case p_partkey % 3 when 0 then 'item_list' when 1 then 'search' else 'author' end as source_type, case when p_partkey % 3 <> 0 then p_brand end as search_keyword,
+  p_partkey % 4 <> 0 as completed, p_size as unique_items_saved, cast(p_partkey % 60 as int) as age from {source}""")
 #: How a new arrival differs from the catalogue row it is made of.
 ARRIVALS = """select case when book_id % 3 = 0 then isbn when book_id % 7 = 1 then '' else concat('979', lpad(cast(book_id as varchar(20)), 10, '0')) end as isbn,
   case when book_id % 5 = 0 then concat('new ', title) else title end as title, author, genre, loan_count * 2 - 40 as loan_count, addition_symbol, book_id as pos
@@ -236,7 +234,7 @@ def snk4_update_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk9_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = CURSORS.frame(spark).withColumn("updated_at", F.date_sub(F.lit(views.TODAY).cast("date"), F.col("age")))
+    c = CURSORS.frame(spark, sf_dir).withColumn("updated_at", F.date_sub(F.lit(views.TODAY).cast("date"), F.col("age")))
     return ingest.cursor_summary(ingest.cursor_states(c, F.lit(views.TODAY).cast("date")))
 
 

@@ -9,24 +9,24 @@ from ..functions import text as T
 from ..operators import activity, curation, ingest
 from ..sources import views
 from . import text_queries as X
-from .literals import Literal
+from .literals import Derived, Literal
 
 STAGES = Literal(
     "stages", "id int, stage int, thresholds string, pre_ctr double",
     [(1, 0, '{"stage1": {"users": 1, "pairs": 0}, "min_exposure": 10, "rollback_threshold": -0.2}', None), (2, 1, '{"stage2": {"users": 1000000, "pairs": 1}, "min_exposure": 10, "rollback_threshold": -0.2}', 0.9), (3, 2, '{"min_exposure": 10}', 0.5)],
 )
-REASONS = Literal(
-    "reason_rows", "id long, title string, reason string, evidence string, source string",
-    [
-        (1, "여름 - 바다의 기억", "바다의 기억", "", "<b>바다</b>의 기억이 남는다"), (2, "여름 - 바다의 기억", "바다의 기억이 오래 남는 이야기", "바다의 기억", "바다의 기억이 남는다"), (3, "x", "성장하는 주인공 이야기", "없는 말 전혀 아님", "다른 글"), (4, "x", "짧다", "", "짧다"),
-        (5, "x", "가난한 소년이 바다를 건너 도시에서 살아남는다", None, "소년이 바다를 건너"), (6, None, "이것은 정말 좋은 책일까?", "정말 좋은 책", "정말 나쁜 책"), (7, "x", "과거 vs 현재의 대비", "", ""), (8, "x", "도시에서 혼자 살아가는 삶을 담담히 그려냄", "도시 에서 혼자", "도시에서 혼자 산다"), (9, "y", None, None, None),
-    ],
-)
-GENERIC, META = ["이야기", "감동"], ["짧다"]
-METRICS = Literal(
-    "metrics", "hypothesis string, grp string, cov double, div double, auth double, t5 double, ad double",
-    [("H1", "a", 0.5, 0.25, 0.5, 0.2, 1.0), ("H1", "a", 1.0, 0.75, 0.0, 0.4, 0.5), ("H1", "b", 0.1, 0.2, 0.3, 0.4, 0.5), ("H2", "b", 0.9, 0.8, 0.7, 0.6, 0.5)],
-)
+#: Thresholds of stages as JSON, one a nation.
+THRESHOLDS = Derived("nations", "nation", """select n_nationkey as id, case when n_nationkey % 5 = 0 then null when n_nationkey % 4 = 0 then '{{"min_exposure": 10}}'
+  else concat('{{"stage1": {{"users": ', cast(n_nationkey * 10 as varchar(20)), ', "pairs": ', cast(n_regionkey as varchar(20)), '}}, "rollback_threshold": -0.', cast(n_nationkey % 9 + 1 as varchar(20)), '}}') end as thresholds from {source}""")
+#: Reasons of every kind that the rules tell apart, made of the names of parts.
+REASONS = Derived("reason_rows", "part", """select p_partkey as id, case p_partkey % 12 when 0 then concat(p_name, ' - 바다의 기억') when 1 then concat(p_name, ': 바다') when 5 then null else p_name end as title,
+  case p_partkey % 12 when 0 then '바다의 기억' when 1 then concat(p_name, '의 기억이 오래 남는 이야기') when 2 then '성장하는 주인공 이야기' when 3 then '짧다' when 4 then concat('가난한 ', p_brand, ' 바다를 건너 살아남는다') when 5 then '이것은 정말 좋은 책일까?'
+    when 6 then concat(split_part(p_name, ' ', 1), ' vs 현재의 대비') when 7 then concat(split_part(p_name, ' ', 2), '에서 혼자 사는 삶을 그려냄') when 8 then null when 9 then concat('몰입감 있는 ', split_part(p_name, ' ', 1)) when 10 then '소설' else concat(' ', p_name, ' ') end as reason,
+  case p_partkey % 5 when 0 then '' when 1 then null when 2 then '바다의 기억' when 3 then concat(split_part(p_name, ' ', 1), ' 없는 말') else '전혀 아님' end as evidence,
+  case p_partkey % 7 when 0 then null when 1 then concat('<b>바다</b>의 기억이 남는다 ', p_name) when 2 then p_name else concat('바다의 기억, ', p_brand, ' 바다를 건너 ', p_type) end as source
+from {source}""")
+#: Figures of a test run, one a line item.
+METRICS = Derived("metrics", "lineitem", "select concat('H', cast(l_linenumber as varchar(20))) as hypothesis, l_returnflag as grp, cast(l_discount * 10 as double) as cov, cast(l_tax * 10 as double) as div, cast(l_quantity / 50 as double) as auth, cast(l_orderkey % 10 as double) / 10 as t5, cast(l_suppkey % 5 as double) / 5 as ad from {source}")
 
 
 def _now(spark: SparkSession, sf_dir: str):
@@ -82,7 +82,7 @@ def js1_confidence_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def js2_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("thresholds")
-    return STAGES.frame(spark).select("id", F.get_json_object(t, "$.stage1.users").cast("int").alias("users"), F.get_json_object(t, "$.stage1").isNotNull().alias("has_stage1"), F.get_json_object(t, "$.rollback_threshold").cast("double").alias("rollback"))
+    return THRESHOLDS.frame(spark, sf_dir).select("id", F.get_json_object(t, "$.stage1.users").cast("int").alias("users"), F.get_json_object(t, "$.stage1").isNotNull().alias("has_stage1"), F.get_json_object(t, "$.rollback_threshold").cast("double").alias("rollback"))
 
 
 def mt6_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,11 +150,11 @@ def ag19_author_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag26_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.composite(METRICS.frame(spark)).withColumn("composite", F.round("composite", 6))
+    return curation.composite(METRICS.frame(spark, sf_dir)).withColumn("composite", F.round("composite", 6))
 
 
 def ag27_reason_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = curation.reason_checks(views.item_reasons(spark, sf_dir).select("reason").unionByName(REASONS.frame(spark).where("reason is not null").select("reason")))
+    c = curation.reason_checks(views.item_reasons(spark, sf_dir).select("reason").unionByName(REASONS.frame(spark, sf_dir).where("reason is not null").select("reason")))
     return c.withColumns({x: F.round(x, 6) for x in ("avg_length", "short_ratio", "generic_ratio")})
 
 
@@ -185,17 +185,17 @@ def ag18_attribute_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flt16_reason_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = REASONS.frame(spark).groupBy(F.coalesce("title", F.lit("")).alias("t"), "title").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    r = REASONS.frame(spark, sf_dir).groupBy(F.coalesce("title", F.lit("")).alias("t"), "title").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
     return r.select("t", F.array_join(curation.reason_filter("reasons", "title"), "|").alias("kept"))
 
 
 def flt17_phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = REASONS.frame(spark).where("reason is not null")
-    return r.select("id", (F.size(curation.phrase_filter(F.array("reason"), GENERIC, META)) > 0).alias("kept"))
+    r = REASONS.frame(spark, sf_dir).where("reason is not null")
+    return r.select("id", (F.size(curation.phrase_filter(F.array("reason"), curation.GENERIC_PHRASES, curation.META_CATEGORIES)) > 0).alias("kept"))
 
 
 def flt18_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REASONS.frame(spark).where("reason is not null").select("id", curation.verified("reason", "evidence", "source").alias("kept"))
+    return REASONS.frame(spark, sf_dir).where("reason is not null").select("id", curation.verified("reason", "evidence", "source").alias("kept"))
 
 
 def dt_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +260,7 @@ d as (select *, coalesce(users >= cast(json_extract_string(thresholds, '$.stage'
         + "select id, stage, case when up then stage + 1 when down then stage - 1 else stage end as next_stage, case when up then 'auto_promote' when down then 'auto_rollback' end as reason, users, pairs, round(case when up then ctr when down then null else pre_ctr end, 6) as pre_ctr, round(case when down and not up then ctr end, 6) as post_ctr from d",
         "ag7_confidence": w("shelf items", _CONFIDENCE) + "select user_id, round(least(feedback_depth / 25 * 0.4 + div * 0.3 + var * 0.15 + least(book_count / 10, 1.0) * 0.15, 1.0), 3) as score, feedback_depth, book_count, round(div, 3) as genre_diversity, round(var, 3) as rating_variance from conf",
         "js1_confidence_json": w("shelf items", _CONFIDENCE) + "select user_id, '{\"book_count\":' || book_count || ',\"feedback_depth\":' || feedback_depth || '}' as result from conf",
-        "js2_thresholds": f"with {STAGES.cte()} select id, cast(json_extract_string(thresholds, '$.stage1.users') as int) as users, json_extract(thresholds, '$.stage1') is not null as has_stage1, cast(json_extract_string(thresholds, '$.rollback_threshold') as double) as rollback from stages",
+        "js2_thresholds": f"with {THRESHOLDS.cte()} select id, cast(json_extract_string(thresholds, '$.stage1.users') as int) as users, json_extract(thresholds, '$.stage1') is not null as has_stage1, cast(json_extract_string(thresholds, '$.rollback_threshold') as double) as rollback from nations",
         "mt6_depth": w("shelf") + f"select user_id, book_id, {_DEPTH} as depth, case when rating = 'bad' then 0.0 else cast((case when length(review_text) >= 50 then 3.0 when len(emotion_tags) >= 1 then 2.0 when rating is not null then 1.5 else 1.0 end) * (case when book_id % 7 = 0 then 1.2 else 1.0 end) as double) end as weight from shelf",
         "ag14_recent_click_rate": w("impressions") + "select source, count(*) as shown, count(*) filter (action in ('clicked', 'liked')) as hits, round(count(*) filter (action in ('clicked', 'liked')) / count(*), 6) as ctr from impressions where shown_at >= (select max(ts) from events) - interval 7 days group by 1",
         "ag2_changed_users": w("shelf") + _STATE + " where user_id in (select user_id from shelf where updated_at >= (select max(ts) from events) - interval 2 days) group by 1",
@@ -286,7 +286,7 @@ union all select 'books of few reasons', few, few <= 80 from o union all select
         "ag17_attribute_profile": w("shelf items", _ATTRS, _PROFILE) + "select * from prof",
         "ag18_attribute_match": w("shelf items", _ATTRS, _PROFILE) + "select s.user_id, s.book_id, round(coalesce(avg(p.score * a.score), 0), 6) as match from shelf s left join attrs a on a.book_id = s.book_id and a.score is not null left join prof p on p.user_id = s.user_id and p.attr = a.attr where s.status = 'wishlist' group by 1, 2",
         "flt16_reason_filter": f"{r}, x as (select coalesce(title, '') as t, trim(reason) as r from reason_rows) select t, coalesce(string_agg(r, '|' order by r) filter (length(r) between 10 and 60 and not list_contains(regexp_split_to_array(t, '\\s*[-–—:]\\s*'), r) and r <> t and (length(r) >= 15 or not ({_GENERIC}))), '') as kept from x group by 1",
-        "flt17_phrase_filter": f"{r}, x as (select id, trim(reason) as r from reason_rows where reason is not null) select id, not (length(r) < 4 or " + " or ".join(f"contains(r, '{g}')" for g in GENERIC) + f" or r in ('{META[0]}') or regexp_matches(r, '(\\?|할까|인가)$') or regexp_matches(r, '^.+(이다|한다|된다|있다|없다|했다|됐다|아니다)$') or (length(r) > 12 and regexp_matches(r, '[을를의에서로].*[냄함임음줌짐김됨봄럼침]$')) or length(r) > 25 or contains(r, ' vs ') or contains(r, ' VS ')) as kept from x",
+        "flt17_phrase_filter": f"{r}, x as (select id, trim(reason) as r from reason_rows where reason is not null) select id, not (length(r) < 4 or " + " or ".join(f"contains(r, '{g}')" for g in curation.GENERIC_PHRASES) + " or r in (" + ", ".join(f"'{m}'" for m in curation.META_CATEGORIES) + ") or regexp_matches(r, '(\\?|할까|인가)$') or regexp_matches(r, '^.+(이다|한다|된다|있다|없다|했다|됐다|아니다)$') or (length(r) > 12 and regexp_matches(r, '[을를의에서로].*[냄함임음줌짐김됨봄럼침]$')) or length(r) > 25 or contains(r, ' vs ') or contains(r, ' VS ')) as kept from x",
         "flt18_verified": f"{r} select id, coalesce(contains({clean}, {told}) or (len({words}) > 0 and len(list_filter({words}, lambda x: contains({clean}, x))) / len({words}) >= 0.4), false) as kept from reason_rows where reason is not null",
         "dt_times": w("ev") + """select event_id, strftime(ts, '%Y-%m-%dT%H') as bucket, case when event_id % 10 = 0 then -1.0 else cast(epoch(timestamp '2024-02-01') - floor(epoch(ts)) as double) end as age, ts >= timestamp '2024-02-01' - interval 7 days as recent,
 case when event_id % 10 = 0 then false else epoch(timestamp '2024-02-01') - floor(epoch(ts)) < 180 end as fresh, strftime(ts, 'v%Y%m') as version, sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || strftime(ts, '%Y-%m-%dT%H')) as hash from ev""",

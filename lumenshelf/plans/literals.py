@@ -1,9 +1,11 @@
-"""Small literal tables that exist as DataFrames and as SQL."""
+"""Tables of a query that exist as DataFrames and as SQL: small literal ones, and ones made of a given table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import views
+
 
 def sql_value(v: object) -> str:
     if v is None:
@@ -32,3 +34,19 @@ class Literal:
         casts = ", ".join(f"cast({n} as {kinds[k]}) as {n}" for n, k in cols)
         values = ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in self.rows)
         return f"{self.name} as (select {casts} from (values {values}) v({', '.join(n for n, _ in cols)}))"
+
+
+class Derived:
+    """Rows that a select over one given table makes, as a text that both engines take.
+
+    `{source}` names the table in the text; braces of the text itself are doubled.
+    """
+
+    def __init__(self, name: str, table: str, select: str):
+        self.name, self.table, self.select = name, table, select
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(self.select, source=views.table(spark, sf_dir, self.table))
+
+    def cte(self) -> str:
+        return f"{self.name} as ({self.select.format(source=self.table)})"

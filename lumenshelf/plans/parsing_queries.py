@@ -1,48 +1,43 @@
-"""Queries of captured responses and product pages, over literal rows and the page table, and their SQL."""
+"""Queries of captured responses and product pages, made of the part and page tables, and their SQL."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import views
-from .literals import Literal
-
-_DOC = {"isbn13": "9788937460050", "bookname": " 동물 농장  ", "authors": "조지 오웰", "publisher": "", "publication_year": "1998", "addition_symbol": "03", "class_no": "843", "bookImageURL": "http://c/1", "loan_count": "12"}
-BOOKS = Literal(
-    "book_responses", "id long, body string",
-    [
-        (1, json.dumps({"response": {"docs": [{"doc": _DOC}, {"doc": _DOC | {"isbn13": ""}}, {"doc": _DOC | {"isbn13": "2", "loan_count": "many"}}]}}, ensure_ascii=False)),
-        (2, json.dumps({"response": {"docs": [{"book": {"isbn13": " 3 ", "bookname": "B", "loan_count": "7"}}]}})), (3, json.dumps({"response": {"docs": []}})), (4, "{}"), (5, None),
-    ],
-)
-USAGE = Literal(
-    "usage_responses", "id long, body string",
-    [
-        (1, json.dumps({"response": {"book": {"loanCnt": "40"}, "loanHistory": [{"loan": {"loanCnt": "3"}}, {"loan": {"loanCnt": "x"}}, {"loan": {"loanCnt": "4"}}], "keywords": [{"keyword": {"word": "바다", "weight": "2.5"}}, {"keyword": {"word": ""}}, {"keyword": {"word": "긴 말", "weight": "1"}}, {"keyword": {"word": "바다", "weight": "bad"}}], "coLoanBooks": [{"book": {"isbn13": str(k)}} for k in range(60)]}}, ensure_ascii=False)),
-        (2, json.dumps({"response": {"book": {"loanCnt": "0"}}})), (3, None),
-    ],
-)
+from .literals import Derived
+
+#: Responses of the library's listing, one a part: two wrappings, blank and bad fields, and none at all.
+BOOKS = Derived("book_responses", "part", """select p_partkey as id, case when p_partkey % 17 = 0 then null when p_partkey % 19 = 0 then '{{}}' when p_partkey % 13 = 0 then '{{"response": {{"docs": []}}}}'
+  else concat('{{"response": {{"docs": [{{"doc": {{"isbn13": "978', cast(p_partkey as varchar(20)), '", "bookname": " ', p_name, '   x ", "authors": "', p_brand, '", "publisher": "', case when p_partkey % 4 = 0 then '' else p_brand end,
+    '", "publication_year": "', case when p_partkey % 5 = 0 then ' ' else '1998' end, '", "addition_symbol": "0', cast(p_partkey % 10 as varchar(20)), '", "class_no": "843", "bookImageURL": "http://c/1", "loan_count": "', case when p_partkey % 7 = 0 then 'many' else cast(p_size as varchar(20)) end,
+    '"}}}}, {{"book": {{"isbn13": " ', cast(p_partkey as varchar(20)), ' ", "bookname": "', p_type, '", "loan_count": "7"}}}}, {{"doc": {{"isbn13": "", "bookname": "none"}}}}]}}}}') end as body
+from {source}""")
+#: Responses of the library's usage service.
+USAGE = Derived("usage_responses", "part", """select p_partkey as id, case when p_partkey % 11 = 0 then null when p_partkey % 7 = 0 then '{{"response": {{"book": {{"loanCnt": "0"}}}}}}'
+  else concat('{{"response": {{"book": {{"loanCnt": "', cast(p_size * 3 as varchar(20)), '"}}, "loanHistory": [{{"loan": {{"loanCnt": "', cast(p_size as varchar(20)), '"}}}}, {{"loan": {{"loanCnt": "x"}}}}, {{"loan": {{"loanCnt": "4"}}}}], "keywords": [{{"keyword": {{"word": "', split_part(p_name, ' ', 1),
+    '", "weight": "2.5"}}}}, {{"keyword": {{"word": ""}}}}, {{"keyword": {{"word": "', p_type, '", "weight": "1"}}}}, {{"keyword": {{"word": "', split_part(p_name, ' ', 2), '", "weight": "', cast(p_size as varchar(20)), '"}}}}, {{"keyword": {{"word": "', split_part(p_name, ' ', 1), '", "weight": "bad"}}}}, {{"keyword": {{"word": "x"}}}}], "coLoanBooks": [',
+    case when p_partkey % 3 = 0 then '' else concat('{{"book": {{"isbn13": "', cast(p_partkey + 1 as varchar(20)), '"}}}}, {{"book": {{"isbn13": ""}}}}, {{"book": {{"isbn13": "', cast(p_partkey + 2 as varchar(20)), '"}}}}') end, ']}}}}') end as body
+from {source}""")
 
 
 def src13_book_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.book_docs(BOOKS.frame(spark), "body")
+    return ingest.book_docs(BOOKS.frame(spark, sf_dir), "body")
 
 
 def src14_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = ingest.usage(USAGE.frame(spark), "body")
+    u = ingest.usage(USAGE.frame(spark, sf_dir), "body")
     return u.withColumns({"library_keywords": F.array_join("library_keywords", ","), "co_loan_isbns": F.array_join("co_loan_isbns", ",")})
 
 
 def src15_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.monthly_keywords(USAGE.frame(spark), "body")
+    return ingest.monthly_keywords(USAGE.frame(spark, sf_dir), "body")
 
 
 def flt15_single_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.single_tokens(ingest.monthly_keywords(USAGE.frame(spark), "body"), ["id"])
+    return ingest.single_tokens(ingest.monthly_keywords(USAGE.frame(spark, sf_dir), "body"), ["id"])
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +80,11 @@ def oracle_sql() -> dict[str, str]:
         "src13_book_docs": f"with {BOOKS.cte()}, d as (select id, unnest(from_json(json_extract(body, '$.response.docs'), '[\"json\"]')) as j from book_responses), b as (select id, coalesce(json_extract(j, '$.doc'), json_extract(j, '$.book')) as b from d) "
         + r"""select id, trim(b->>'isbn13') as isbn13, trim(regexp_replace(coalesce(b->>'bookname', ''), '\s+', ' ', 'g')) as title, trim(coalesce(b->>'authors', '')) as author_raw, nullif(trim(b->>'publisher'), '') as publisher, nullif(trim(b->>'publication_year'), '') as publication_year, trim(coalesce(b->>'addition_symbol', '')) as addition_symbol,
 nullif(trim(b->>'class_no'), '') as kdc, nullif(trim(b->>'bookImageURL'), '') as cover_url, coalesce(try_cast(b->>'loan_count' as integer), 0) as loan_count from b where coalesce(trim(b->>'isbn13'), '') <> ''""",
+        "src14_usage": f"with {USAGE.cte()}, u as (select id, coalesce(try_cast(json_extract_string(body, '$.response.book.loanCnt') as integer), 0) as loan_count, "
+        + """coalesce(list_sum(list_transform(from_json(json_extract(body, '$.response.loanHistory'), '["json"]'), lambda j: coalesce(try_cast(json_extract_string(j, '$.loan.loanCnt') as integer), 0))), 0) as months,
+array_to_string(list_filter(list_transform(coalesce(from_json(json_extract(body, '$.response.keywords'), '["json"]'), []), lambda j: json_extract_string(j, '$.keyword.word')), lambda x: coalesce(x, '') <> ''), ',') as words,
+array_to_string(list_filter(list_transform(coalesce(from_json(json_extract(body, '$.response.coLoanBooks'), '["json"]'), []), lambda j: json_extract_string(j, '$.book.isbn13')), lambda x: coalesce(x, '') <> '')[:50], ',') as isbns from usage_responses)
+select id, loan_count, cast(months as integer) as loan_count_12mo, words as library_keywords, isbns as co_loan_isbns, loan_count = 0 and months = 0 and words = '' and isbns = '' as is_empty from u""",
         "src15_keywords": kw + "select id, pos, word, weight from w where coalesce(word, '') <> ''",
         "flt15_single_tokens": kw + "select id, pos, word, weight from w where length(word) >= 2 and not contains(word, ' ') qualify row_number() over (partition by id, word order by pos) = 1",
         "src10_page_data": """select page_id, case when page_id % 5 <> 4 then '책 ' || page_id end as title, case when page_id % 5 <> 4 then case page_id % 3 when 0 then '조지 오웰' when 1 then '한강' end end as author, case when page_id % 5 <> 4 then cast(page_id as varchar) end as isbn,

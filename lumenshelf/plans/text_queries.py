@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import views
-from .literals import Literal
+from .literals import Derived, Literal
 
 TITLES = Literal(
     "titles",
@@ -131,17 +131,16 @@ def _scalar_sql(exprs: dict) -> str:
     return views.with_views("items", TITLES.cte(), f"catalogue as (select * from titles union all select {CATALOGUE} from items)") + f"select id, {columns} from catalogue"
 
 
-TEXTS = Literal(
-    "texts",
-    "id long, rich string, description string, title string, author string, genre string, tags array<string>, review string, url string, keywords array<string>",
-    [
-        (1, "[책소개]\n소개 글입니다\n★ 광고\nMD 한마디\n지움\n\n남는 줄\n미리보기 보기\n\n[출판사리뷰]\n리뷰\n\n[책속으로]\n발췌문", "설명", "제목", "저자", "소설", ["감동", " "], " 좋다 ", "https://t1.kakaocdn.net/thumb?fname=http%3A%2F%2Fx.y%2Fa.jpg&w=1", ["가", "나"]),
-        (2, None, "<b>굵은 글</b> 설명 'x' '두 글자'", "제목", None, "", [], None, "http://a.b/c.jpg", []),
-        (3, "<p>" + "가" * 250 + "</p>", "", "", "", "", None, "", "", None),
-        (4, "", "", "", "", "", ["성장"], "", None, None),
-        (5, "[책속으로]\n펼쳐보기\n짧", None, None, "저자만", None, None, "authKey", "https://k.kakaocdn.net/x?w=1", None),
-    ],
-)
+#: Source texts with sections, tags and addresses, made of the documents.
+TEXTS = Derived("texts", "documents", """select doc_id as id,
+  case doc_id % 5 when 0 then concat('[책소개]', chr(10), left(text, 200), chr(10), '★ 광고', chr(10), 'MD 한마디', chr(10), '지움', chr(10), chr(10), '남는 줄 ', substr(text, 200, 100), chr(10), '미리보기 보기', chr(10), chr(10), '[출판사리뷰]', chr(10), '리뷰', chr(10), chr(10), '[책속으로]', chr(10), substr(text, 300, 500))
+    when 1 then null when 2 then concat('<p>', text, '</p>') when 3 then '' else concat('[책속으로]', chr(10), '펼쳐보기', chr(10), left(text, cast(doc_id % 9 as int))) end as rich,
+  case doc_id % 4 when 0 then concat('<b>', left(text, 30), '</b> ', substr(text, 31, 100), ' ', chr(39), '두 글자', chr(39)) when 1 then left(text, 120) when 2 then '' end as description,
+  case when doc_id % 6 <> 5 then concat('제목 ', left(text, 12)) end as title, case when doc_id % 7 <> 0 then source end as author, case when doc_id % 3 <> 0 then lang else '' end as genre,
+  case doc_id % 4 when 0 then split('감동, ', ',') when 1 then split('성장,위로', ',') when 2 then split(' ', ',') end as tags, case when doc_id % 5 <> 1 then concat(' ', substr(text, 5, cast(doc_id % 20 as int)), ' ') end as review,
+  case doc_id % 4 when 0 then concat('https://t1.kakaocdn.net/thumb?fname=http%3A%2F%2Fx.y%2F', cast(doc_id as varchar(20)), '.jpg&w=1') when 1 then 'http://a.b/c.jpg' when 2 then 'https://k.kakaocdn.net/x?w=1' end as url,
+  case when doc_id % 3 = 0 then split(concat(lang, ',', source), ',') end as keywords
+from {source}""")
 
 
 def str13_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,33 +149,33 @@ def str13_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str16_str17_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.frame(spark).select("id", T.section("rich", "책소개").alias("raw"), T.clean_intro(T.section("rich", "책소개")).alias("intro"), T.section("rich", "책속으로").alias("quote"), T.section("rich", "목차").alias("unknown"))
+    return TEXTS.frame(spark, sf_dir).select("id", T.section("rich", "책소개").alias("raw"), T.clean_intro(T.section("rich", "책소개")).alias("intro"), T.section("rich", "책속으로").alias("quote"), T.section("rich", "목차").alias("unknown"))
 
 
 def str18_source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, sources = T.rich_source("title", "author", "genre", "description", "rich", "keywords")
-    return TEXTS.frame(spark).select("id", T.basic_source("title", "author", "genre", "description").alias("basic"), text.alias("full"), F.array_join(sources, ",").alias("sources"))
+    return TEXTS.frame(spark, sf_dir).select("id", T.basic_source("title", "author", "genre", "description").alias("basic"), text.alias("full"), F.array_join(sources, ",").alias("sources"))
 
 
 def str19_source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, tier = T.source_choice("rich", "description", "title", "author", "genre")
-    return TEXTS.frame(spark).select("id", text.alias("text"), tier.alias("tier"))
+    return TEXTS.frame(spark, sf_dir).select("id", text.alias("text"), tier.alias("tier"))
 
 
 def str20_feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.frame(spark).select("id", T.feedback_text("tags", "review").alias("text"))
+    return TEXTS.frame(spark, sf_dir).select("id", T.feedback_text("tags", "review").alias("text"))
 
 
 def str24_full_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.frame(spark).select("id", T.full_cover("url").alias("cover"))
+    return TEXTS.frame(spark, sf_dir).select("id", T.full_cover("url").alias("cover"))
 
 
 def str25_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.frame(spark).select("id", F.array_join(T.key_terms("description"), "|").alias("terms"))
+    return TEXTS.frame(spark, sf_dir).select("id", F.array_join(T.key_terms("description"), "|").alias("terms"))
 
 
 def str26_section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TEXTS.frame(spark).select("id", T.section_lines("rich").alias("body"))
+    return TEXTS.frame(spark, sf_dir).select("id", T.section_lines("rich").alias("body"))
 
 
 def str28_scrub_key(spark: SparkSession, sf_dir: str) -> DataFrame:

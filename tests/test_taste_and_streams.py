@@ -132,8 +132,14 @@ def test_stage_one_is_the_same_in_blocks(spark):
     assert one == many and len(one) == 45
 
 
+USAGE = [
+    (1, json.dumps({"response": {"book": {"loanCnt": "40"}, "loanHistory": [{"loan": {"loanCnt": "3"}}, {"loan": {"loanCnt": "x"}}, {"loan": {"loanCnt": "4"}}], "keywords": [{"keyword": {"word": "바다", "weight": "2.5"}}, {"keyword": {"word": ""}}, {"keyword": {"word": "긴 말", "weight": "1"}}, {"keyword": {"word": "바다", "weight": "bad"}}], "coLoanBooks": [{"book": {"isbn13": str(k)}} for k in range(60)]}}, ensure_ascii=False)),
+    (2, json.dumps({"response": {"book": {"loanCnt": "0"}}})), (3, None),
+]
+
+
 def test_usage_of_a_response(spark):
-    got = {r.id: r for r in ingest.usage(parsing_queries.USAGE.frame(spark), "body").collect()}
+    got = {r.id: r for r in ingest.usage(spark.createDataFrame(USAGE, "id long, body string"), "body").collect()}
     assert (got[1].loan_count, got[1].loan_count_12mo, got[1].library_keywords, got[1].is_empty) == (40, 7, ["바다", "긴 말", "바다"], False)
     assert got[1].co_loan_isbns == [str(k) for k in range(50)] and got[2].is_empty and got[3].is_empty and got[3].loan_count == 0
 
