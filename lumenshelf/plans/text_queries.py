@@ -194,6 +194,28 @@ def queries() -> dict:
     return found | {f.__name__: f for f in (str13_clean_html, str16_str17_sections, str18_source_texts, str19_source_choice, str20_feedback_text, str24_full_cover, str25_key_terms, str26_section_lines, str28_scrub_key)}
 
 
+_LABELS = [("제목", "title"), ("저자", "author"), ("장르", "genre"), ("내용", "description")]
+
+
+def _section(name: str) -> str:
+    others = "|".join(x for x in T.SECTIONS if x != name)
+    return f"regexp_replace(regexp_replace(regexp_extract(coalesce(rich, ''), '(?s)\\[{name}\\](.*)$', 1), '(?s)\\[(?:{others})\\].*$', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def _introductions() -> str:
+    """CTEs that give each text's introduction (raw, intro) and quotation: a line is skipped after an editor's block until a blank line."""
+    return TEXTS.cte() + f""", cut as (select *, {_section('책소개')} as raw, {_section('책속으로')} as quote from texts),
+lines as (select id, unnest(string_split(raw, chr(10))) as line, generate_subscripts(string_split(raw, chr(10)), 1) as i from cut),
+kinds as (select *, trim(line) as s, trim(line) like '★%' as star, trim(line) like 'MD 한마디%' or trim(line) like 'MD한마디%' as block from lines),
+marks as (select *, max(case when block and not star then i end) over w as opened, max(case when s = '' then i end) over w as blank from kinds window w as (partition by id order by i rows between unbounded preceding and 1 preceding)),
+told as (select id, string_agg(line, chr(10) order by i) as body from marks where not star and not block and not contains(s, '미리보기') and (opened is null or coalesce(blank, 0) > opened) group by id),
+intros as (select cut.*, regexp_replace(coalesce(body, ''), '^\\s+|\\s+$', '', 'g') as intro from cut left join told using (id))"""
+
+
+def _labelled(label: str, column: str) -> str:
+    return f"case when coalesce({column}, '') <> '' then '{label}: ' || {column} end"
+
+
 def oracle_sql() -> dict[str, str]:
     found = {name: _scalar_sql(sql) for name, (_, sql) in SCALARS.items() if sql}
     texts = "with " + TEXTS.cte() + "\n"
@@ -202,5 +224,14 @@ def oracle_sql() -> dict[str, str]:
         "str19_source_choice": texts + f"select id, left(case when length({_RICH}) >= 200 then {_RICH} when {_DESC} <> '' then {_DESC} when {_META} <> '' then {_META} end, 2000) as text, "
         f"case when length({_RICH}) >= 200 then 'rich' when {_DESC} <> '' then 'kakao_desc' when {_META} <> '' then 'minimal' end as tier from texts",
         "str20_feedback_text": texts + f"select id, nullif(concat_ws(chr(10), case when len({_TAGS}) > 0 then '태그: ' || array_to_string({_TAGS}, ', ') end, nullif(trim(coalesce(review, '')), '')), '') as text from texts",
+        "str16_str17_sections": "with " + _introductions() + " select id, raw, intro, quote, '' as unknown from intros",
+        "str18_source_texts": "with " + _introductions() + f""" select id, concat_ws(chr(10), {', '.join(_labelled(a, b) for a, b in _LABELS)}) as basic,
+case when intro <> '' then left(concat_ws(chr(10), {', '.join(_labelled(a, b) for a, b in _LABELS)}, '책소개: ' || intro, case when quote <> '' then '발췌: ' || left(quote, 300) end, case when len(keywords) > 0 then '키워드: ' || array_to_string(keywords, ', ') end), 15000) else '' end as full,
+case when intro <> '' then concat_ws(',', 'aladin', 'yes24_intro', case when quote <> '' then 'yes24_excerpt' end, case when len(keywords) > 0 then 'library_keywords' end) else '' end as sources from intros""",
+        "str24_full_cover": texts + r"select id, case when contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'kakaocdn') then coalesce(nullif(url_decode(regexp_extract(url, '[?&]fname=([^&#]*)', 1)), ''), url) else url end as cover from texts",
+        "str25_key_terms": "with " + TEXTS.cte() + r""", b as (select id, list_filter(list_transform(flatten(list_transform(regexp_extract_all(coalesce(description, ''), '(?s)<[Bb]>(.*?)</[Bb]>', 1), lambda x: regexp_split_to_array(trim(regexp_replace(x, '<[^>]+>', ' ', 'g')), '\s{2,}'))), lambda x: trim(x)), lambda x: length(x) between 2 and 80) as bold,
+list_filter(regexp_extract_all(regexp_replace(coalesce(description, ''), '<[^>]+>', '', 'g'), '[''‘’]([^''‘’]+)[''‘’]', 1), lambda x: length(x) between 2 and 50) as quoted from texts),
+t as (select id, list_concat(bold, quoted) as l from b) select id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as terms from t""",
+        "str26_section_lines": "with " + TEXTS.cte() + ", k as (select id, regexp_replace(array_to_string(list_filter(string_split(coalesce(rich, ''), chr(10)), lambda x: trim(x) not in (" + ", ".join(f"'{x}'" for x in T.UI_NOISE) + r")), chr(10)), '^\s+|\s+$', '', 'g') as body from texts) select id, case when length(body) > 5 then body end as body from k",
         "str28_scrub_key": r"select page_id, regexp_replace(url || '?authKey=s3cret&x=1', '(authKey=)[^&\s]+', '\1***', 'g') as url from pages",
     }
