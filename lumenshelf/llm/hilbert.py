@@ -54,6 +54,17 @@ def value_cells(rows: DataFrame, column: str, bits: int) -> DataFrame:
     return values.select(column, _cell(F.col("_rank"), F.lit(values.count()), bits).alias("cell"))
 
 
+def runs_of(at: str, total: int, shards: int) -> tuple[Column, Column]:
+    """(shard, slot) of the position in column `at`, of `total` positions cut into runs whose lengths differ by one at most.
+
+    Run s holds the positions from ceil(s * total / shards) on. All of it is
+    64-bit integer division, exact for up to 2**62 / shards positions.
+    """
+    shard = f"{at} * {shards} div {max(total, 1)}"
+    first = f"(({shard}) * {total} + {shards - 1}) div {shards}"
+    return F.expr(shard).cast("int"), F.expr(f"{at} - {first}").cast("long")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataFrame:
     """Shards of equal row counts, cut from the Hilbert order of (lang, source, size, doc_id).
 
@@ -92,10 +103,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, bits: int = BITS) -> DataF
 
     indexed = cells.withColumn("hilbert", curve("a", "b", "c", "d")).drop("a", "b", "c", "d")
     placed = ordered_positions(indexed, [F.col(c) for c in ("hilbert", "doc_id", "size", "text_crc32")], "_at", "curve")
-    # Run s holds positions from ceil(s * all / shards) on.
-    shard = F.floor(F.col("_at").cast("decimal(38,0)") * shards / F.lit(total)).cast("int")
-    placed = placed.withColumn("shard", shard)
-    first = -F.floor(-(F.col("shard").cast("decimal(38,0)") * F.lit(total)) / shards).cast("long")
+    shard, slot = runs_of("_at", total, shards)
+    placed = placed.withColumns({"shard": shard, "slot": slot})
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_at") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
