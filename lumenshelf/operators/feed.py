@@ -1,16 +1,16 @@
 """The home feed: sections by tier, theme choice, assembly without repeats, and what was shown.
 
-Sections of a tier are filled slot by slot over all users at once: a slot is
-one pass of joins that leaves out what earlier slots have taken.
+Candidates of all slots are ranked at once, as many as the slots before can take
+away; what repeats is then resolved in one pass over each user's short lists.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from .blocks import top_per
+from .blocks import against_all, top_per
 from .catalogue import uniform
 from .saved import saved
 
@@ -34,14 +34,21 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def fitting(users: DataFrame, themes: DataFrame) -> DataFrame:
-    """(user_id, theme columns): themes that a user of users(user_id, tier, top_authors, top_l1s) may see; keyword themes never match."""
+    """(user_id, theme columns): themes that a user of users(user_id, tier, top_authors, top_l1s) may see; keyword themes never match.
+
+    Themes of an author or a genre are joined by it. Those for everybody of a
+    tier meet all users, in counted blocks.
+    """
     p = F.col("personalization")
-    seen = (
-        (p == "general") | ((p == "tier1+") & (F.col("tier") >= 1)) | ((p == "tier2+") & (F.col("tier") >= 2))
-        | ((p == "by_author") & F.array_contains("top_authors", F.col("target_author"))) | ((p == "by_l1") & F.array_contains("top_l1s", F.col("target_l1")))
-    )
-    # Themes are a small dimension that editors keep.
-    return users.join(themes, F.coalesce(seen, F.lit(False)))
+    least = F.when(p == "general", 0).when(p == "tier1+", 1).when(p == "tier2+", 2)
+    columns = [*users.columns, *themes.columns]
+    common = against_all(users, themes.where(least.isNotNull()), "id").where(F.col("tier") >= least).select(columns)
+    out = common
+    for kind, likes, target in (("by_author", "top_authors", "target_author"), ("by_l1", "top_l1s", "target_l1")):
+        liking = users.withColumn("_key", F.explode(F.array_distinct(likes)))
+        own = liking.join(themes.where(p == kind).withColumn("_key", F.col(target)), "_key").select(columns)
+        out = out.unionByName(own)
+    return out
 
 
 def not_recent(pool: DataFrame, history: DataFrame, now: Column, days: int = RECENT_DAYS) -> DataFrame:
@@ -56,12 +63,6 @@ def theme_weight() -> Column:
     return F.greatest(w, F.lit(LEAST_WEIGHT))
 
 
-def draw_theme(pool: DataFrame, seed: str, slot: int) -> DataFrame:
-    """One theme a user of pool(user_id, id, ...), likelier by weight; the same for the same seed and slot."""
-    key = F.log(uniform(F.lit(seed), F.lit(slot), "user_id", "id")) / theme_weight()
-    return top_per(pool.withColumn("_key", key), ["user_id"], [F.desc("_key"), "id"], 1, "_k").drop("_key", "_k")
-
-
 def renderable(ranked: DataFrame, books: DataFrame) -> DataFrame:
     """Rows of known books with a cover."""
     return ranked.join(books.where(F.coalesce("cover_url", F.lit("")) != "").select("book_id"), "book_id", "left_semi")
@@ -89,40 +90,62 @@ def assemble(
     feed, in the first slot that wants it, and a theme too. Slots without a
     fitting theme fall back on general ones.
     """
-    spark = users.sparkSession
-    slots = templates(spark)
-    # Each slot reads these, and the slots before it.
-    users, personal, similar, trending, lists, history = map(saved, (users, personal, similar, trending, lists, history))
-    seen = users.select("user_id", F.lit(None).cast("long").alias("book_id")).where("false")
-    picked = users.select("user_id", F.lit(None).cast("long").alias("id")).where("false")
-    ready = saved(themes.where("is_active").join(lists.select("id").distinct(), "id", "left_semi"))
+    slots = templates(users.sparkSession)
+    most = max(map(len, TEMPLATES.values()))
+    # The slots before can take away so many books and themes at most.
+    enough, choices = most * SLOT_BOOKS, most
+    users, covered = saved(users), saved(books.where(F.coalesce("cover_url", F.lit("")) != "").select("book_id"))
+
+    def listed(ranked: DataFrame, key: str) -> DataFrame:
+        """(key, books): the first books with a cover, in order."""
+        first = top_per(ranked.join(covered, "book_id", "left_semi"), [key], ["rank", "book_id"], enough, "_at")
+        return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "book_id"))), lambda x: x["book_id"]).alias("books"))
+
+    mine = users.join(F.broadcast(slots.withColumnRenamed("personalization", "_who")), "tier").select("user_id", "slot", "type", "has_seed", "_who")
+    themed = mine.where((F.col("type") == "curation") | ((F.col("type") == "similar") & ~F.col("has_seed"))).withColumn("_who", F.coalesce("_who", F.lit("general")))
+    of_theme = listed(lists, "id")
+    ready = themes.where("is_active").join(lists.select("id").distinct(), "id", "left_semi")
+    fit = not_recent(fitting(users.select("user_id", "tier", "top_authors", "top_l1s"), ready), history, now).drop("tier", "top_authors", "top_l1s")
+    own = F.col("personalization") == F.col("_who")
+    pool = themed.join(fit, "user_id").where(own | (F.col("_who").isin(FALLS_BACK) & (F.col("personalization") == "general"))).withColumn("_rest", (~own).cast("int"))
+    key = F.log(uniform(F.lit(seed), F.col("slot"), "user_id", "id")) / theme_weight()
+    drawn = top_per(pool.withColumn("_key", key), ["user_id", "slot", "_rest"], [F.desc("_key"), "id"], choices, "_k")
+    drawn = drawn.join(of_theme, "id", "left").select("user_id", "slot", F.lit("curation").alias("type"), "id", (F.col("_rest") * choices + F.col("_k")).alias("place"), F.coalesce("books", F.array().cast("array<bigint>")).alias("books"))
     n = trending.count()
-    out = None
-    for slot in range(max(map(len, TEMPLATES.values()))):
-        mine = users.join(F.broadcast(slots.where(F.col("slot") == slot).withColumnRenamed("personalization", "_who").drop("slot")), "tier")
-        themed = mine.where((F.col("type") == "curation") | ((F.col("type") == "similar") & ~F.col("has_seed"))).withColumn("_who", F.coalesce("_who", F.lit("general")))
-        pool = not_recent(fitting(themed, ready), history, now).join(picked, ["user_id", "id"], "left_anti")
-        own = pool.where("personalization = _who")
-        rest = pool.where(F.col("_who").isin(FALLS_BACK) & (F.col("personalization") == "general")).join(own.select("user_id").distinct(), "user_id", "left_anti")
-        theme = draw_theme(own.unionByName(rest), seed, slot).select("user_id", "id", "type")
-        # Falling linear weights: of n books the first weighs n, the last 1.
-        shuffled = mine.where("type = 'trending'").select("user_id").join(F.broadcast(trending.withColumnRenamed("rank", "_r")))
-        key = F.log(uniform(F.lit(seed), F.lit("trending"), "user_id", "book_id")) / F.greatest(F.lit(n + 1) - F.col("_r"), F.lit(1))
-        shuffled = top_per(shuffled.withColumn("_key", key), ["user_id"], [F.desc("_key"), "book_id"], n).select("user_id", "rank", "book_id")
-
-        def of(kind: str, ranked: DataFrame) -> DataFrame:
-            who = mine.where((F.col("type") == kind) & (F.col("has_seed") if kind == "similar" else F.lit(True))).select("user_id")
-            return filled(ranked.join(who, "user_id", "left_semi"), seen, books).withColumns({"type": F.lit(kind), "curation_id": F.lit(None).cast("long")})
-
-        chosen = theme.join(lists, "id").select("user_id", "rank", "book_id")
-        of_theme = filled(chosen, seen, books).join(theme, "user_id").select("user_id", "rank", "book_id", F.lit("curation").alias("type"), F.col("id").alias("curation_id"))
-        nav = mine.where("type = 'category_nav'").select("user_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("book_id"), "type", F.lit(None).cast("long").alias("curation_id"))
-        rows = of("personal_recommend", personal).unionByName(of("similar", similar)).unionByName(of("trending", shuffled)).unionByName(of_theme).unionByName(nav).withColumn("slot", F.lit(slot))
-        rows = saved(rows)
-        seen = seen.unionByName(rows.where("book_id is not null").select("user_id", "book_id"))
-        picked = picked.unionByName(rows.where("curation_id is not null").select("user_id", F.col("curation_id").alias("id")).distinct())
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("user_id", "slot", "type", "curation_id", "rank", "book_id")
+    # Falling linear weights: of n books the first weighs n, the last 1.
+    shuffled = against_all(mine.where("type = 'trending'").select("user_id").distinct(), trending.withColumnRenamed("rank", "_r"), "book_id")
+    by_weight = F.log(uniform(F.lit(seed), F.lit("trending"), "user_id", "book_id")) / F.greatest(F.lit(n + 1) - F.col("_r"), F.lit(1))
+    shuffled = top_per(shuffled.withColumn("_key", by_weight), ["user_id"], [F.desc("_key"), "book_id"], n).select("user_id", "rank", "book_id")
+    ranked = None
+    for kind, rows in (("personal_recommend", personal), ("similar", similar), ("trending", shuffled)):
+        who = mine.where((F.col("type") == kind) & (F.col("has_seed") if kind == "similar" else F.lit(True))).select("user_id", "slot", "type")
+        one = who.join(listed(rows, "user_id"), "user_id").select("user_id", "slot", "type", F.lit(None).cast("long").alias("id"), F.lit(0).alias("place"), "books")
+        ranked = one if ranked is None else ranked.unionByName(one)
+    nav = mine.where("type = 'category_nav'").select("user_id", "slot", "type", F.lit(None).cast("long").alias("id"), F.lit(0).alias("place"), F.array().cast("array<bigint>").alias("books"))
+    return drawn.unionByName(ranked).unionByName(nav).groupBy("user_id").applyInPandas(_resolved, "user_id long, slot int, type string, curation_id long, rank int, book_id long")
+
+
+def _resolved(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One user's feed: slot after slot the first books, and of themes the first, that no earlier slot shows."""
+    out, seen, picked = [], set(), set()
+    user = pdf["user_id"].iloc[0]
+    rows = sorted(zip(pdf["slot"], pdf["type"] == "curation", pdf["place"], pdf["type"], pdf["id"], pdf["books"]), key=lambda r: r[:3])
+    drawn = set()
+    for slot, themed, _, kind, theme, books in rows:
+        if kind == "category_nav":
+            out.append((user, slot, kind, None, None, None))
+            continue
+        if themed:
+            if slot in drawn or int(theme) in picked:
+                continue
+            drawn.add(slot)
+        fresh = [int(b) for b in books if int(b) not in seen][:SLOT_BOOKS]
+        seen.update(fresh)
+        if themed and fresh:
+            picked.add(int(theme))
+        out += [(user, slot, kind, int(theme) if themed else None, k + 1, b) for k, b in enumerate(fresh)]
+    frame = pd.DataFrame(out, columns=["user_id", "slot", "type", "curation_id", "rank", "book_id"])
+    return frame.astype({"curation_id": "Int64", "rank": "Int32", "book_id": "Int64"})
 
 
 def impressions_of(feed: DataFrame, now: Column, version: str) -> tuple[DataFrame, DataFrame]:
@@ -157,6 +180,3 @@ def age_seconds(at: Column | str, now: Column) -> Column:
     """Seconds since a time given as text; infinite where it is none."""
     return F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(at))).cast("double"), F.lit(float("inf")))
 
-
-def heading(seed_title: Column | str) -> Column:
-    return T.similar_title(seed_title)

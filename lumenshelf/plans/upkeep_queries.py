@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import activity, cache, catalogue, collaborative, constraints, embedding, ingest, progress, refresh, similar, taste
+from ..operators import activity, cache, catalogue, collaborative, constraints, embedding, feed, ingest, progress, refresh, similar, taste
+from ..operators.blocks import against_all
 from ..operators.saved import new_folder, saved
 from ..sources import partitions, snapshot, views
 from ..streaming import sessions as S
-from . import activity_queries, catalogue_queries
+from . import activity_queries, catalogue_queries, text_queries
 
 #: Tables here have few users, so that two of them make a pair.
 LEAST = 2
@@ -169,7 +170,59 @@ def snk8_refreshed_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A theme for each pair of genres, maker, word and cluster of the catalogue."""
+    i = views.items(spark, sf_dir).withColumn("writer", T.primary_author("author"))
+    none = F.lit(None).cast("string")
+    kinds = {
+        "genre_combo": (i.where("l1 is not null and l2 is not null"), {"l1": F.col("l1"), "l2": F.col("l2")}), "author": (i.where("writer is not null"), {"author": F.col("writer")}),
+        "keyword": (i.withColumn("word", F.explode("library_keywords")), {"keyword": F.col("word")}), "cluster": (i.where("l1 is not null"), {"l1": F.col("l1")}),
+    }
+    out = None
+    for kind, (rows, keys) in kinds.items():
+        one = rows.groupBy(*(c.alias(f"_{n}") for n, c in keys.items())).agg(F.min("book_id").alias("first"), F.min("l1").alias("_any"))
+        one = one.select(
+            F.xxhash64(F.lit(kind), *(f"_{n}" for n in keys)).alias("id"), F.lit(kind).alias("kind"),
+            *((F.col(f"_{n}") if n in keys and kind != "cluster" else none).alias(n) for n in ("l1", "l2", "author", "keyword")), F.when(F.lit(kind) == "cluster", F.substring("_any", 2, 9).cast("int")).alias("cluster_id"),
+            F.when(F.lit(kind) == "cluster", "v202401").alias("cluster_version"), (F.col("first") % 4 + 1).cast("int").alias("min_books"), (F.col("first") % 7 + 2).cast("int").alias("max_books"), F.concat_ws("|", *(f"_{n}" for n in keys)).alias("key"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def cu1_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of themes of all four kinds; a book's cluster is its label, its distance the first component of its vector."""
+    i = views.items(spark, sf_dir)
+    assigned = i.where("l1 is not null").select("book_id", F.substring("l1", 2, 9).cast("int").alias("cluster_id"), F.when(F.col("book_id") % 10 != 0, "v202401").otherwise("v202312").alias("cluster_version"), F.abs(F.col("desc")[0]).alias("distance"))
+    themes = saved(_themes(spark, sf_dir))
+    found = catalogue.theme_lists(themes, i, assigned).join(themes.select("id", "kind", "key"), "id")
+    return found.select("kind", "key", F.array_join("book_ids", ",").alias("book_ids"), "active")
+
+
+def rc13_by_tastes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tastes a user, of even and of odd books, the second weighing less."""
+    s, i = saved(views.shelf(spark, sf_dir)), views.items(spark, sf_dir)
+    even, odd = (taste.taste_vectors(s.where(f"book_id % 2 = {k}"), i).select("user_id", F.lit(name).alias("label"), F.lit(w).alias("weight"), "vec") for k, name, w in ((0, "even", 1.0), (1, "odd", 0.75)))
+    return taste.by_tastes(even.unionByName(odd), s, i).withColumn("score", F.round("score", 6))
+
+
+def snk7_appended_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two feeds showed, appended one after the other: books with their places, and themes."""
+    i, s = views.items(spark, sf_dir), views.shelf(spark, sf_dir)
+    users = saved(s.select("user_id").distinct())
+    ranked = against_all(users, i.where("loan_count > 40").select(F.col("loan_count").alias("rank"), "book_id"), "book_id")
+    shown = saved(feed.filled(ranked, s.select("user_id", "book_id"), i))
+    books, themes = new_folder(spark, "impressions"), new_folder(spark, "history")
+    for day, who in (("2024-01-01", "user_id % 2 = 0"), ("2024-01-02", "user_id % 3 = 0")):
+        page = shown.where(who).select("user_id", "rank", "book_id", F.lit("curation").alias("type"), (F.col("user_id") % 5).alias("curation_id"))
+        for rows, path in zip(feed.impressions_of(page, F.lit(f"{day} 00:00:00").cast("timestamp"), "v1"), (books, themes)):
+            rows.write.mode("append").parquet(path)
+    told = spark.read.parquet(books).groupBy("user_id", "shown_at", "source", "algorithm_version").agg(F.count("*").alias("books"), F.max("position").alias("last"), F.sum("book_id").alias("ids"))
+    return told.join(spark.read.parquet(themes), ["user_id", "shown_at"]).select("user_id", F.date_format("shown_at", "yyyy-MM-dd").alias("day"), "source", "algorithm_version", "books", "last", "ids", "curation_id")
+
+
 QUERIES = [
+    cu1_all_kinds, rc13_by_tastes, snk7_appended_impressions,
     rc29_item_similarity, rc29_cf_scores, rc29_blended, rc29_stage, dd15_actions_in_order, constraint_violations, dd12_ingest_counters, step_reports, snk1_snapshot, fd7_guarded_cache,
     st3_refreshed_state, st3_refreshed_pairs, sessions, embedded_genres, snk8_refreshed_partitions,
 ]
@@ -244,7 +297,28 @@ content as (select user_id, book_id, score from (select tv.user_id, i.book_id, l
   qualify row_number() over (partition by user_id order by score desc, book_id) <= 50)"""
     scaled = "{0}_scaled as (select user_id, book_id, (score - min(score) over w) / (max(score) over w - min(score) over w + 1e-9) as s from {0} window w as (partition by user_id))"
     weights = " union all ".join(f"select {s} as stage, {c} as wc, {f} as wf" for s, (c, f) in collaborative.STAGE_WEIGHTS.items())
+    weighted = """said as (select user_id, case book_id % 2 when 0 then 'even' else 'odd' end as label, i."desc" as vec, case when length(review_text) >= 50 then 3.0 when len(emotion_tags) >= 1 then 2.0 when rating is not null then 1.5 else 1.0 end as wt from shelf join items i using (book_id) where status = 'finished' and rating is distinct from 'bad'),
+parts as (select user_id, label, wt, unnest(vec) as x, generate_subscripts(vec, 1) as pos from said), tv as (select user_id, label, list(x order by pos) as vec from (select user_id, label, pos, sum(wt * x) / sum(wt) as x from parts group by 1, 2, 3) group by 1, 2)"""
+    cos = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0})) / sqrt(list_dot_product({1}, {1}))"
+    books_of = f"books_of as (select *, {text_queries._PRIMARY} as writer from items)"
     return {
+        "cu1_all_kinds": w("items", books_of, """themes as (
+  select 'genre_combo' as kind, l1 || '|' || l2 as key, min(book_id) as f from books_of where l1 is not null and l2 is not null group by l1, l2
+  union all select 'author', writer, min(book_id) from books_of where writer is not null group by writer
+  union all select 'keyword', word, min(book_id) from (select book_id, unnest(library_keywords) as word from books_of) group by word
+  union all select 'cluster', l1, min(book_id) from books_of where l1 is not null group by l1),
+hit as (select t.kind, t.key, b.book_id, -b.loan_count as o from themes t join books_of b on b.cover_url is not null and ((t.kind = 'genre_combo' and t.key = b.l1 || '|' || b.l2) or (t.kind = 'author' and t.key = b.writer) or (t.kind = 'keyword' and list_contains(b.library_keywords, t.key)))
+  union all select t.kind, t.key, b.book_id, abs(b."desc"[1]) from themes t join books_of b on b.cover_url is not null and t.kind = 'cluster' and t.key = b.l1 and b.book_id % 10 <> 0),
+placed as (select h.*, t.f, row_number() over (partition by kind, key order by o nulls last, book_id) as k from hit h join themes t using (kind, key)),
+lists as (select kind, key, count(*) as n, string_agg(book_id, ',' order by k) as ids from placed where k <= f % 7 + 2 group by 1, 2)""")
+        + "select kind, key, case when n >= f % 4 + 1 then ids end as book_ids, coalesce(n >= f % 4 + 1, false) as active from themes left join lists using (kind, key)",
+        "rc13_by_tastes": w("items shelf", weighted, f"""near as (select tv.user_id, tv.label, i.book_id, {cos.format('tv.vec', 'i."desc"')} as sim from tv, items i where not exists (select 1 from shelf s where s.user_id = tv.user_id and s.book_id = i.book_id) qualify row_number() over (partition by tv.user_id, tv.label order by sim desc, i.book_id) <= 20),
+best as (select user_id, book_id, max(s) as s, arg_min(label, {{'s': -s, 'l': label}}) as label from (select *, case label when 'even' then 1.0 else 0.75 end * sim as s from near) group by 1, 2),
+free as (select * from best b where not exists (select 1 from shelf s join items j using (book_id) join items k on k.book_id = b.book_id where s.user_id = b.user_id and s.rating = 'bad' and {cos.format('j."desc"', 'k."desc"')} > 0.85))""")
+        + "select user_id, cast(rank as integer) as rank, book_id, round(s, 6) as score, label from (select *, row_number() over (partition by user_id order by s desc, book_id) as rank from free) where rank <= 10",
+        "snk7_appended_impressions": w("shelf items", "u as (select distinct user_id from shelf)", """shown as (select user_id, row_number() over (partition by user_id order by loan_count, book_id) as rank, book_id from u, items i where loan_count > 40 and coalesce(cover_url, '') <> ''
+  and not exists (select 1 from shelf s where s.user_id = u.user_id and s.book_id = i.book_id) qualify rank <= 10)""")
+        + "select user_id, day, 'curation' as source, 'v1' as algorithm_version, count(*) as books, cast(max(rank) - 1 as integer) as last, cast(sum(book_id) as bigint) as ids, user_id % 5 as curation_id from (select *, '2024-01-01' as day from shown where user_id % 2 = 0 union all select *, '2024-01-02' from shown where user_id % 3 = 0) group by user_id, day",
         "rc29_item_similarity": w("shelf", _LIKES, similar_to) + "select a, b, shared, round(similarity, 6) as similarity from similar_to",
         "rc29_cf_scores": w("shelf", _LIKES, similar_to, _CF) + "select user_id, book_id, round(score, 6) as score from cf",
         "rc29_blended": w("items shelf", _LIKES, similar_to, _CF, taste_sql, scaled.format("content"), scaled.format("cf"), f"weights as ({weights})", """mixed as (

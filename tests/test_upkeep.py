@@ -537,3 +537,21 @@ def test_silhouette_of_a_large_shelf():
     labels = rng.integers(0, 3, 4000)
     x = np.eye(3, 64)[labels] * 5 + rng.normal(size=(4000, 64)) * 0.1
     assert variants.silhouette(x, labels) > 0.8
+
+
+def test_theme_lists_of_fitted_clusters(spark, sf_dir):
+    """Clusters of the catalogue feed themes of their kind: the nearest covered books, in order of distance."""
+    from lumenshelf.operators import catalogue, variants
+    from lumenshelf.sources import views
+
+    items = views.items(spark, sf_dir)
+    assigned, _ = variants.catalogue_clusters(items, "v1", k=4)
+    kind = "id long, kind string, l1 string, l2 string, author string, keyword string, cluster_id int, cluster_version string, min_books int, max_books int"
+    themes = spark.createDataFrame([(c, "cluster", None, None, None, None, c, "v1", 1, 6) for c in range(4)] + [(9, "cluster", None, None, None, None, 0, "v0", 1, 6)], kind)
+    covered = {r.book_id for r in items.where("cover_url is not null").collect()}
+    expected = defaultdict(list)
+    for r in sorted(assigned.collect(), key=lambda r: (r.distance, r.book_id)):
+        if r.book_id in covered and len(expected[r.cluster_id]) < 6:
+            expected[r.cluster_id].append(r.book_id)
+    found = {r.id: r.book_ids for r in catalogue.theme_lists(themes, items, assigned).collect()}
+    assert found == {**{c: expected[c] or None for c in range(4)}, 9: None}
