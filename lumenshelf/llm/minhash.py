@@ -8,11 +8,10 @@ coordinate i outright, so a set of any size fills every coordinate. Bands of coo
 propose candidates; every link is confirmed on the full shingle sets.
 
 Shape of the job: one pass over the texts gives signatures; equal sets
-collapse into one class; band keys that several classes share connect
-classes into candidate groups; the full sets of a group meet in tasks of at
-most 2 * `block` sets (a larger group is dealt as pairs of blocks), which
-emit a spanning forest of the confirmed links; components of those links
-give the result. No pair list of a whole group is ever written.
+collapse into one class; classes that share a band are compared word by word
+(`confirm`): with the least class of the band first, the rest only where
+confirmed links leave a band in several components. Components of the links
+give the result. No pair list of a band is ever written.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .filters import only_wanted
-from .staging import staged
+from .confirm import confirmed_components, texts_of
+from .staging import discard, staged
 from .textkernel import LOWER, U, chunks, mix, utf8, word_hashes, words
 
 COORDINATES = 128
@@ -112,83 +110,7 @@ def _signatures(k: int, t: int, rows: int):
     return run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
-def _sets(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("grp", pa.int64()), ("blocks", pa.int32()), ("shingles", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for lo, hi in chunks(offsets):
-                o = offsets[lo : hi + 1]
-                d, x = shingle_sets(data[o[0] : o[-1]], o - o[0], k)
-                first = np.searchsorted(d, np.arange(hi - lo + 1))
-                sets = pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "grp", "blocks")] + [sets], schema=schema)
-
-    return run, "doc_id long, grp long, blocks int, shingles binary"
-
-
-def linked(sets: list[np.ndarray], percent: int, split: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with split, only links across it count.
-
-    Intersections of one set with all others come from one pass over an
-    inverted index, so the cost follows the postings and not the pairs.
-    """
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    posts, where = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
-    start = np.concatenate([[0], np.cumsum(size)])
-    root = np.arange(n)
-    found = []
-    for i in range(split or n):
-        mine = code[start[i] : start[i + 1]]
-        lo, hi = where[mine], where[mine + 1]
-        total = int((hi - lo).sum())
-        flat = np.arange(total) + np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo)
-        both = np.bincount(posts[flat], minlength=n)
-        hit = 100 * both >= percent * (size + size[i] - both)
-        hit[: (split or i + 1)] = False
-        for j in np.flatnonzero(hit):
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                found.append((i, int(j)))
-    return found
-
-
-def _links(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sides: list[int] = []
-        sets: list[np.ndarray] = []
-        now = None
-
-        def flush() -> pa.RecordBatch | None:
-            if len(ids) < 2 or (now[1] != now[2] and len({*sides}) < 2):
-                return None
-            pairs = linked(sets, percent, sides.count(0) if now[1] != now[2] else 0)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], schema=schema)
-
-        for batch in batches:
-            for grp, i, j, side, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j", "side", "doc_id", "shingles"))):
-                if (grp, i, j) != now:
-                    if now is not None and (out := flush()) is not None:
-                        yield out
-                    now, ids, sides, sets = (grp, i, j), [], [], []
-                ids.append(doc)
-                sides.append(side)
-                sets.append(np.frombuffer(raw, U))
-        if now is not None and (out := flush()) is not None:
-            yield out
-
-    return run, "a long, b long"
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS) -> DataFrame:
     """Components of documents whose shingle sets are alike: doc_id, n_shingles, component_id, kept.
 
     docs needs doc_id and text; other columns are ignored. Two documents are
@@ -213,24 +135,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, coordi
         .select(*key, F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")),
         "classes",
     )
-    bands = classes.select("rep", F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = staged(connected_components(bands.join(leaders, "band").where("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))), "groups")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = groups.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "blocks")
-    run, kind = _sets(shingle)
-    sets = only_wanted(source, groups.select(F.col("node").alias("doc_id")), "doc_id").join(member.hint("merge"), "doc_id").select("doc_id", "text", "grp", "blocks").mapInArrow(run, kind)
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = (
-        sets.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "shingles")
-    )
-    run, kind = _links(percent)
-    links = (
-        dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "doc_id").mapInArrow(run, kind)
-    )
-    found = connected_components(links).withColumnRenamed("node", "rep")
+    bands = classes.select(F.lit(0).alias("kind"), F.explode("bands").alias("key"), "rep")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = staged(bands.join(shared.hint("merge"), "key", "left_semi").select("kind", "key", "rep"), "buckets")
+    texts = staged(texts_of(source, buckets.select("rep").distinct()), "candidates")
+    found = confirmed_components(buckets, texts, classes.select("rep", "n_shingles"), shingle, percent).withColumnRenamed("node", "rep")
+    discard(buckets, texts)
     label = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *key).join(label, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -14,7 +14,7 @@ from tests.llm import brute
 from tests.support import differences
 
 import __spark_entry__ as entry
-from lumenshelf.llm import exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, queries, run_length_index, toxicity
+from lumenshelf.llm import confirm, exact_dedup, fingerprint_lsm, hilbert, langid, maxscore, minhash, mixing, packing, queries, run_length_index, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -244,9 +244,11 @@ def test_windows(spark, corpus, batches, hot, most_runs):
     assert got == brute.windows(corpus, 50)
 
 
-def test_near(spark, corpus):
-    for percent, block in ((85, 256), (60, 2)):
-        got = result(minhash.near_duplicates(documents(spark, corpus), percent=percent, block=block), "doc_id", "n_shingles", "component_id", "kept")
+def test_near(spark, corpus, monkeypatch):
+    for percent, star, block in ((85, confirm.STAR, confirm.BLOCK_SHINGLES), (60, 2, 300)):
+        monkeypatch.setattr(confirm, "STAR", star)
+        monkeypatch.setattr(confirm, "BLOCK_SHINGLES", block)
+        got = result(minhash.near_duplicates(documents(spark, corpus), percent=percent), "doc_id", "n_shingles", "component_id", "kept")
         assert got == brute.near(corpus, percent)
 
 

@@ -11,7 +11,7 @@ from tests.llm import brute
 from tests.llm.test_operators import corpus, documents, result  # noqa: F401
 from tests.support import differences
 
-from lumenshelf.llm import partition_join, queries
+from lumenshelf.llm import confirm, partition_join, queries
 
 
 def components(rows, percent, k):
@@ -55,8 +55,8 @@ def test_corpus(spark, corpus):  # noqa: F811
 
 def test_blocks_of_few_shingles(spark, monkeypatch):
     """A bucket whose sets are not all linked is compared in pairs of blocks, with the same result."""
-    monkeypatch.setattr(partition_join, "BLOCK_SHINGLES", 400)
-    monkeypatch.setattr(partition_join, "STAR", 3)
+    monkeypatch.setattr(confirm, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(confirm, "STAR", 3)
     rng = random.Random(9)
     base = [f"c{i}" for i in range(120)]
     rows = []
@@ -104,8 +104,8 @@ def test_segments_outnumber_the_differences():
 
 def test_sets_are_told_apart_by_words(monkeypatch):
     """With all hashes equal, words still decide."""
-    monkeypatch.setattr(partition_join, "word_hashes", lambda data, ws, we: np.zeros(len(ws), np.uint64))
-    sets = partition_join.exact_sets(pa.array(["a b c", "A b c", "a c b", "a", None, "a b c a b c"], pa.large_string()), 2)
+    monkeypatch.setattr(confirm, "word_hashes", lambda data, ws, we: np.zeros(len(ws), np.uint64))
+    sets = confirm.exact_sets(pa.array(["a b c", "A b c", "a c b", "a", None, "a b c a b c"], pa.large_string()), 2)
     assert [len(s) for s in sets] == [2, 2, 2, 1, 0, 3]
     assert set(sets[0]) == set(sets[1]) and set(sets[0]) <= set(sets[5]) and not set(sets[0]) & set(sets[2])
 
