@@ -282,25 +282,31 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
     return source.mapInArrow(_predict(shared, ["doc_id", "held_out"], ["lang_pred", "score"]), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def _identified(shared):
+#: Calibrated probability of a text's language below which the pipeline rejects it.
+LEAST_SCORE = 0.5
+
+
+def _identified(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi in chunks(offsets, 1 << 20):
                 o = offsets[lo : hi + 1]
-                best, _ = predict_batch(model, data[o[0] : o[-1]], o - o[0])
-                yield batch.slice(lo, hi - lo).filter(pa.array(best >= 0))
+                best, score = predict_batch(model, data[o[0] : o[-1]], o - o[0])
+                yield batch.slice(lo, hi - lo).filter(pa.array((best >= 0) & (score >= least)))
 
     return run
 
 
-def drop_unidentified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: LanguageModel | None, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns kept, whose language the model can tell.
 
-    Texts that are null or have no letter go. Without a model these are
-    still the only ones that go.
+    Texts that are null or have no letter go, and so do texts whose most
+    likely language has a calibrated probability below `least`: at a half,
+    texts of which no language is likelier than all others together. Without
+    a model only the former go.
     """
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return docs.mapInArrow(_identified(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    return docs.mapInArrow(_identified(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)

@@ -359,6 +359,10 @@ def test_language_scores_by_brute_force(spark):
     for i, text, _ in rows:
         lang, score = brute.language(model, text)
         assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-5)
+    for least in (langid.LEAST_SCORE, 0.95):
+        kept = {r.doc_id for r in langid.drop_unidentified(df, model, least).collect()}
+        assert kept == {i for i, (lang, score) in got.items() if lang != "und" and score >= least}
+    assert any(score < 0.95 for lang, score in got.values() if lang != "und")
 
 
 def test_toxicity_scores_by_brute_force(spark):
