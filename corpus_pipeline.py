@@ -27,7 +27,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; null texts and texts without a letter go."""
+    """Documents of a learned language; null texts, texts without a letter and texts of no likely language go."""
     return langid.drop_unidentified(docs, langid.fit_language_model(docs))
 
 
