@@ -13,7 +13,7 @@ from . import curation_queries, text_queries, vector_queries
 from .literals import Literal
 
 GRID = Literal("grid", "name string, reason_w double, desc_w double, fb_w double", [("H1", 1.0, 0.5, 2.0), ("H2", 1.5, 2.0, 2.0), ("H10", 2.0, 3.0, 2.0)])
-LIST = 20
+LIST, CANDIDATES = 20, scoring.CANDIDATES
 
 
 def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def rc18_taste_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = vector_queries._parts(spark, sf_dir)
-    return scoring.stage_one(t["users"], t["items"], t["agg"], t["taken"], 100)
+    return scoring.stage_one(t["users"], t["items"], t["agg"], t["taken"], CANDIDATES)
 
 
 def rc21_open_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,17 +97,17 @@ def rc5_exact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rc6_legacy_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The precise score of the hundred items nearest to a liked book."""
+    """The precise score of the items nearest to a liked book."""
     t = vector_queries._parts(spark, sf_dir)
-    near = scoring.near_candidates(t["users"], t["items"], t["agg"], t["taken"], 100)
-    scored = scoring.stage_two(variants.preselect(near, 100), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"], signals=False)
+    near = scoring.near_candidates(t["users"], t["items"], t["agg"], t["taken"], CANDIDATES)
+    scored = scoring.stage_two(variants.preselect(near, CANDIDATES), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"], signals=False)
     return scored.withColumn("score", F.round("score", 6))
 
 
 def rc16_reason_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reason part of each mode for the ten first candidates."""
+    """The reason part of each mode for all candidates."""
     t = vector_queries._parts(spark, sf_dir)
-    c = _list(spark, sf_dir).where("rank <= 10")
+    c = _list(spark, sf_dir)
     out = None
     for mode in ("engine", "feedback", "filter", "user"):
         parts = scoring.components(c, t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"], mode)
@@ -120,7 +120,7 @@ def rc25_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 20 of both stages against the precise score of all items."""
     t = vector_queries._parts(spark, sf_dir)
     exact = _exact(t, LIST)
-    two = scoring.stage_two(scoring.stage_one(t["users"], t["items"], t["agg"], t["taken"], 100), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
+    two = scoring.stage_two(scoring.stage_one(t["users"], t["items"], t["agg"], t["taken"], CANDIDATES), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
     return variants.recall(top_per(two, ["user_id"], [F.desc("score"), "book_id"], LIST), exact, LIST)
 
 
@@ -139,9 +139,9 @@ def rc34_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rc35_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a score is made of, for the ten first candidates."""
+    """What a score is made of, for all candidates."""
     t = vector_queries._parts(spark, sf_dir)
-    parts = scoring.components(_list(spark, sf_dir).where("rank <= 10"), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
+    parts = scoring.components(_list(spark, sf_dir), t["users"], t["shelf"], t["feedback"], t["items"], t["item_reasons"], t["item_vectors"])
     return parts.select("user_id", "book_id", *(F.round(c, 6).alias(c) for c in ("reason", "desc", "bad", "heard", "wish", "avoid")))
 
 
@@ -260,7 +260,7 @@ def _boost(inside: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     w, needed = views.with_views, vector_queries._NEEDED
-    one = vector_queries._stage_one_sql("single", "per_book", n=100)
+    one = vector_queries._stage_one_sql("single", "per_book", n=CANDIDATES)
     two = vector_queries._STAGE_TWO
     base = w("items item_reasons shelf", _MARKERS, _PAIRS)
     key = "arg_min(reason, {{'x': -{0}, 'y': marker_id}}) as reason"
@@ -321,13 +321,13 @@ from n join dv using (user_id) where exists (select 1 from sv where sv.user_id =
         "rc5_exact_scores": w(needed, everything, f"ex as (select user_id, book_id, {plain} as s from mean join rated using (user_id, book_id))") + "select user_id, cast(rank as integer) as rank, book_id, round(s, 6) as score from (select *, row_number() over (partition by user_id order by s desc, book_id) as rank from ex) where rank <= 50",
         "rc6_legacy_two_stage": w(needed, two.replace(vector_queries._stage_one_sql("single", "per_book"), vector_queries._PROFILE + """, seed as (select * from r where role = 'good' union all select * from r where role = 'bad' and user_id not in (select user_id from r where role = 'good')),
 nd as (select s.user_id, i.book_id, max(list_dot_product(i."desc", s.vec)) as x from seed s, items i group by 1, 2),
-cand as (select user_id, book_id from (select * from nd anti join taken using (user_id, book_id)) qualify row_number() over (partition by user_id order by x desc, book_id) <= 100)"""), f"ex as (select user_id, book_id, {plain} as s from mean join rated using (user_id, book_id))") + "select user_id, book_id, round(s, 6) as score from ex",
-        "rc16_reason_modes": w(needed, one, "c10 as (select * from cand where rank <= 10)", reason) + modes,
+cand as (select user_id, book_id from (select * from nd anti join taken using (user_id, book_id)) qualify row_number() over (partition by user_id order by x desc, book_id) <= 700)"""), f"ex as (select user_id, book_id, {plain} as s from mean join rated using (user_id, book_id))") + "select user_id, book_id, round(s, 6) as score from ex",
+        "rc16_reason_modes": w(needed, one, "c10 as (select * from cand)", reason) + modes,
         "rc33_attribute_rerank": w(needed, one, curation_queries._ATTRS, curation_queries._PROFILE, """m as (select c.user_id, c.book_id, c.score, coalesce(avg(p.score * a.score), 0) as match from cand c left join attrs a on a.book_id = c.book_id and a.score is not null left join prof p on p.user_id = c.user_id and p.attr = a.attr where c.rank <= 20 group by 1, 2, 3),
 f as (select user_id, book_id, score * (1 + 0.3 * match) as s from m)""") + "select user_id, cast(row_number() over (partition by user_id order by s desc, book_id) as integer) as rank, book_id, round(s, 6) as score from f",
         "rc34_weight_grid": w(needed, one, GRID.cte(), "c10 as (select * from cand)", reason, evaluated, bads.format("cand"), """sc as (select g.name, e.user_id, e.book_id, reason_w * e.reason + desc_w * (coalesce(t.gd, 0) - coalesce(bm, 0)) + fb_w * t.fm as s from ev_r e join rated t using (user_id, book_id) left join bads b using (user_id, book_id), grid g)""")
         + "select name, user_id, book_id, round(s, 6) as score, cast(row_number() over (partition by name, user_id order by s desc, book_id) as integer) as rank from sc qualify rank <= 5",
-        "rc35_components": w(needed, one, "c10 as (select * from cand where rank <= 10)", reason, bads.format("c10"), "eng as (select user_id, book_id, avg(sign * case when told then 3 * fs + 0.5 * ms else ms end) as reason from part group by 1, 2)")
+        "rc35_components": w(needed, one, "c10 as (select * from cand)", reason, bads.format("c10"), "eng as (select user_id, book_id, avg(sign * case when told then 3 * fs + 0.5 * ms else ms end) as reason from part group by 1, 2)")
         + 'select e.user_id, e.book_id, round(e.reason, 6) as reason, round(coalesce(gd, 0), 6) as "desc", round(coalesce(bm, 0), 6) as bad, round(fm, 6) as heard, round(coalesce(wm, 0), 6) as wish, round(coalesce(nm, 0), 6) as avoid from eng e join rated using (user_id, book_id) left join bads using (user_id, book_id)',
         "fd1_templates": w("shelf") + "select user_id, slot, type, personalization from (select user_id, case when count(*) filter (rating = 'good') >= 6 then 2 when count(*) filter (rating = 'good') >= 3 then 1 else 0 end as tier from shelf group by 1) join (values (0, 0, 'trending', null), (0, 1, 'curation', 'general'), (0, 2, 'curation', 'general'), (0, 3, 'category_nav', null), (1, 0, 'similar', null), (1, 1, 'curation', 'by_author'), (1, 2, 'curation', 'by_l1'), (1, 3, 'curation', 'general'), (1, 4, 'category_nav', null), (2, 0, 'personal_recommend', null), (2, 1, 'curation', 'by_author'), (2, 2, 'similar', null), (2, 3, 'curation', 'tier2+'), (2, 4, 'trending', null)) t(tier, slot, type, personalization) using (tier)",
         "flt4_fitting_themes": w("shelf items books", f"""u as (select user_id, case when count(*) filter (rating = 'good') >= 6 then 2 when count(*) filter (rating = 'good') >= 3 then 1 else 0 end as tier from shelf group by 1),

@@ -162,8 +162,10 @@ def dd9_repointed_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dd10_shelf_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _books(spark, sf_dir)
-    ask = spark.range(0, 12).withColumnRenamed("id", "user_id").join(b.where("book_id < 100").select(F.when(F.col("book_id") % 9 != 0, F.col("book_id")).alias("book_id"), "isbn", F.when(F.col("book_id") % 2 == 0, "wishlist").otherwise("finished").alias("status"), F.col("book_id").alias("pos")))
+    """Every event as a request: purchases and sign-ups as finished, all else for the wish list; one in nine without the book's id."""
+    e, b = views.events(spark, sf_dir), _books(spark, sf_dir).select(F.col("book_id").alias("k"), "isbn")
+    status = F.when(F.col("event_type").isin("purchase", "signup"), "finished").otherwise("wishlist")
+    ask = e.join(b, "k", "left").select("user_id", F.when(F.col("k") % 9 != 0, F.col("k")).alias("book_id"), "isbn", status.alias("status"), F.col("event_id").alias("pos"))
     return ingest.shelf_writes(ask, views.shelf(spark, sf_dir)).select("user_id", "pos", "book_ref", "write")
 
 
@@ -328,7 +330,7 @@ where rich_description is not null and (e.book_id is null or (len(library_keywor
 moved as (select s.user_id, coalesce(t.twin_id, s.book_id) as book_id, s.status, t.twin_id, row_number() over (partition by s.user_id, t.twin_id order by s.updated_at) as k
   from shelf s left join tw t on t.book_id = s.book_id and t.k = 1 where not exists (select 1 from shelf u where u.user_id = s.user_id and u.book_id = t.twin_id))""")
         + "select user_id, book_id, status from moved where twin_id is null or k = 1",
-        "dd10_shelf_writes": w("books shelf", "ask as (select user_id, case when book_id % 9 <> 0 then book_id end as book_id, isbn, case when book_id % 2 = 0 then 'wishlist' else 'finished' end as status, book_id as pos from books, (select unnest(range(0, 12)) as user_id) where book_id < 100)")
+        "dd10_shelf_writes": w("books shelf", "ask as (select user_id, case when k % 9 <> 0 then k end as book_id, isbn, case when event_type in ('purchase', 'signup') then 'finished' else 'wishlist' end as status, event_id as pos from ev left join books on books.book_id = k)")
         + """select a.user_id, a.pos, case when a.book_id is not null then 'reuse_id' when coalesce(isbn, '') <> '' then 'upsert_by_isbn' else 'insert_new' end as book_ref,
 case when s.status is null then 'insert_new' when a.status = 'wishlist' or a.status = s.status then 'keep_existing' else 'update_status' end as write from ask a left join shelf s on s.user_id = a.user_id and s.book_id = a.book_id""",
         "dd11_popular_titles": w("books") + """select cast(row_number() over (order by loan_count desc, book_id) as integer) as rank, book_id, loan_count from (select *, row_number() over (partition by case when trim(title) <> '' then trim(title) else '#' || book_id end order by loan_count desc, book_id) as k from books where loan_count is not null)
