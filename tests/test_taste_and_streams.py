@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lumenshelf.operators import activity, catalogue, feed, ingest, scoring, taste, variants
-from lumenshelf.plans import bridge_queries, parsing_queries, taste_queries
+from lumenshelf.plans import bridge_queries, taste_queries
 from lumenshelf.sources import views
 from lumenshelf.streaming import shelf as streams
 
