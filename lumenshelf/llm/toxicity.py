@@ -216,7 +216,8 @@ class ToxicityModel:
 def telling_entries(train: DataFrame, n1: int, n0: int, eligible: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the `eligible` entries that tell most of the toxic rows of train(toxic, text), by the hash.
 
-    Counts cover all rows; entries are ranked by their ratio before any are cut.
+    Counts cover all rows. Entries in at least LEAST_TOXIC_ROWS toxic rows and four
+    times as frequent there are ranked by toxic rows times the logarithm of that ratio.
     """
     run, kind = _count_rows()
     counts = train.select("toxic", "text").mapInArrow(run, kind).groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
