@@ -95,8 +95,8 @@ def _document_frequencies(buckets: int):
 
 
 def _frequencies_of(buckets: int):
-    """Relative n-gram frequencies of each document, sparse."""
-    schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("times", pa.int64()), ("bucket", pa.list_(pa.int32())), ("tf", pa.list_(pa.float32()))])
+    """Relative n-gram frequencies of each document, sparse: buckets as 32-bit integers and frequencies as 32-bit floats, packed."""
+    schema = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("times", pa.int64()), ("bucket", pa.binary()), ("tf", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +106,11 @@ def _frequencies_of(buckets: int):
                 _, g = ngram_buckets(*code_points(data[a:b], np.array([0, b - a])), buckets)
                 at, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(i, 1).cast(pa.string()), batch.column("order").slice(i, 1), batch.column("times").slice(i, 1), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([(n / max(1, n.sum())).tolist()], pa.list_(pa.float32()))],
+                    [batch.column("lang").slice(i, 1).cast(pa.string()), batch.column("order").slice(i, 1), batch.column("times").slice(i, 1), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([(n / max(1, n.sum())).astype("<f4").tobytes()], pa.binary())],
                     schema=schema,
                 )
 
-    return run, "lang string, order long, times long, bucket array<int>, tf array<float>"
+    return run, "lang string, order long, times long, bucket binary, tf binary"
 
 
 @dataclass
@@ -198,7 +198,7 @@ def sample_rows(rows: DataFrame, most: int, buckets: int) -> list[tuple[int, str
             # As the threshold takes the orders, without their sign.
             for r in sorted(rs, key=lambda r: r["order"] % (1 << 64)):
                 take = min(room, r["times"])
-                out += [(r["order"], lang, np.array(r["bucket"], np.int64), np.array(r["tf"]))] * take
+                out += [(r["order"], lang, np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<f4").astype(float))] * take
                 room -= take
     return sorted(out, key=lambda r: r[:2])
 
