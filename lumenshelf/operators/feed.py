@@ -56,6 +56,28 @@ def not_recent(pool: DataFrame, history: DataFrame, now: Column, days: int = REC
     return pool.join(history.where(F.col("shown_at") >= now - F.expr(f"interval {days} days")).select("user_id", F.col("curation_id").alias("id")).distinct(), ["user_id", "id"], "left_anti")
 
 
+def fitting_counts(users: DataFrame, themes: DataFrame, history: DataFrame, now: Column, days: int = RECENT_DAYS) -> DataFrame:
+    """(user_id, personalization, n): how many of the fitting themes were not shown to the user in the last days.
+
+    The counts of not_recent(fitting(...)), without a row for each user and
+    theme: themes are counted by tier, author and genre, and of what was shown
+    to a user that is taken away which would fit.
+    """
+    p = F.col("personalization")
+    least = F.when(p == "general", 0).when(p == "tier1+", 1).when(p == "tier2+", 2)
+    common = themes.where(least.isNotNull()).groupBy("personalization").agg(F.count("*").alias("n"), F.first(least).alias("_least"))
+    # One row a kind that goes by tier.
+    every = users.join(F.broadcast(common), F.col("tier") >= F.col("_least")).select("user_id", "personalization", "n")
+    fits = F.col("tier") >= least
+    for kind, likes, target in (("by_author", "top_authors", "target_author"), ("by_l1", "top_l1s", "target_l1")):
+        by = themes.where(p == kind).groupBy(F.col(target).alias("_key")).agg(F.count("*").alias("n"))
+        own = users.select("user_id", F.explode(F.array_distinct(likes)).alias("_key")).join(by, "_key").select("user_id", F.lit(kind).alias("personalization"), "n")
+        every, fits = every.unionByName(own), F.coalesce(fits, F.lit(False)) | F.coalesce((p == kind) & F.array_contains(likes, F.col(target)), F.lit(False))
+    shown = history.where(F.col("shown_at") >= now - F.expr(f"interval {days} days")).select("user_id", F.col("curation_id").alias("id")).distinct()
+    gone = shown.join(themes, "id").join(users, "user_id").where(fits).select("user_id", "personalization", F.lit(-1).cast("long").alias("n"))
+    return every.unionByName(gone).groupBy("user_id", "personalization").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def theme_weight() -> Column:
     w = F.coalesce("priority", F.lit(1.0))
     w = w * F.when((F.coalesce("click_rate", F.lit(0.0)) > CLICKED_RATE) & (F.coalesce("shown_count", F.lit(0)) >= CLICKED_SHOWN), CLICKED_FACTOR).otherwise(1.0)

@@ -69,3 +69,21 @@ def test_precise_parts_by_hand(spark):
                 parts.append(part if s.rating == "good" else -part)
         assert r.reason == pytest.approx(np.mean(parts), abs=1e-9)
         assert r.desc == pytest.approx(max(vec[s.book_id] @ vec[b] for s in rows if s.user_id == u and s.rating == "good"), abs=1e-9)
+
+
+def test_counted_themes_are_those_that_fit(spark):
+    """Counts without a row for each user and theme, against the rows themselves."""
+    from lumenshelf.operators import feed
+
+    kinds = ["general", "tier1+", "tier2+", "by_author", "by_l1", "by_keyword", None]
+    themes = spark.createDataFrame([(k, kinds[k % 7], f"a{k % 4}" if k % 5 else None, f"l{k % 3}") for k in range(90)], "id long, personalization string, target_author string, target_l1 string")
+    users = spark.createDataFrame([(u, u % 3, ["a1", "a1", "a2"][: u % 4], None if u % 5 == 0 else ["l0", "l2"]) for u in range(12)], "user_id long, tier int, top_authors array<string>, top_l1s array<string>")
+    now = F.lit("2024-02-01").cast("timestamp")
+    shown = spark.createDataFrame([(u, k) for u in range(12) for k in range(90) for _ in range(k % 3) if (u + k) % 4 < 2], "user_id long, curation_id long")
+    shown = shown.withColumn("shown_at", now - F.when(F.col("curation_id") % 6 < 4, F.expr("interval 2 days")).otherwise(F.expr("interval 20 days")))
+    # User 3 has seen every general theme.
+    shown = shown.unionByName(themes.where("personalization = 'general'").select(F.lit(3).cast("long").alias("user_id"), F.col("id").alias("curation_id"), now.alias("shown_at")))
+    rows = feed.not_recent(feed.fitting(users, themes), shown, now).groupBy("user_id", "personalization").agg(F.count("*").alias("n"))
+    counted = feed.fitting_counts(users, themes, shown, now)
+    expected = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, counted.collect())) == expected and len(expected) > 30
