@@ -110,3 +110,22 @@ def test_a_target_is_every_row_at_its_position(spark):
     books = spark.createDataFrame([(1, "99", "q r", "z", 1)], "book_id long, isbn string, title string, author string, loan_count int")
     got = sorted((r.pos, r.action, r.target_id, r.target_isbn) for r in ingest.actions_in_order(new, books).where("pos = 7").collect())
     assert got == [(7, "UPDATE_LOAN_COUNT", None, "11"), (7, "UPDATE_LOAN_COUNT", None, "22")]
+
+
+def test_a_signal_for_a_book_that_is_nowhere_counts_for_nothing(spark):
+    items, reasons, vectors, shelf, feedback, agg, _ = catalogue(spark)
+    some = spark.createDataFrame([(0, 3), (0, 62), (1, 5)], "user_id long, book_id long")
+    more = some.unionByName(spark.createDataFrame([(0, 999), (1, 998), (77, 997)], "user_id long, book_id long"))
+    a, b = ({(r.user_id, r.book_id): r.score for r in scoring.stage_one(scoring.profiles(shelf, feedback, s, vectors, agg), items, agg, shelf, 9).collect()} for s in (some, more))
+    assert a == b and len(a) == 72
+    asked = shelf.select("user_id").distinct().crossJoin(items.select("book_id"))
+    a, b = ({(r.user_id, r.book_id): r[2:] for r in scoring.components(asked, scoring.profiles(shelf, feedback, s, vectors, agg), shelf, feedback, items, reasons, vectors).collect()} for s in (some, more))
+    assert a == b and len(a) == 480
+
+
+def test_signals_are_not_shuffled(spark, sf_dir):
+    """The rows of users times items stay where their users are."""
+    from lumenshelf.sources import views
+
+    plan = views.signals(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
