@@ -129,3 +129,40 @@ def test_signals_are_not_shuffled(spark, sf_dir):
 
     plan = views.signals(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_the_catalogue_is_sent_for_cores_and_not_for_partitions(spark):
+    """Every shuffle partition had a copy of the catalogue, and one block's users a second one."""
+    from lumenshelf.operators import kernels
+
+    items, _, _, shelf, _, agg, users = catalogue(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        most = max(kernels.LEAST_CELLS, kernels.CELLS_PER_CORE * spark.sparkContext.defaultParallelism)
+        assert kernels.cells_of(spark) == most < 1000
+        found = scoring.stage_one(users, items, agg, shelf, 9)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [_part" in plan and f"], {most}" in plan
+        # Users and items: the items are not sent a second time as what users name.
+        union = plan[plan.index("Union"):]
+        assert "_n0" not in union
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_what_a_profile_holds_is_not_recommended(spark, block_bytes):
+    """Shelf and signals come with the profile; they were gathered, joined and sent to every block a second time."""
+    items, reasons, vectors, shelf, feedback, agg, _ = catalogue(spark)
+    signals = spark.createDataFrame([(u, (u * 7 + k * 5 + 3) % 60) for u in range(8) for k in range(6)], "user_id long, book_id long")
+    users = scoring.profiles(shelf, feedback, signals, vectors, agg)
+    taken = shelf.select("user_id", "book_id").unionByName(signals)
+    for run in (
+        lambda t: scoring.stage_one(users, items, agg, t, 15, block_bytes=block_bytes),
+        lambda t: scoring.exact_best(users, shelf, feedback, items, reasons, vectors, t, 15, block_bytes=block_bytes),
+        lambda t: scoring.near_candidates(users, items, agg, t, 15),
+    ):
+        one, two = ({(r.user_id, r["rank"]): (r.book_id, round(r.score, 9)) for r in run(t).collect()} for t in (taken, None))
+        assert one == two and len(one) > 100
+        assert not {(u, b) for (u, _), (b, _) in two.items()} & {tuple(r) for r in taken.collect()}
