@@ -24,7 +24,9 @@ from .staging import discard, staged
 from .textkernel import CHUNK_BYTES, LOWER, utf8, word_hashes, word_ids, words
 
 #: Members compared with a leader in one task, and shingles on one side of a block.
-STAR, BLOCK_SHINGLES = 256, 1 << 17
+STAR, BLOCK_SHINGLES = 256, 1 << 18
+#: Times that a set takes its leader's leader for its own, so that a family is in few blocks and not in one for each leader.
+JUMPS = 2
 
 
 def linked(sets: list[np.ndarray], percent: int, split: int = 0) -> list[tuple[int, int]]:
@@ -170,16 +172,21 @@ def _unlike(rows: DataFrame, links: DataFrame, *columns: str) -> tuple[DataFrame
 def _open_blocks(buckets: DataFrame, stars: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
     """(lead, sub, other_lead, other_sub, side, rep): the sets of each pair of blocks that still have to be compared.
 
-    Sets are put into blocks with those that share their least leader, so
-    that the sets of a family are together and a pair of blocks is compared
+    Sets are put into blocks with those that share their least leader, or
+    that leader's own in turn, so that the sets of a family are together and a pair of blocks is compared
     once, however many buckets they share. Only blocks that meet in a bucket,
     and there with sets of different components, form a pair.
     """
-    open_, _ = _unlike(buckets, links, "rep")
-    several = open_.groupBy("kind", "key").agg(F.min("rep_of").alias("x"), F.max("rep_of").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("kind", "key")
-    open_ = open_.join(several, ["kind", "key"], "left_semi")
+    # What is known of a set is joined to its one row, and only then told to each of its buckets.
     home = stars.groupBy("rep").agg(F.min("lead").alias("lead"))
-    open_ = open_.join(home, "rep", "left").withColumn("lead", F.coalesce("lead", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+    for _ in range(JUMPS):
+        further = home.select(F.col("rep").alias("lead"), F.col("lead").alias("next"))
+        home = home.join(further, "lead", "left").select("rep", F.coalesce("next", "lead").alias("lead"))
+    sets, _ = _unlike(buckets.groupBy("rep").agg(F.collect_list(F.struct("kind", "key")).alias("keys")), links, "rep")
+    sets = sets.join(home, "rep", "left").withColumn("lead", F.coalesce("lead", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+    told = staged(sets.select(F.inline("keys"), "lead", "rep", "n_shingles", "rep_of"), "told")
+    several = told.groupBy("kind", "key").agg(F.min("rep_of").alias("x"), F.max("rep_of").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("kind", "key")
+    open_ = told.join(several, ["kind", "key"], "left_semi")
     sizes = open_.select("lead", "rep", "n_shingles").distinct().groupBy("lead").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("subs"))
     open_ = staged(open_.join(sizes, "lead").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs"))).select("kind", "key", "lead", "sub", "rep", "rep_of"), "open")
     at = open_.groupBy("kind", "key", "lead", "sub").agg(F.min("rep_of").alias("low"), F.max("rep_of").alias("high"))
@@ -191,7 +198,7 @@ def _open_blocks(buckets: DataFrame, stars: DataFrame, links: DataFrame, classes
     first = pairs.join(sets, ["lead", "sub"]).withColumn("side", F.lit(0))
     second = pairs.where(here < there).join(sets.select(F.col("lead").alias("other_lead"), F.col("sub").alias("other_sub"), "rep"), ["other_lead", "other_sub"]).withColumn("side", F.lit(1))
     out = staged(first.unionByName(second), "blocks")
-    discard(open_)
+    discard(told, open_)
     return out
 
 

@@ -166,3 +166,23 @@ def test_what_a_profile_holds_is_not_recommended(spark, block_bytes):
         one, two = ({(r.user_id, r["rank"]): (r.book_id, round(r.score, 9)) for r in run(t).collect()} for t in (taken, None))
         assert one == two and len(one) > 100
         assert not {(u, b) for (u, _), (b, _) in two.items()} & {tuple(r) for r in taken.collect()}
+
+
+def test_a_family_is_sent_with_few_blocks(spark):
+    """Every leader of a family had a block of its own, and each such block met the whole of the largest one."""
+    from lumenshelf.llm import confirm
+
+    rows = [(0, b) for b in range(201)] + [(j, r) for j in range(1, 51) for r in (j, 1000 + j, 2000 + j)]
+    buckets = spark.createDataFrame([(0, k, r) for k, r in rows], "kind int, key long, rep long")
+    stars = spark.createDataFrame([(0 if k == 0 else k, r) for k, r in rows if r != k], "lead long, rep long")
+    links = spark.createDataFrame([], "a long, b long")
+    classes = buckets.select("rep").distinct().withColumn("n_shingles", F.lit(10).cast("long"))
+    found = confirm._open_blocks(buckets, stars, links, classes).collect()
+    assert len(found) < 1000
+    # Sets that share a bucket meet in a pair of blocks.
+    met = {}
+    for r in found:
+        met.setdefault((r.lead, r["sub"], r.other_lead, r.other_sub), set()).add(r.rep)
+    for k in range(51):
+        mine = [r for key, r in rows if key == k]
+        assert all(any({mine[0], r} <= pair for pair in met.values()) for r in mine)
