@@ -186,3 +186,27 @@ def test_a_family_is_sent_with_few_blocks(spark):
     for k in range(51):
         mine = [r for key, r in rows if key == k]
         assert all(any({mine[0], r} <= pair for pair in met.values()) for r in mine)
+
+
+def test_scores_held_at_once_are_few():
+    """Several copies of 32 MB of scores were held by each Python worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenshelf.operators import kernels
+
+    rng = np.random.default_rng(3)
+    n, m, dims = 20000, 600, 8
+    block = kernels.Block((np.arange(n), rng.normal(size=(n, dims)), np.ones(n), np.arange(n)))
+    queries = pa.RecordBatch.from_arrays([pa.array(range(m)), pa.array(list(rng.normal(size=(m, dims)))), pa.array([[q] for q in range(m)])], names=["query_id", "vec", "exclude"])
+    run, _ = kernels.nearest_of_block(block, dims, 5)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(iter([queries]))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 5 * m and most < 60 << 20
+    q, row = np.array(queries.column("vec").to_pylist())[7], found.slice(35, 5)
+    score = block.value[1] @ q
+    score[7] = -np.inf
+    assert row.column("book_id").to_pylist() == np.argsort(-score, kind="stable")[:5].tolist()
