@@ -210,3 +210,50 @@ def test_scores_held_at_once_are_few():
     score = block.value[1] @ q
     score[7] = -np.inf
     assert row.column("book_id").to_pylist() == np.argsort(-score, kind="stable")[:5].tolist()
+
+
+def test_listed_signals_are_not_made_rows(spark):
+    """Lists of signals became a row for each user and book and were gathered again, which spilled."""
+    items, _, vectors, shelf, feedback, agg, _ = catalogue(spark)
+    # Book 62 is outside of the index; user 9 has no shelf.
+    rows = spark.createDataFrame([(u, b) for u in [*range(0, 8, 2), 9] for b in (62, u, 3 * u + 1)], "user_id long, book_id long")
+    lists = rows.groupBy("user_id").agg(F.collect_list("book_id").alias("book_ids"))
+    one, two = (scoring.profiles(shelf, feedback, s, vectors, agg) for s in (rows, lists))
+    got = sorted(map(str, one.collect()))
+    assert got == sorted(map(str, two.collect())) and len(got) == 9
+    some = one.where("user_id = 9").first()
+    assert some.avoid == [9, 28, 62] and some.own_ids == [62] and some.own_vec[0] == vectors.where("book_id = 62").first().vec and some.seen == [] and some.fb_vec == []
+    listed = lists.localCheckpoint()
+    assert "avoid" in (plan := scoring.profiles(shelf, feedback, listed, vectors, agg)._jdf.queryExecution().optimizedPlan().toString()) and "Generate" not in plan
+
+
+def test_what_is_not_recommended_is_sent_once(spark):
+    """Each user's row held the signals twice: as what counts against a book and as what is taken."""
+    items, _, _, _, _, agg, users = catalogue(spark)
+    rows = scoring._gone(users, None, "taken").first()
+    assert sorted(rows.taken) == sorted(rows.seen)
+
+
+def test_many_signals_meet_a_block_in_pieces():
+    """All products of a user's 3,000 signals and 20,000 books were held at once: 480 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenshelf.operators import kernels
+
+    rng = np.random.default_rng(3)
+    n, m, dims = 20000, 3000, 4
+    vectors, first = rng.normal(size=(n, dims)), np.arange(n + 1)
+    block = kernels.Block((np.arange(n), vectors, vectors, first, np.ones(n)), (np.arange(n), vectors, vectors, first))
+    ids = {"user_id": [1], "good": [[5, 9]], "bad": [[7]], "wish": [[]], "avoid": [list(range(100, 100 + m))], "own_ids": [[]], "fb_ids": [[]], "candidates": [[5, 7, 9]]}
+    columns = {k: pa.array(v, pa.int64() if k == "user_id" else pa.list_(pa.int64())) for k, v in ids.items()}
+    columns |= {"own_vec": pa.array([[]], pa.list_(pa.list_(pa.float64()))), "fb_vec": pa.array([[]], pa.list_(pa.list_(pa.float64()))), "fb_sign": pa.array([[]], pa.list_(pa.float64()))}
+    run, _ = kernels.components_of(block, dims, "engine", 3.0, 0.5, lambda reason, desc, bad, heard, wish, avoid, factor: desc - avoid, 6, ("candidates", "avoid"))
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_pydict(columns)]))))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = (vectors @ vectors[[5, 9]].T).max(axis=1) - (vectors @ vectors[100 : 100 + m].T).max(axis=1)
+    score[[5, 7, 9, *range(100, 100 + m)]] = -np.inf
+    assert found.column("book_id").to_pylist() == np.argsort(-score, kind="stable")[:6].tolist() and most < 60 << 20
