@@ -257,3 +257,52 @@ def test_many_signals_meet_a_block_in_pieces():
     score = (vectors @ vectors[[5, 9]].T).max(axis=1) - (vectors @ vectors[100 : 100 + m].T).max(axis=1)
     score[[5, 7, 9, *range(100, 100 + m)]] = -np.inf
     assert found.column("book_id").to_pylist() == np.argsort(-score, kind="stable")[:6].tolist() and most < 60 << 20
+
+
+def test_what_is_boosted_is_computed_once(spark):
+    """All that led to the found books ran a second time for their genres."""
+    from lumenshelf.operators import bridge
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    found = spark.createDataFrame([(u, b) for u in range(3) for b in range(4)], "user_id long, book_id long").mapInArrow(count, "user_id long, book_id long")
+    books = spark.createDataFrame([(b, f"g{b % 2}>h") for b in range(4)], "book_id long, genre string")
+    rows = bridge.genre_boost(found, spark.createDataFrame([(0, 1), (1, 0)], "user_id long, book_id long"), books).collect()
+    assert {(r.user_id, r.book_id): r.boost for r in rows} == {(u, b): 0.0 if u == 2 else 0.2 if b % 2 != u else 0.1 for u in range(3) for b in range(4)}
+    assert runs.value == 12
+
+
+def test_few_products_of_all_reasons_are_held():
+    """Books whose mean is greatest, with the marker and reason of each, against a plain loop; books of unequal numbers of reasons too."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenshelf.operators import kernels
+
+    rng = np.random.default_rng(4)
+    for lengths in (np.full(5000, 3), rng.integers(1, 12, 5000)):
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        vectors = rng.normal(size=(first[-1], 4))
+        marks = [rng.normal(size=(k, 4)) for k in (200, 3, 1)]
+        batch = pa.RecordBatch.from_pydict({"user_id": pa.array([1, 2, 3]), "markers": pa.array([m.tolist() for m in marks]), "marker_ids": pa.array([list(range(len(m))) for m in marks]), "exclude": pa.array([[0], [1, 2], [3]])})
+        run, _ = kernels.mean_best_of_block(kernels.Block((np.arange(5000), first, vectors, np.arange(first[-1]) * 2)), 4, 6, 1.0)
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 12 << 20
+        for u, (m, gone) in enumerate(zip(marks, ([0], [1, 2], [3])), 1):
+            sims = m @ vectors.T
+            total = np.maximum.reduceat(sims, first[:-1], axis=1).sum(axis=0)
+            total[gone] = -np.inf
+            expected = {}
+            for b in np.argsort(-total)[:6]:
+                k, r = np.unravel_index(sims[:, first[b] : first[b + 1]].argmax(), (len(m), lengths[b]))
+                expected[int(b)] = (round(total[b], 9), int(k), int(first[b] + r) * 2)
+            assert {r["book_id"]: (round(r["sim"], 9), r["marker_id"], r["reason_pos"]) for r in found if r["user_id"] == u} == expected
