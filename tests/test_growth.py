@@ -259,22 +259,16 @@ def test_many_signals_meet_a_block_in_pieces():
     assert found.column("book_id").to_pylist() == np.argsort(-score, kind="stable")[:6].tolist() and most < 60 << 20
 
 
-def test_what_is_boosted_is_computed_once(spark):
-    """All that led to the found books ran a second time for their genres."""
+def test_all_reasons_meet_once(spark):
+    """All reasons met all markers a second time for the genres of the books found."""
     from lumenshelf.operators import bridge
 
-    runs = spark.sparkContext.accumulator(0)
-
-    def count(batches):
-        for b in batches:
-            runs.add(b.num_rows)
-            yield b
-
-    found = spark.createDataFrame([(u, b) for u in range(3) for b in range(4)], "user_id long, book_id long").mapInArrow(count, "user_id long, book_id long")
+    marks = spark.createDataFrame([(1, 5, 1.0, [1.0, 0.0])], "user_id long, marker_id long, weight double, vec array<double>")
+    reasons = spark.createDataFrame([(b, b * 10, f"r{b}", [1.0, float(b)]) for b in range(4)], "book_id long, reason_pos long, reason string, vec array<double>")
     books = spark.createDataFrame([(b, f"g{b % 2}>h") for b in range(4)], "book_id long, genre string")
-    rows = bridge.genre_boost(found, spark.createDataFrame([(0, 1), (1, 0)], "user_id long, book_id long"), books).collect()
-    assert {(r.user_id, r.book_id): r.boost for r in rows} == {(u, b): 0.0 if u == 2 else 0.2 if b % 2 != u else 0.1 for u in range(3) for b in range(4)}
-    assert runs.value == 12
+    found = bridge.by_all_reasons(marks, reasons, spark.createDataFrame([(1, 3)], "user_id long, book_id long"), books)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.book_id for r in found.orderBy("rank").collect()] == [0, 1, 2]
 
 
 def test_few_products_of_all_reasons_are_held():
