@@ -300,3 +300,43 @@ def test_few_products_of_all_reasons_are_held():
                 k, r = np.unravel_index(sims[:, first[b] : first[b + 1]].argmax(), (len(m), lengths[b]))
                 expected[int(b)] = (round(total[b], 9), int(k), int(first[b] + r) * 2)
             assert {r["book_id"]: (round(r["sim"], 9), r["marker_id"], r["reason_pos"]) for r in found if r["user_id"] == u} == expected
+
+
+def test_signals_travel_as_differences(spark):
+    """A profile's signals were eight bytes each in its table, and again wherever it was sent."""
+    from lumenshelf.operators import kernels
+    from lumenshelf.operators.saved import written
+
+    lists = [list(range(k, 40000, 37)) for k in range(400)] + [[], [5], [9, 2, -3, 2**40], [4, None, 7], None]
+    users = spark.createDataFrame(list(enumerate(lists)), "user_id long, avoid array<bigint>")
+    wanted = {k: [x for x in v or [] if x is not None] for k, v in enumerate(lists)}
+    held = kernels.packed(users, "avoid")
+    assert {r.user_id: r.avoid for r in kernels.unpacked(held, "avoid").collect()} == wanted
+    assert {r.user_id: r.n for r in held.select("user_id", kernels.sizes(held, "avoid").alias("n")).collect()} == {k: len(v) for k, v in wanted.items()}
+    files = lambda d: sum(len(f.content) for f in spark.read.format("binaryFile").load(d.inputFiles()).select("content").collect())
+    assert files(written(held.coalesce(1))) < files(written(users.coalesce(1))) / 4
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_packed_profiles_give_the_same_rows(spark, block_bytes):
+    from lumenshelf.operators import kernels
+
+    items, reasons, vectors, shelf, feedback, agg, users = catalogue(spark)
+    asked = users.select("user_id").crossJoin(items.select("book_id"))
+    for run in (
+        lambda u: scoring.stage_one(u, items, agg, None, 15, block_bytes=block_bytes),
+        lambda u: scoring.exact_best(u, shelf, feedback, items, reasons, vectors, None, 15, block_bytes=block_bytes),
+        lambda u: scoring.components(asked, u, shelf, feedback, items, reasons, vectors, block_bytes=block_bytes),
+    ):
+        one, two = (sorted([round(x, 9) for x in r] for r in run(u).collect()) for u in (users, kernels.packed(users, "avoid")))
+        assert one == two and len(one) > 100
+
+
+def test_each_cell_has_a_partition(spark):
+    """Cells were dealt by a hash of their numbers: some tasks had several, others none, so three times as many were needed."""
+    from lumenshelf.operators import kernels
+
+    for n in (7, 12, 60):
+        cells = spark.range(n).withColumn("_partition", kernels._own_partitions(spark, n, F.col("id"))).repartition(n, "_partition")
+        assert cells.groupBy(F.spark_partition_id()).count().count() == n
+    assert kernels.CELLS_PER_CORE == 1
