@@ -340,3 +340,86 @@ def test_each_cell_has_a_partition(spark):
         cells = spark.range(n).withColumn("_partition", kernels._own_partitions(spark, n, F.col("id"))).repartition(n, "_partition")
         assert cells.groupBy(F.spark_partition_id()).count().count() == n
     assert kernels.CELLS_PER_CORE == 1
+
+
+def lists(spark):
+    """Lists of 120 books in 7 genres, liked books of some users, and the items."""
+    rng = np.random.default_rng(6)
+    items = spark.createDataFrame([(b, f"L{b * b % 7}", f"a{b % 5}" if b % 9 else None, rng.normal(size=3).tolist()) for b in range(200)], "book_id long, l1 string, author string, desc array<double>")
+    ranked = spark.createDataFrame([(u, k + 1, int(b), 1.0 - k / 120) for u in range(6) for k, b in enumerate(rng.permutation(200)[:120])], "user_id long, rank int, book_id long, score double")
+    liked = spark.createDataFrame([(u, int(b)) for u in range(1, 6) for b in rng.permutation(200)[: u * 3 - 2]], "user_id long, book_id long")
+    return items, ranked, liked
+
+
+def test_lists_are_cut_before_they_are_shuffled(spark):
+    """All candidates were shuffled three times, by book, by genre and by user, to keep twenty of them."""
+    from lumenshelf.operators import taste, variants
+
+    items, ranked, liked = lists(spark)
+    carried = ranked.join(items.select("book_id", "l1", "author"), "book_id")
+    genre = {r.book_id: r.l1 for r in items.collect()}
+    by, share = {}, {}
+    for r in ranked.orderBy("rank").collect():
+        by.setdefault(r.user_id, []).append(r.book_id)
+    for r in liked.collect():
+        share.setdefault(r.user_id, []).append(genre[r.book_id])
+    closed, open_, auto = set(), set(), set()
+    for u, own in by.items():
+        g = share.get(u, [])
+        quota = {x: max(1, round(g.count(x) / len(g) * 20)) for x in g}
+        rest = max(0, 20 - sum(quota.values())) if g else None
+
+        def fitting(limit):
+            seen, out = {}, []
+            for b in own:
+                seen[genre[b]] = seen.get(genre[b], 0) + 1
+                if (n := limit(genre[b])) is None or seen[genre[b]] <= n:
+                    out.append(b)
+            return out
+
+        kept = fitting(lambda x: quota.get(x))[:20]
+        closed |= {(u, k, b) for k, b in enumerate(kept, 1)}
+        auto |= {(u, k, b) for k, b in enumerate(kept if len(g) >= 4 and len(set(g)) > 1 else own[:20], 1)}
+        first = fitting(lambda x: quota.get(x, rest))[:20]
+        open_ |= {(u, k, b) for k, b in enumerate((first + [b for b in own if b not in first])[:20], 1)}
+    for run, expected in ((taste.quota_rerank, closed), (variants.open_quota_rerank, open_), (variants.auto_rerank, auto)):
+        found = run(carried, liked, items, 20)
+        assert {(r.user_id, r["rank"], r.book_id) for r in found.collect()} == {(r.user_id, r["rank"], r.book_id) for r in run(ranked, liked, items, 20).collect()} == expected
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan
+
+
+def test_mmr_sends_ids_and_no_vector_a_row(spark):
+    """Each of a user's hundred candidates was shuffled with its vector."""
+    from lumenshelf.operators import taste
+
+    items, ranked, _ = lists(spark)
+    found = taste.mmr_rerank(ranked, items, 8)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    vec = {r.book_id: np.array(r.desc) for r in items.collect()}
+    rows = {}
+    for r in ranked.where("rank <= 100").orderBy("rank").collect():
+        rows.setdefault(r.user_id, []).append((r.book_id, r.score))
+    expected = set()
+    for u, own in rows.items():
+        chosen = []
+        while len(chosen) < 8:
+            left = [(0.6 * s - 0.4 * 5.0 * max((vec[b] @ vec[c] for c in chosen), default=0.0), b) for b, s in own if b not in chosen]
+            chosen.append(max(left)[1])
+        expected |= {(u, k, b) for k, b in enumerate(chosen, 1)}
+    assert {(r.user_id, r["rank"], r.book_id) for r in found.collect()} == expected
+    before, taste.MMR_BYTES = taste.MMR_BYTES, 300
+    try:
+        assert {(r.user_id, r["rank"], r.book_id) for r in taste.mmr_rerank(ranked, items, 8).collect()} == expected
+    finally:
+        taste.MMR_BYTES = before
+
+
+def test_a_mean_makes_no_row_for_each_number(spark):
+    """Every number of every vector became a row and a key of its own; vectors of several lengths, weights of 0, nulls and empty ones."""
+    from lumenshelf.functions.vectors import weighted_mean
+
+    rows = [(1, 2.0, [1.0, 2.0]), (1, 1.0, [4.0, 5.0]), (1, 0.0, [9.0, 9.0]), (2, 1.0, [1.0, 2.0, 3.0]), (2, 3.0, [5.0]), (3, 0.0, [1.0]), (4, 1.0, None), (4, 1.0, []), (5, None, [1.0])]
+    found = weighted_mean(spark.createDataFrame(rows, "k long, w double, v array<double>"), ["k"], "v", F.col("w"))
+    assert {r.k: [round(x, 9) for x in r.vec] for r in found.collect()} == {1: [2.0, 3.0], 2: [4.0, 2.0, 3.0]}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
