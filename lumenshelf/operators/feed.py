@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .blocks import against_all, top_per
 from .catalogue import uniform
+from .ranking import positions
 from .saved import saved
 
 # --- fixed values -----------------------------------------------------------
@@ -100,6 +101,20 @@ def filled(ranked: DataFrame, seen: DataFrame, books: DataFrame, n: int = SLOT_B
     return top_per(fresh, ["user_id"], ["_was", "book_id"], n).select("user_id", "rank", "book_id")
 
 
+def filled_from_one(users: DataFrame, listed: DataFrame, seen: DataFrame, books: DataFrame, n: int = SLOT_BOOKS) -> DataFrame:
+    """filled, where all of users(user_id) have the same list listed(rank, book_id).
+
+    The list's renderable rows are numbered once. A user's first n open places
+    are among the first n and as many more as the user has seen, so places are
+    what a user's row holds, and no row for each user and book is made.
+    """
+    order = saved(positions(renderable(listed, books), [F.col("rank"), F.col("book_id")], "_place").select("_place", "book_id"))
+    own = seen.select("user_id", "book_id").distinct().join(order, "book_id").groupBy("user_id").agg(F.collect_set("_place").alias("_own"))
+    mine = users.select("user_id").distinct().join(own, "user_id", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<int>")))
+    open_ = F.slice(F.array_except(F.sequence(F.lit(1), F.size("_own") + n), "_own"), 1, n)
+    return mine.select("user_id", F.posexplode(open_).alias("_k", "_place")).join(order, "_place").select("user_id", (F.col("_k") + 1).alias("rank"), "book_id")
+
+
 def assemble(
     users: DataFrame, personal: DataFrame, similar: DataFrame, trending: DataFrame, themes: DataFrame, lists: DataFrame, history: DataFrame, books: DataFrame, now: Column, seed: str
 ) -> DataFrame:

@@ -423,3 +423,21 @@ def test_a_mean_makes_no_row_for_each_number(spark):
     found = weighted_mean(spark.createDataFrame(rows, "k long, w double, v array<double>"), ["k"], "v", F.col("w"))
     assert {r.k: [round(x, 9) for x in r.vec] for r in found.collect()} == {1: [2.0, 3.0], 2: [4.0, 2.0, 3.0]}
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_list_for_all_makes_no_row_for_each_user_and_book(spark):
+    """The list was joined with every user before a shelf was taken off; unseen, half seen, over-long and null users, and a book listed twice."""
+    from lumenshelf.operators import feed
+    from lumenshelf.operators.blocks import against_all
+
+    books = spark.createDataFrame([(b, None if b % 13 == 0 else "" if b % 7 == 0 else "c") for b in range(80)], "book_id long, cover_url string")
+    listed = spark.createDataFrame([(b * 7 % 11, b) for b in range(90)] + [(3, 5), (3, 5), (9, 8)], "rank int, book_id long")
+    seen = spark.createDataFrame([(u, b) for u in range(8) for b in range(90) if (u + b) % 8 < u for _ in range(b % 2 + 1)] + [(None, 4), (9, None)] + [(10, b) for b in range(80)], "user_id long, book_id long")
+    users = seen.select("user_id").unionByName(spark.createDataFrame([(20,)], "user_id long"))
+    found = feed.filled_from_one(users, listed, seen, books, 10)
+    plain = feed.filled(against_all(users.distinct(), listed, "book_id"), seen, books, 10)
+    a, b = (sorted(map(tuple, x.select("user_id", "rank", "book_id").collect()), key=repr) for x in (found, plain))
+    assert a == b and len(a) > 90 and {r[0] for r in a} >= {None, 9, 20} and 10 not in {r[0] for r in a}
+    assert found.schema["rank"].dataType == plain.schema["rank"].dataType
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "_block" not in plan
