@@ -441,3 +441,92 @@ def test_one_list_for_all_makes_no_row_for_each_user_and_book(spark):
     assert found.schema["rank"].dataType == plain.schema["rank"].dataType
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "_block" not in plan
+
+
+def test_scores_of_candidates_are_made_where_their_parts_are(spark):
+    """Each candidate was shuffled with six parts to find its tier, lists went through rows, and modes and weightings through all candidates anew."""
+    from lumenshelf.operators.blocks import top_per
+
+    items, reasons, vectors, shelf, feedback, agg, users = catalogue(spark)
+    items = items.withColumn("source_tier", F.when(F.col("book_id") % 2 == 0, "minimal").otherwise("rich"))
+    rows = scoring.stage_one(users, items, agg, None, 15)
+    for block_bytes in (1 << 20, 300):
+        lists = scoring.stage_one(users, items, agg, None, 15, block_bytes=block_bytes, through=scoring.PROFILE)
+        args = (users, items, reasons, vectors)
+        one = {(r.user_id, r.book_id): r for r in scoring.components(rows, users, shelf, feedback, items, reasons, vectors).collect()}
+        two = {(r.user_id, r.book_id): r.score for r in scoring.stage_two(lists, users, shelf, feedback, items, reasons, vectors, block_bytes=block_bytes).collect()}
+        for (u, b), r in one.items():
+            total = 2 * r.reason + 3 * r.desc + 2 * r.heard + r.wish - 0.75 * r.avoid
+            assert two[u, b] == pytest.approx(total * 0.85 if total > 0 and b % 2 == 0 else total, abs=1e-9)
+        assert two.keys() == one.keys() and len(one) == 120
+        found = {(r.user_id, r.book_id, r["mode"]): r.reason for r in scoring.reason_modes(lists, *args, ("engine", "filter"), block_bytes).collect()}
+        plain = {(r.user_id, r.book_id, m): r.reason for m in ("engine", "filter") for r in scoring.components(rows, users, shelf, feedback, items, reasons, vectors, m).collect()}
+        assert found == {k: pytest.approx(v, abs=1e-9) for k, v in plain.items()}
+        grid = spark.createDataFrame([("a", 1.0, 0.5, 2.0), ("b", 2.0, 3.0, 0.0)], "name string, reason_w double, desc_w double, fb_w double")
+        scored = scoring.weight_grid(scoring.components(rows, users, shelf, feedback, items, reasons, vectors, "evaluation"), grid)
+        expected = {(r.name, r.user_id, r["rank"]): r.book_id for r in top_per(scored, ["name", "user_id"], [F.desc("score"), "book_id"], 3).collect()}
+        assert {(r.name, r.user_id, r["rank"]): r.book_id for r in scoring.best_by_weights(lists, *args, grid, 3, block_bytes).collect()} == expected and len(expected) == 48
+    plan = scoring.stage_two(lists, users, shelf, feedback, items, reasons, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_vectors_travel_in_single_precision_where_that_loses_nothing(spark):
+    from lumenshelf.operators import kernels
+
+    rows = [(1, [0.5, 0.25], [[0.5, 1.0]]), (2, [0.1, 1.0], []), (3, [2.0, float("inf")], [[0.1, 0.2], [3.0, 4.0]])]
+    kept = spark.createDataFrame(rows, "k long, v array<double>, m array<array<double>>")
+    table = kernels.narrow(kept, "v", "m").orderBy("k").toArrow()
+    assert [r["f"] is None for r in table.column("v").to_pylist()] == [False, True, False]
+    assert kernels.vectors_of(table, "v", 2).tolist() == [r[1] for r in rows]
+    m, starts = kernels.matrices(table.column("m"), 2)
+    assert m.tolist() == [v for r in rows for v in r[2]] and starts.tolist() == [0, 1, 1, 3]
+    exact = kernels.narrow(kept.where("k = 1"), "v").toArrow()
+    assert kernels.vectors_of(exact, "v", 2).dtype == np.float32
+
+
+def test_signals_count_only_for_books_that_can_be_among_the_best():
+    """All products of a user's signals and all books were made to find a few books."""
+    import pyarrow as pa
+
+    from lumenshelf.operators import kernels
+
+    rng = np.random.default_rng(4)
+    n, m, dims = 5000, 700, 6
+    vectors, first = rng.normal(size=(n, dims)), np.arange(n + 1)
+    block = kernels.Block((np.arange(n), vectors, vectors, first, np.ones(n)), (np.arange(n), vectors, vectors, first))
+    avoid = rng.choice(np.arange(10, n), m, replace=False).tolist()
+    ids = {"user_id": [1], "good": [[5, 9]], "bad": [[7]], "wish": [[]], "avoid": [avoid], "own_ids": [[]], "fb_ids": [[]], "candidates": [[5, 7, 9]]}
+    columns = {k: pa.array(v, pa.int64() if k == "user_id" else pa.list_(pa.int64())) for k, v in ids.items()}
+    columns |= {"own_vec": pa.array([[]], pa.list_(pa.list_(pa.float64()))), "fb_vec": pa.array([[]], pa.list_(pa.list_(pa.float64()))), "fb_sign": pa.array([[]], pa.list_(pa.float64()))}
+    asked = []
+
+    def score(reason, desc, bad, heard, wish, avoid, factor):
+        asked.append(len(desc))
+        return (desc - avoid,)
+
+    run, _ = kernels.components_of(block, dims, "engine", 3.0, 0.5, n=6, gone=("candidates", "avoid"), scores=score, others=True, lazy=True)
+    found = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_pydict(columns)]))))
+    truth = (vectors @ vectors[[5, 9]].T).max(axis=1) - (vectors @ vectors[avoid].T).max(axis=1)
+    truth[[5, 7, 9, *avoid]] = -np.inf
+    assert found.column("book_id").to_pylist() == np.argsort(-truth, kind="stable")[:6].tolist()
+    assert np.allclose(found.column("score").to_numpy(), np.sort(truth)[::-1][:6]) and sum(asked[1:]) < asked[0] / 2
+
+
+def test_all_reasons_give_no_more_than_is_asked_for():
+    """A block gave every book that could be among the best after the greatest boost, which were most of the catalogue for each user."""
+    import pyarrow as pa
+
+    from lumenshelf.operators import kernels
+
+    rng = np.random.default_rng(6)
+    n, dims = 4000, 4
+    vectors, kind = kernels.unit_rows(rng.normal(size=(n, dims)).astype(np.float32)), np.arange(n) % 3
+    block = kernels.Block((np.arange(n), np.arange(n + 1), vectors, np.arange(n), kind, [{"a"}, {"a", "b"}, set()]))
+    marks = rng.normal(size=(3, dims))
+    batch = pa.RecordBatch.from_pydict({"user_id": pa.array([1]), "markers": pa.array([marks.tolist()]), "marker_ids": pa.array([[0, 1, 2]]), "exclude": pa.array([[7]]), "parts": pa.array([["a", "b", "c"]])})
+    run, _ = kernels.mean_best_of_block(block, dims, 6, 1.3, 0.1)
+    found = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    score = (kernels.unit_rows(marks) @ vectors.T).sum(axis=0) * (1 + np.array([0.1, 0.2, 0.0])[kind])
+    score[7] = -np.inf
+    assert sorted(r["book_id"] for r in found) == sorted(np.argsort(-score)[:6].tolist()) and {r["axes"] for r in found} == {3}
+    assert all(r["boost"] == [0.1, 0.2, 0.0][r["book_id"] % 3] for r in found)
