@@ -530,3 +530,18 @@ def test_all_reasons_give_no_more_than_is_asked_for():
     score[7] = -np.inf
     assert sorted(r["book_id"] for r in found) == sorted(np.argsort(-score)[:6].tolist()) and {r["axes"] for r in found} == {3}
     assert all(r["boost"] == [0.1, 0.2, 0.0][r["book_id"] % 3] for r in found)
+
+
+def test_listed_signals_are_hashed_where_they_are(spark):
+    """Each signal became a row, its text was gathered again, and the lists were sorted to be joined."""
+    from lumenshelf.operators import catalogue as made
+
+    shelf = spark.createDataFrame([(u, b, ("good", None)[b % 2], "finished") for u in range(6) for b in range(4)], "user_id long, book_id long, rating string, status string")
+    told = shelf.where("book_id = 2").select("user_id", "book_id")
+    rows = spark.createDataFrame([(u, b, "x") for u in (0, 2, 4, 9) for b in range(30 - u)], "user_id long, book_id long, signal string")
+    lists = rows.groupBy("user_id").agg(F.collect_list("book_id").alias("book_ids")).withColumn("signal", F.lit("x"))
+    lists = lists.unionByName(spark.createDataFrame([(11, [], "x")], "user_id long, book_ids array<bigint>, signal string"))
+    one, two = (sorted(map(tuple, made.input_hash(shelf, told, s).collect())) for s in (rows, lists))
+    assert one == two and len(one) == 7
+    plan = made.input_hash(shelf, told, lists.localCheckpoint())._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "ShuffledHashJoin" in plan
